@@ -18,7 +18,7 @@ from ..session import shuffle_width
 def with_scalars(df: DataFrame, source: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     """Add whole-table aggregates of ``source`` as columns, through one scalar subquery."""
     one = source.agg(F.struct(*[c.alias(n) for n, c in aggs.items()]).alias("s")).scalar()
-    return df.withColumn("_s", one).select("*", *[F.col("_s")[n].alias(n) for n in aggs]).drop("_s")
+    return df.withColumn("_one_row", one).select("*", *[F.col("_one_row")[n].alias(n) for n in aggs]).drop("_one_row")
 
 
 def attach_totals(df: DataFrame, keys, aggs: dict[str, Column], nullable: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .core import COVERS, QUERIES, SQL
 
-FAMILIES = ["scalars", "sources"]
+FAMILIES = ["joins", "aggregates", "windows", "reshape"]
 
 
 def _load():

@@ -71,7 +71,7 @@ class Tables:
     def species(self) -> DataFrame:
         li = self.read("lineitem")
         s = li.groupBy((F.col("l_partkey") % CELLS).alias("cell_id"), cal.year_month("l_shipdate").alias("year_month")).agg(
-            F.avg("l_discount").alias("occ"), F.avg("l_tax").alias("dens")
+            F.round(F.avg("l_discount"), 10).alias("occ"), F.round(F.avg("l_tax"), 10).alias("dens")
         )
         return normalized_species(s, {"occ": "n_occ", "dens": "n_dens"})
 
@@ -187,7 +187,7 @@ CTES: dict[str, str] = {
     "effort": f"""SELECT {crab_year_sql('date')} AS crab_year, strftime(date, '%Y_%m') AS year_month, date, p.cell_id, g.region, g.depth, g.bia, g.area,
         sum(lbs) AS lbs, sum(rev) AS rev, count(*) AS pings, sum(1e0 / trip_pings) AS vessel_share, count(DISTINCT vessel_id) AS vessels
         FROM pings p JOIN trip_size USING (ticket_id) JOIN grid g ON p.cell_id = g.cell_id GROUP BY ALL""",
-    "species_raw": """SELECT l_partkey % 400 AS cell_id, strftime(l_shipdate, '%Y_%m') AS year_month, avg(l_discount) AS occ, avg(l_tax) AS dens
+    "species_raw": """SELECT l_partkey % 400 AS cell_id, strftime(l_shipdate, '%Y_%m') AS year_month, round(avg(l_discount), 10) AS occ, round(avg(l_tax), 10) AS dens
         FROM lineitem GROUP BY 1, 2""",
     "species": """SELECT *, (occ - min(occ) OVER ()) / (max(occ) OVER () - min(occ) OVER ()) AS n_occ,
         (dens - min(dens) OVER ()) / (max(dens) OVER () - min(dens) OVER ()) AS n_dens FROM species_raw""",
