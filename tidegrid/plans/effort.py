@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -70,11 +70,12 @@ def allocate_trip(pings: DataFrame, tickets: DataFrame, ticket: str, values) ->
     ).drop(*[f"_{v}" for v in values])
 
 
-def _cell_effort(pings: DataFrame, time: dict[str, Column], extra) -> DataFrame:
+def _cell_effort(pings: DataFrame, time: str, bucket: Column, extra) -> DataFrame:
     trips = trip_cells(pings, extra)
-    sized = attach_totals(trips, ["ticket_id"], {"trip_pings": F.sum("pings")})
-    keys = [*time, "cell_id", *extra]
-    by_vessel = sized.withColumns(time).groupBy(*keys, "vessel_id").agg(
+    # A window here is bounded: after pre-aggregation a ticket has at most one row per cell and day.
+    sized = trips.withColumn("trip_pings", F.sum("pings").over(Window.partitionBy("ticket_id")))
+    keys = [time, "cell_id", *extra]
+    by_vessel = sized.withColumn(time, bucket).groupBy(*keys, "vessel_id").agg(
         F.sum("lbs").alias("lbs"),
         F.sum("rev").alias("rev"),
         F.sum("pings").alias("pings"),
@@ -88,13 +89,15 @@ def _cell_effort(pings: DataFrame, time: dict[str, Column], extra) -> DataFrame:
 
 def effort_daily(pings: DataFrame, extra=()) -> DataFrame:
     """Cell-day effort: lbs, revenue, pings, fractional vessels, unique vessels."""
-    day = {"date": F.col("date"), "crab_year": cal.crab_year("date"), "year_month": cal.year_month("date")}
-    return _cell_effort(pings, day, extra)
+    return _cell_effort(pings, "date", F.col("date"), extra).withColumns(
+        {"crab_year": cal.crab_year("date"), "year_month": cal.year_month("date")}
+    )
 
 
 def effort_monthly(pings: DataFrame, extra=()) -> DataFrame:
     """Cell-month effort; unique vessels are counted over the month."""
-    return _cell_effort(pings, {"year_month": cal.year_month("date")}, extra)
+    monthly = _cell_effort(pings, "month_start", F.trunc("date", "month").cast("date"), extra)
+    return monthly.withColumn("year_month", cal.year_month("month_start")).drop("month_start")
 
 
 def normalize_floor(df: DataFrame, value: str, out: str, factor: float = 0.5) -> DataFrame:

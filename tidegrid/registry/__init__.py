@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .core import COVERS, QUERIES, SQL
 
-FAMILIES = ["joins", "aggregates", "windows", "reshape"]
+FAMILIES = ["spatial", "effort"]
 
 
 def _load():

@@ -232,8 +232,8 @@ def lines_in_the_water(t):
 
 
 @query(
-    "region_and_statewide", "A24", doubles="lbs mean_rev",
-    sql="SELECT year_month, CASE WHEN grouping(region) = 1 THEN 'All' ELSE region END AS region, sum(lbs) AS lbs, avg(rev) AS mean_rev FROM effort GROUP BY GROUPING SETS ((year_month, region), (year_month))",
+    "region_and_statewide", "A24", doubles="lbs max_rev",
+    sql="SELECT year_month, CASE WHEN grouping(region) = 1 THEN 'All' ELSE region END AS region, sum(lbs) AS lbs, max(rev) AS max_rev FROM effort GROUP BY GROUPING SETS ((year_month, region), (year_month))",
 )
 def region_and_statewide(t):
-    return ag.region_and_total(t.effort, ["year_month"], "region", {"lbs": F.sum("lbs"), "mean_rev": F.avg("rev")})
+    return ag.region_and_total(t.effort, ["year_month"], "region", {"lbs": F.sum("lbs"), "max_rev": F.max("rev")})

@@ -205,10 +205,9 @@ CTES: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'""",
     "ocean": "SELECT event_id, CAST(ts AS DATE) AS day, user_id % 20 AS sx, event_id % 20 AS sy, value FROM events",
     "ports": "SELECT n_nationkey AS port, (n_nationkey * 3) % 20 AS px, (n_nationkey * 11) % 20 AS py, n_regionkey FROM nation",
-    "zone_edges": """SELECT port, ax, ay, bx, by FROM (SELECT port, unnest([
-        {'ax': px - 1.2e0, 'ay': py - 1.1e0, 'bx': px + 1.7e0, 'by': py - 0.3e0},
-        {'ax': px + 1.7e0, 'ay': py - 0.3e0, 'bx': px + 0.2e0, 'by': py + 1.9e0},
-        {'ax': px + 0.2e0, 'ay': py + 1.9e0, 'bx': px - 1.2e0, 'by': py - 1.1e0}], recursive := true) FROM ports)""",
+    "zone_edges": """SELECT port, px - 1.2e0 AS ax, py - 1.1e0 AS ay, px + 1.7e0 AS bx, py - 0.3e0 AS by FROM ports
+        UNION ALL SELECT port, px + 1.7e0, py - 0.3e0, px + 0.2e0, py + 1.9e0 FROM ports
+        UNION ALL SELECT port, px + 0.2e0, py + 1.9e0, px - 1.2e0, py - 1.1e0 FROM ports""",
     "cpi": "SELECT DISTINCT year(o_orderdate) AS year, CAST(150 + 5 * (year(o_orderdate) - 1995) AS DOUBLE) AS index FROM orders",
     "cell_month": """SELECT s.cell_id, s.year_month, occ, dens, n_occ, n_dens, CAST(coalesce(e.pings, 0) AS DOUBLE) AS pings,
         dens * coalesce(e.pings, 0) AS risk, g.region, g.area FROM species s
