@@ -58,11 +58,14 @@ def rank_scenarios(df: DataFrame, group=("crab_year",)) -> DataFrame:
     return rank_columns(df, group, measures, ["scenario"])
 
 
-def rank_by_period(df: DataFrame, period: Column) -> DataFrame:
-    """Means per period, ranks within it, and the overall rank by descending risk and value."""
+def rank_by_period(df: DataFrame, period: Column, digits: int = 10) -> DataFrame:
+    """Means per period, ranks within it, and the overall rank by descending risk and value.
+
+    Means are rounded before ranking so that equal results tie whatever the summation order.
+    """
     cols = ["n_risk_hump", "rel_n_risk_hump", "n_risk_blue", "rel_n_risk_blue", "n_risk_both", "rel_n_risk_both",
             "rev", "rel_rev", "lbs", "rel_lbs", "bc_hump", "bc_blue"]
-    m = df.withColumn("period", period).groupBy("period", "scenario").agg(*[F.avg(c).alias(c) for c in cols])
+    m = df.withColumn("period", period).groupBy("period", "scenario").agg(*[F.round(F.avg(c), digits).alias(c) for c in cols])
     r = rank_scenarios(m, ["period"])
     order = [F.desc(c) for c in ("n_risk_hump", "n_risk_blue", "n_risk_both", "rev", "lbs")] + [F.col("scenario")]
     return rank_sorted(r, ["period"], order, "scenario_rank")

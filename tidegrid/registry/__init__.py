@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .core import COVERS, QUERIES, SQL
 
-FAMILIES = ["spatial", "effort"]
+FAMILIES = ["scenarios"]
 
 
 def _load():

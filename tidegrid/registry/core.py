@@ -38,13 +38,13 @@ def with_ctes(body: str) -> str:
 
 
 def query(name: str, covers: str, sql: str | None = None, doubles: str = "", digits: int = 6):
-    """Register a query. Columns in ``doubles`` are rounded alike on both sides."""
-    cols = doubles.split()
+    """Register a query. Columns in ``doubles`` are rounded alike on both sides; ``name:n`` sets the digits."""
+    cols = {c.split(":")[0]: int(c.split(":")[1]) if ":" in c else digits for c in doubles.split()}
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(Tables(spark, sf_dir))
-            return df.withColumns({c: F.round(c, digits) for c in cols}) if cols else df
+            return df.withColumns({c: F.round(c, n) for c, n in cols.items()}) if cols else df
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
@@ -53,7 +53,7 @@ def query(name: str, covers: str, sql: str | None = None, doubles: str = "", dig
         if sql is not None:
             body = with_ctes(sql)
             if cols:
-                reps = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+                reps = ", ".join(f"round({c}, {n}) AS {c}" for c, n in cols.items())
                 body = f"SELECT * REPLACE ({reps}) FROM ({body})"
             SQL[name] = body
         return fn
