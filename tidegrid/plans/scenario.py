@@ -1,35 +1,24 @@
 """Management scenarios on cell-day effort.
 
-All scenarios of a sweep run in one plan: the parameter rows are exploded onto
-the effort rows as a struct ``p`` and each rule is a column expression on
-``p``. Only the reallocation of displaced effort needs aggregates.
+All scenarios of a sweep run in one plan: effort rows are exploded by a scenario
+index and each rule is a column expression on literal parameter arrays. Only
+the reallocation of displaced effort needs aggregates.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.nulls import later_of, require_columns
-from ..session import staged
+from ..session import shuffle_width, staged
 from .effort import METRICS
 
 REGIONS = ("CenCA", "NorCA", "OR", "WA")
 
-PARAM_TYPE = (
-    "scenario string, scenario_number int, preseason_days int, early_method string, "
-    "delay_month int, delay_day int, delay_regions array<string>, delay_method string, delay_fidelity string, "
-    "closure_month int, closure_day int, closure_regions array<string>, closure_method string, closure_pct double, "
-    "depth_shallow double, depth_deep double, "
-    "before_month int, before_day int, before_pct double, before_regions array<string>, "
-    "after_month int, after_day int, after_pct double, after_regions array<string>, "
-    "after_redist boolean, after_redist_pct double"
-)
-
-
 @dataclass(frozen=True)
 class Scenario:
     """One parameter row. Dates are (month, day) anchors placed in each crab year; None switches a rule off."""
@@ -98,20 +87,6 @@ class Scenario:
             raise ValueError("preseason_days must not be negative")
         return self
 
-    def literal(self) -> Column:
-        d = asdict(self)
-        for rule in ("delay", "closure", "before", "after"):
-            month, day = d.pop(rule) or (None, None)
-            d[f"{rule}_month"], d[f"{rule}_day"] = month, day
-        names = [part.split()[0] for part in PARAM_TYPE.split(", ")]
-        types = [part.split()[1] for part in PARAM_TYPE.split(", ")]
-
-        def lit(n, t):
-            v = d[n]
-            return F.array(*[F.lit(x) for x in v]) if isinstance(v, tuple) else F.lit(v).cast(t)
-
-        return F.struct(*[lit(n, t).alias(n) for n, t in zip(names, types)])
-
 
 def scenario_grid(bases: list[Scenario], variants: dict[str, list]) -> list[Scenario]:
     """Base rows times variants of their fields, numbered per base as a base-variant name."""
@@ -126,38 +101,67 @@ def scenario_grid(bases: list[Scenario], variants: dict[str, list]) -> list[Scen
     return out
 
 
-def scenario_frame(spark, scenarios: list[Scenario]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[s.literal() for s in scenarios])).alias("p")).select("p.*")
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v).lower()
 
 
-def with_scenarios(effort: DataFrame, scenarios: list[Scenario]) -> DataFrame:
-    """One copy of the effort per scenario, parameters in the struct ``p``."""
-    rows = F.array(*[s.check().literal() for s in scenarios])
-    return effort.withColumn("p", F.explode(rows)).withColumn("scenario", F.col("p.scenario"))
+class Sweep:
+    """Parameter look-ups by the row's scenario index ``sidx``.
 
+    Each parameter is a literal array with one entry per scenario, so rows carry a
+    single integer and rules stay plain column expressions.
+    """
 
-def _p(name: str) -> Column:
-    return F.col(f"p.{name}")
+    def __init__(self, scenarios: list[Scenario]):
+        self.scenarios = [s.check() for s in scenarios]
 
+    def of(self, value, kind: str) -> Column:
+        """Column of ``value(scenario)`` for the row's scenario."""
+        values = [_sql_literal(value(s)) for s in self.scenarios]
+        if len(set(values)) == 1:
+            return F.expr(f"cast({values[0]} as {kind})")
+        return F.expr(f"element_at(cast(array({', '.join(values)}) as array<{kind}>), sidx + 1)")
 
-def _anchor(rule: str) -> Column:
-    return cal.anchor_date(_p(f"{rule}_month"), _p(f"{rule}_day"), "crab_year")
+    def param(self, name: str, kind: str = "double") -> Column:
+        return self.of(lambda s: getattr(s, name), kind)
 
+    def which(self, test) -> list[int]:
+        return [i for i, s in enumerate(self.scenarios) if test(s)]
 
-def _region_hit(rule: str) -> Column:
-    r = _p(f"{rule}_regions")
-    return F.array_contains(r, "All") | F.array_contains(r, F.col("region"))
+    def anchor(self, rule: str) -> Column:
+        """The rule's month and day inside the row's crab year, null where the rule is off."""
+        at = lambda f: lambda s: f(*getattr(s, rule)) if getattr(s, rule) else None
+        offset = self.of(at(lambda m, d: 0 if m >= 11 else 1), "int")
+        return F.make_date(F.col("start_year") + offset, self.of(at(lambda m, d: m), "int"), self.of(at(lambda m, d: d), "int"))
 
+    def region_hit(self, rule: str) -> Column:
+        out = F.lit(False)
+        for r in REGIONS:
+            hit = self.of(lambda s: bool({"All", r} & set(getattr(s, f"{rule}_regions"))), "boolean")
+            out = F.when(F.col("region") == r, hit).otherwise(out)
+        return out
 
-def _in_depth() -> Column:
-    deep, shallow = F.coalesce(_p("depth_deep"), F.lit(-1e9)), F.coalesce(_p("depth_shallow"), F.lit(0.0))
-    return F.coalesce(F.col("depth").between(deep, shallow), F.lit(False))
+    def in_depth(self) -> Column:
+        deep, shallow = F.coalesce(self.param("depth_deep"), F.lit(-1e9)), F.coalesce(self.param("depth_shallow"), F.lit(0.0))
+        return F.coalesce(F.col("depth").between(deep, shallow), F.lit(False))
+
+
+def with_scenarios(effort: DataFrame, sweep: Sweep) -> DataFrame:
+    """One copy of the effort per scenario."""
+    ids = F.sequence(F.lit(0), F.lit(len(sweep.scenarios) - 1))
+    return effort.withColumns({"sidx": F.explode(ids), "start_year": F.substring("crab_year", 1, 4).cast("int")})
 
 
 def _scaled(df: DataFrame, flag: Column, factor: Column) -> DataFrame:
     return df.withColumns({m: F.when(flag, F.col(m) * factor).otherwise(F.col(m)) for m in METRICS})
 
 
+def _sure(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False))
+
+
 def season_starts(effort: DataFrame, key: DataFrame | None = None, backstop: DataFrame | None = None) -> DataFrame:
     """First date and earliest lawful start per crab year and region.
 
@@ -172,189 +176,189 @@ def season_starts(effort: DataFrame, key: DataFrame | None = None, backstop: Dat
     return first.withColumn("backstop", F.make_date(year, F.lit(11), day))
 
 
-def start_date() -> Column:
-    """Season start of a row: the later of first date minus preseason days and the backstop."""
-    return later_of(F.date_sub("first_date", _p("preseason_days")), "backstop")
-
+def early_data(df: DataFrame, sweep: Sweep) -> DataFrame:
+    """Effort before the season start: moved onto it, or removed.
 
-def early_data(df: DataFrame) -> DataFrame:
-    """Effort before the season start: moved onto it, or removed. Needs ``season_start``."""
-    pile = _p("early_method") == "pile"
-    early = F.col("date") < F.col("season_start")
-    return (
-        df.where(pile | ~early)
-        .withColumn("date", F.when(pile, later_of("date", "season_start")).otherwise(F.col("date")))
-        .withColumn("year_month", F.when(pile, cal.year_month("date")).otherwise(F.col("year_month")))
+    Needs first_date and backstop; the start is the later of the first date minus the preseason days
+    and the backstop.
+    """
+    pile = sweep.of(lambda s: s.early_method == "pile", "boolean")
+    started = df.withColumn(
+        "season_start", later_of(F.date_sub("first_date", sweep.param("preseason_days", "int")), "backstop")
     )
+    kept = started.where(pile | (F.col("date") >= F.col("season_start")))
+    return kept.withColumn("date", F.when(pile, later_of("date", "season_start")).otherwise(F.col("date")))
 
 
-def reduce_before(df: DataFrame) -> DataFrame:
-    hit = F.coalesce(_region_hit("before") & (F.col("date") < _anchor("before")), F.lit(False))
-    return _scaled(df, hit, 1 - _p("before_pct") / 100)
+def reduce_before(df: DataFrame, sweep: Sweep) -> DataFrame:
+    hit = _sure(sweep.region_hit("before") & (F.col("date") < sweep.anchor("before")))
+    return _scaled(df, hit, 1 - sweep.param("before_pct") / 100)
 
 
-def delay_dates(df: DataFrame) -> DataFrame:
+def delay_dates(df: DataFrame, sweep: Sweep) -> DataFrame:
     """Delayed opening: drop closed rows (remove, depth) or shift dates (lag, pile).
 
-    Adds ``date_old``, ``ym_old``, ``days_shifted`` and ``open_date``.
+    Adds ``date_old``, ``days_shifted`` and ``open_date``.
     """
-    on = _p("delay_month").isNotNull() & _region_hit("delay")
-    opened = F.when(on, _anchor("delay"))
+    is_ = lambda m: sweep.of(lambda s: s.delay_method == m, "boolean")
+    opened = df.withColumn("open_date", F.when(sweep.region_hit("delay"), sweep.anchor("delay")))
+    before = _sure(F.col("date") < F.col("open_date"))
+    gone = before & (is_("remove") | (is_("depth") & ~sweep.in_depth()))
     late = F.greatest(F.datediff("open_date", "season_start"), F.lit(0))
-    shift = F.when(_p("delay_method") == "lag", late).when(
-        (_p("delay_method") == "pile") & (F.col("date") <= F.col("open_date")), late
-    )
-    closed = F.col("open_date").isNotNull() & (F.col("date") < F.col("open_date"))
-    gone = F.coalesce(
-        closed & ((_p("delay_method") == "remove") | ((_p("delay_method") == "depth") & ~_in_depth())), F.lit(False)
-    )
+    shift = F.when(is_("lag") | (is_("pile") & (F.col("date") <= F.col("open_date"))), late)
     return (
-        df.withColumn("open_date", opened)
-        .where(~gone)
-        .withColumns({"date_old": F.col("date"), "ym_old": F.col("year_month")})
-        .withColumn("days_shifted", F.coalesce(F.when(F.col("open_date").isNotNull(), shift), F.lit(0)))
+        opened.where(~gone)
+        .withColumns({"date_old": F.col("date"), "days_shifted": F.coalesce(shift, F.lit(0))})
         .withColumn("date", F.date_add("date_old", F.col("days_shifted")))
-        .withColumn("year_month", cal.year_month("date"))
     )
 
 
-def redistribute(df: DataFrame, group=("scenario",)) -> DataFrame:
+def redistribute(df: DataFrame, group=("sidx",)) -> DataFrame:
     """Spread displaced effort over base effort of the target region and month.
 
-    Needs ``to_shift`` and ``is_base`` (booleans), ``target_region``, ``pct``,
-    ``date``/``year_month`` and ``ym_old``. Displaced totals per (target region,
-    new month), times ``pct``, go to base rows of that region and old month in
-    proportion to their pings. Displaced rows whose target has no base stay where they
-    are, scaled and flagged ``nobase``. Regrouped to one row per cell and date.
+    Needs ``to_shift`` and ``is_base`` (booleans), ``target_region``, ``pct``, ``date`` and ``date_old``.
+    Displaced totals per (target region, new month), times ``pct``, go to base rows of that region and
+    old month in proportion to their pings. Displaced rows whose target has no base stay where they
+    are, scaled and flagged ``nobase``. Rows are additive: a base row and its gain are two rows.
     """
     group = list(group)
-    slot = [*group, "_region", "_ym"]
+    month = lambda c: F.trunc(c, "month")
+    d = df.withColumns({"_ym_old": month("date_old"), "_ym": month("date")})
     base = (
-        df.where("is_base")
-        .groupBy(*group, F.col("region").alias("_region"), F.col("ym_old").alias("_ym"))
+        d.where("is_base")
+        .groupBy(*group, "region", "_ym_old")
         .agg(F.sum("pings").alias("_base_pings"))
     )
-    displaced = (
-        df.where("to_shift")
-        .groupBy(*group, F.col("target_region").alias("_region"), F.col("year_month").alias("_ym"))
+    gain = (
+        d.where("to_shift")
+        .groupBy(*group, F.col("target_region").alias("region"), F.col("_ym").alias("_ym_old"))
         .agg(*[F.sum(F.col(m) * F.col("pct")).alias(f"_add_{m}") for m in METRICS])
     )
-    # Both tables have at most scenarios x regions x months rows.
-    receive = base.join(displaced, slot).withColumnsRenamed({"_region": "region", "_ym": "ym_old"})
-    has_base = base.select(*group, F.col("_region").alias("target_region"), F.col("_ym").alias("year_month"), F.lit(True).alias("_has_base"))
-
-    j = df.join(receive, [*group, "region", "ym_old"], "left").join(
-        has_base, [*group, "target_region", "year_month"], "left"
+    slot = [*group, "region", "_ym_old"]
+    # At most scenarios x regions x months rows each, whatever the effort table holds.
+    receive = F.broadcast(base.join(gain, slot))
+    based = F.broadcast(
+        base.select(*group, F.col("region").alias("target_region"), F.col("_ym_old").alias("_ym"), F.lit(True).alias("_has_base"))
     )
+    j = d.join(receive, slot, "left").join(based, [*group, "target_region", "_ym"], "left")
     share = F.col("pings") / F.col("_base_pings")
 
-    def row(nobase: bool, values: dict[str, Column]) -> Column:
+    def piece(nobase: bool, values: dict[str, Column]) -> Column:
         return F.struct(F.lit(nobase).alias("nobase"), *[values[m].cast("double").alias(m) for m in METRICS])
 
-    lost = F.col("to_shift") & F.col("_has_base").isNull()
     pieces = F.array(
-        F.when(~F.col("to_shift"), row(False, {m: F.col(m) for m in METRICS})),
-        F.when(
-            F.col("is_base") & F.col("_base_pings").isNotNull(),
-            row(False, {m: F.col(f"_add_{m}") * share for m in METRICS}),
-        ),
-        F.when(lost, row(True, {m: F.col(m) * F.col("pct") for m in METRICS})),
-    )
-    keep = [c for c in ("crab_year", "cell_id", "region", "depth", "bia", "year_month", "date", "season_end", "region_end", "p") if c in df.columns]
-    out = j.withColumn("_piece", F.explode(F.array_compact(pieces))).select(
-        *group, *keep, F.col("nobase").alias("_nb0") if "nobase" in df.columns else F.lit(False).alias("_nb0"), "_piece.*"
+        F.when(~F.col("to_shift"), piece(False, {m: F.col(m) for m in METRICS})),
+        F.when(F.col("is_base") & F.col("_base_pings").isNotNull(), piece(False, {m: F.col(f"_add_{m}") * share for m in METRICS})),
+        F.when(F.col("to_shift") & F.col("_has_base").isNull(), piece(True, {m: F.col(m) * F.col("pct") for m in METRICS})),
     )
-    return _regroup(out.withColumn("nobase", F.col("nobase") | F.col("_nb0")).drop("_nb0"), group)
+    keep = [c for c in df.columns if c not in {*METRICS, "nobase", "to_shift", "is_base", "target_region", "pct", "date_old"}]
+    return j.withColumn("_piece", F.explode(F.array_compact(pieces))).select(*keep, "_piece.*")
 
 
-def _regroup(df: DataFrame, group) -> DataFrame:
-    """One row per scenario, cell, date and nobase flag."""
-    cell = ["crab_year", "cell_id", "region", "year_month", "date", "nobase"]
-    carried = [c for c in ("depth", "bia", "season_end", "region_end", "p") if c in df.columns]
-    return df.groupBy(*group, *cell).agg(
-        *[F.sum(m).alias(m) for m in METRICS], *[F.first(c).alias(c) for c in carried]
-    )
+def _redistributed(df: DataFrame, sweep: Sweep, test, flag) -> DataFrame:
+    """Run ``flag`` and the redistribution on the scenarios that need it; the others pass by.
 
+    Rows already without a base are final and pass by as well. The flagged rows are checkpointed because
+    the redistribution reads them three times.
+    """
+    ids = sweep.which(test)
+    mine = F.col("sidx").isin(ids) & ~F.col("nobase")
+    return df.where(~mine).unionByName(redistribute(staged(flag(df.where(mine)))))
 
-def _delay_step(df: DataFrame, redistribute_any: bool) -> DataFrame:
-    d = delay_dates(df)
-    if not redistribute_any:
-        return d.drop("date_old", "ym_old", "days_shifted", "open_date")
-    fidelity = (_p("delay_fidelity") == "temporal") & _p("delay_method").isin("lag", "pile") & F.col("open_date").isNotNull()
-    flagged = d.withColumns(
-        {
-            "to_shift": F.coalesce(fidelity & (F.col("days_shifted") > 0), F.lit(False)),
-            "is_base": F.coalesce(fidelity & (F.col("date_old") >= F.col("open_date")), F.lit(False)),
-            "target_region": F.col("region"),
-            "pct": F.lit(1.0),
-        }
-    )
-    return redistribute(staged(flagged.drop("date_old", "days_shifted", "open_date", "season_start")))
 
+def delay_opening(df: DataFrame, sweep: Sweep) -> DataFrame:
+    extra = ["date_old", "days_shifted", "open_date"]
+    temporal = lambda s: bool(s.delay) and s.delay_fidelity == "temporal" and s.delay_method in ("lag", "pile")
+    if not sweep.which(temporal):
+        return delay_dates(df, sweep).drop(*extra)
 
-def reduce_after(df: DataFrame, redistribute_any: bool) -> DataFrame:
-    """Percentage reduction after a date, optionally handing the cut effort to the other California region."""
-    after = F.coalesce(F.col("date") >= _anchor("after"), F.lit(False))
-    hit = after & _region_hit("after")
-    cut = _p("after_pct") / 100
-    if not redistribute_any:
-        return _scaled(df, hit, 1 - cut)
-    wanted = hit & _p("after_redist")
-    kept, moved = F.lit(False), F.lit(True)
-    parts = df.withColumn("_hit", hit).withColumn("_after", after).withColumn(
-        "_moved", F.explode(F.when(wanted, F.array(kept, moved)).otherwise(F.array(kept)))
-    )
-    factor = F.when(F.col("_moved"), cut).when(F.col("_hit"), 1 - cut).otherwise(F.lit(1.0))
-    scaled = parts.withColumns({m: F.col(m) * factor for m in METRICS})
-    other = F.when(F.array_contains(_p("after_regions"), "CenCA"), "NorCA").otherwise("CenCA")
-    flagged = scaled.withColumns(
-        {
-            "to_shift": F.col("_moved"),
-            "is_base": ~F.col("_moved") & F.col("_after") & ~F.col("_hit") & _p("after_redist"),
-            "target_region": F.when(F.col("_moved"), other),
-            "pct": _p("after_redist_pct") / 100,
-            "ym_old": F.col("year_month"),
-        }
-    )
-    return redistribute(staged(flagged.drop("_hit", "_after", "_moved")))
+    def flag(d: DataFrame) -> DataFrame:
+        return delay_dates(d, sweep).withColumns(
+            {
+                "to_shift": F.col("days_shifted") > 0,
+                "is_base": _sure(F.col("date_old") >= F.col("open_date")),
+                "target_region": F.col("region"),
+                "pct": F.lit(1.0),
+            }
+        ).drop("days_shifted", "open_date")
+
+    ids = sweep.which(temporal)
+    spatial = delay_dates(df.where(~F.col("sidx").isin(ids)), sweep).drop(*extra)
+    return spatial.unionByName(redistribute(staged(flag(df.where(F.col("sidx").isin(ids))))))
 
 
-def close_early(df: DataFrame, redistribute_any: bool) -> DataFrame:
+def reduce_after(df: DataFrame, sweep: Sweep) -> DataFrame:
+    """Percentage reduction after a date, optionally handing the cut effort to the other California region."""
+    after = _sure(F.col("date") >= sweep.anchor("after"))
+    hit = after & sweep.region_hit("after") & ~F.col("nobase")
+    cut = sweep.param("after_pct") / 100
+    plain = lambda d: _scaled(d, hit, 1 - cut)
+
+    def flag(d: DataFrame) -> DataFrame:
+        copies = F.when(hit, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        other = sweep.of(lambda s: "NorCA" if s.after_regions == ("CenCA",) else "CenCA", "string")
+        factor = F.when(F.col("_moved"), cut).when(hit, 1 - cut).otherwise(F.lit(1.0))
+        # Flags first: they look at the dates, not at the metrics that are scaled next.
+        return (
+            d.withColumn("_moved", F.explode(copies))
+            .withColumns(
+                {
+                    "to_shift": F.col("_moved"),
+                    "is_base": ~F.col("_moved") & after & ~hit,
+                    "target_region": F.when(F.col("_moved"), other),
+                    "pct": sweep.param("after_redist_pct") / 100,
+                    "date_old": F.col("date"),
+                    **{m: F.col(m) * factor for m in METRICS},
+                }
+            )
+            .drop("_moved")
+        )
+
+    redist = lambda s: bool(s.after) and s.after_redist
+    ids = sweep.which(redist)
+    if not ids:
+        return plain(df)
+    mine = F.col("sidx").isin(ids) & ~F.col("nobase")
+    return plain(df.where(~mine)).unionByName(redistribute(staged(flag(df.where(mine)))))
+
+
+def close_early(df: DataFrame, sweep: Sweep) -> DataFrame:
     """Early closure: remove, depth, temporal or both, for all, listed regions or the protected areas."""
-    post = F.coalesce(F.col("date") >= _anchor("closure"), F.lit(False))
-    r = _p("closure_regions")
-    in_bia = F.array_contains(r, "BIA")
-    closed = post & ((in_bia & F.coalesce(F.col("bia"), F.lit(False))) | (~in_bia & _region_hit("closure")))
-    method = _p("closure_method")
-    gone = F.coalesce(closed & ((method == "remove") | ((method == "depth") & ~_in_depth())), F.lit(False))
-    d = df.withColumns({"_post": post, "_closed": closed}).where(~gone)
-    if not redistribute_any:
-        return d.drop("_post", "_closed")
-    moves = F.coalesce(
-        F.col("_closed") & ((method == "temporal") | ((method == "depth+temporal") & ~_in_depth())), F.lit(False)
-    )
-    spreads = F.coalesce(method.isin("temporal", "depth+temporal"), F.lit(False))
-    other = F.when(F.col("region") == "CenCA", "NorCA").when(F.col("region") == "NorCA", "CenCA")
-    target = F.when((method == "temporal") & ~in_bia, other).otherwise(F.col("region"))
-    flagged = d.withColumns(
-        {
-            "to_shift": moves,
-            "is_base": spreads & ~moves & F.col("_post"),
-            "target_region": F.when(moves, target),
-            "pct": _p("closure_pct") / 100,
-            "ym_old": F.col("year_month"),
-        }
-    )
-    return redistribute(staged(flagged.drop("_post", "_closed")))
+    is_ = lambda *m: sweep.of(lambda s: s.closure_method in m, "boolean")
+    in_bia = sweep.of(lambda s: s.closure_regions == ("BIA",), "boolean")
+    post = _sure(F.col("date") >= sweep.anchor("closure"))
+    closed = post & ((in_bia & _sure(F.col("bia"))) | (~in_bia & sweep.region_hit("closure"))) & ~F.col("nobase")
+    gone = closed & (is_("remove") | (is_("depth") & ~sweep.in_depth()))
+
+    def flag(d: DataFrame) -> DataFrame:
+        moves = closed & (is_("temporal") | (is_("depth+temporal") & ~sweep.in_depth()))
+        other = F.when(F.col("region") == "CenCA", "NorCA").when(F.col("region") == "NorCA", "CenCA")
+        target = F.when(is_("temporal") & ~in_bia, other).otherwise(F.col("region"))
+        return d.withColumns(
+            {
+                "to_shift": moves,
+                "is_base": ~moves & post,
+                "target_region": F.when(moves, target),
+                "pct": sweep.param("closure_pct") / 100,
+                "date_old": F.col("date"),
+            }
+        )
+
+    spreads = lambda s: bool(s.closure) and s.closure_method in ("temporal", "depth+temporal")
+    if not sweep.which(spreads):
+        return df.where(~gone)
+    return _redistributed(df.where(~gone), sweep, spreads, flag)
 
 
 def season_ends(effort: DataFrame) -> DataFrame:
     """Last observed date and lawful end (June 30 for CenCA, July 15 else) per crab year and region."""
+    ends = effort.groupBy("crab_year", "region").agg(F.max("date").alias("season_end"))
+    return ends.withColumn("region_end", region_end(F.substring("crab_year", 6, 4).cast("int")))
+
+
+def region_end(year: Column) -> Column:
     cen = F.col("region") == "CenCA"
-    year = F.substring("crab_year", 6, 4).cast("int")
-    return effort.groupBy("crab_year", "region").agg(F.max("date").alias("season_end")).withColumn(
-        "region_end", F.make_date(year, F.when(cen, 6).otherwise(7), F.when(cen, 30).otherwise(15))
-    )
+    return F.make_date(year, F.when(cen, 6).otherwise(7), F.when(cen, 30).otherwise(15))
 
 
 def end_flags(df: DataFrame) -> DataFrame:
@@ -366,52 +370,55 @@ def end_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def run_scenarios(effort: DataFrame, scenarios: list[Scenario], season_key=None, backstop=None) -> DataFrame:
-    """Shift, cut and spread the effort of every scenario; one row per scenario, cell and date.
+def run_scenarios(
+    effort: DataFrame, scenarios: list[Scenario], season_key=None, backstop=None, compact: bool = False
+) -> DataFrame:
+    """Shift, cut and spread the effort of every scenario in one plan.
 
-    ``effort`` needs crab_year, year_month, date, cell_id, region, depth, bia and
-    the metrics. Rows flagged ``nobase`` could not be placed and are left to the caller.
+    ``effort`` needs crab_year, date, cell_id, region, depth, bia and the metrics. The result is
+    additive: a scenario, cell and date may have several rows, unless ``compact`` merges them at the price
+    of a shuffle. Rows flagged ``nobase`` could not be placed and are left to the caller.
     """
-    require_columns(effort, ["crab_year", "year_month", "date", "cell_id", "region", "depth", "bia", *METRICS])
-    sweep = [s.check() for s in scenarios]
-    base = staged(effort)
+    need = ["crab_year", "date", "cell_id", "region", "depth", "bia", *METRICS]
+    sweep = Sweep(scenarios)
+    # Spread by the unique cell and date: every scenario multiplies these rows, and a small staged
+    # table would otherwise sit in one partition.
+    spread = require_columns(effort, need).select(*need)
+    base = staged(spread.repartition(shuffle_width(effort.sparkSession), "cell_id", "date"))
+    # One row per crab year and region.
     starts = season_starts(base, season_key, backstop)
-    d = with_scenarios(base, sweep).join(starts, ["crab_year", "region"])
-    d = early_data(d.withColumn("season_start", start_date())).drop("first_date", "backstop")
-
-    # The lawful-end table follows the effort after early data have been handled.
-    ends = (
-        d.groupBy("scenario", "crab_year", "region").agg(F.max("date").alias("season_end"))
-    )
-    cen, year = F.col("region") == "CenCA", F.substring("crab_year", 6, 4).cast("int")
-    ends = ends.withColumn(
-        "region_end", F.make_date(year, F.when(cen, 6).otherwise(7), F.when(cen, 30).otherwise(15))
-    )
-
-    d = d.withColumn("nobase", F.lit(False))
-    if any(s.before for s in sweep):
-        d = reduce_before(d)
-    if any(s.delay for s in sweep):
-        d = _delay_step(d, any(s.delay and s.delay_fidelity == "temporal" for s in sweep))
-    # Rows without a base are final: they skip the later rules.
-    lost = d.where("nobase") if any(s.delay and s.delay_fidelity == "temporal" for s in sweep) else None
-    d = d.where(~F.col("nobase"))
-    if any(s.after for s in sweep):
-        redist = any(s.after_redist for s in sweep)
-        d = reduce_after(d, redist)
-        if redist:
-            more = d.where("nobase")
-            lost = more if lost is None else lost.unionByName(more, allowMissingColumns=True)
-            d = d.where(~F.col("nobase"))
-    if any(s.closure for s in sweep):
-        d = close_early(d, any(s.closure and s.closure_method in ("temporal", "depth+temporal") for s in sweep))
-    if lost is not None:
-        d = d.unionByName(lost.select(*[c for c in d.columns if c in lost.columns]), allowMissingColumns=True)
-    d = d.withColumn("scenario_number", F.col("p.scenario_number")).drop("p", "season_start")
-    out = d.groupBy("scenario", "scenario_number", "crab_year", "year_month", "date", "cell_id", "region", "nobase").agg(
-        *[F.sum(m).cast("double").alias(m) for m in METRICS], F.first("depth").alias("depth"), F.first("bia").alias("bia")
+    ends = base.groupBy("crab_year", "region").agg(F.max("date").alias("season_end"))
+    small = F.broadcast(starts.join(ends, ["crab_year", "region"]))
+    d = early_data(with_scenarios(base.join(small, ["crab_year", "region"]), sweep), sweep)
+    d = d.withColumns(
+        {
+            "nobase": F.lit(False),
+            "season_end": F.when(
+                sweep.of(lambda s: s.early_method == "pile", "boolean"), F.greatest("season_end", "season_start")
+            ).otherwise(F.col("season_end")),
+            **{m: F.col(m).cast("double") for m in METRICS},
+        }
+    ).drop("first_date", "backstop")
+    if sweep.which(lambda s: s.before):
+        d = reduce_before(d, sweep)
+    if sweep.which(lambda s: s.delay):
+        d = delay_opening(d, sweep)
+    if sweep.which(lambda s: s.after):
+        d = reduce_after(d, sweep)
+    if sweep.which(lambda s: s.closure):
+        d = close_early(d, sweep)
+    if compact:
+        keys = ["sidx", "start_year", "crab_year", "date", "cell_id", "region", "nobase", "season_end"]
+        d = d.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in METRICS], F.first("depth").alias("depth"), F.first("bia").alias("bia"))
+    named = d.withColumns(
+        {
+            "scenario": sweep.param("scenario", "string"),
+            "scenario_number": sweep.param("scenario_number", "int"),
+            "year_month": cal.year_month("date"),
+            "region_end": region_end(F.col("start_year") + 1),
+        }
     )
-    return end_flags(out.join(ends, ["scenario", "crab_year", "region"], "left"))
+    return end_flags(named).drop("sidx", "start_year", "season_start")
 
 
 def season_drop_report(scenario_effort: DataFrame) -> DataFrame:

@@ -215,7 +215,7 @@ _REGION_END = "make_date(CAST(substr(crab_year, 6, 4) AS INT), CASE region WHEN
         SELECT scenario, cell_id, date, date > {_REGION_END} AS late, sum(pings) AS pings FROM ({_union(['status_quo', *DELAYS])}) GROUP BY ALL) GROUP BY 1""",
 )
 def out_of_season_report(t):
-    return sn.season_drop_report(sn.run_scenarios(t.effort, _scenarios(["status_quo", *DELAYS])))
+    return sn.season_drop_report(sn.run_scenarios(t.effort, _scenarios(["status_quo", *DELAYS]), compact=True))
 
 
 def _scenario_risk(t, names):
@@ -247,7 +247,7 @@ def _summary_sql(names):
 
 
 @query(
-    "scenario_risk_by_region", "D16 D17", doubles=DBL + " " + " ".join(f"{c}:8" for c in _RISKS),
+    "scenario_risk_by_region", "D16 D17", doubles=DBL + " risk_hump:6 risk_blue:6 n_risk_hump:8 n_risk_blue:8",
     sql=_summary_sql(["status_quo", "close_remove", "close_cen_temporal"]),
 )
 def scenario_risk_by_region(t):
