@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .core import COVERS, QUERIES, SQL
 
-FAMILIES = ["scenarios"]
+FAMILIES = ["risk", "logbook"]
 
 
 def _load():
