@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .core import COVERS, QUERIES, SQL
 
-FAMILIES = ["risk", "logbook"]
+FAMILIES = ["scalars", "sources", "joins", "aggregates", "windows", "reshape", "spatial", "effort", "scenarios", "risk", "logbook", "features", "stats"]
 
 
 def _load():

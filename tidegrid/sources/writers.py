@@ -36,6 +36,6 @@ def attach_cells(df: DataFrame, grid: DataFrame, cell_id: str, columns) -> DataF
     return df.join(grid.select(cell_id, *columns), cell_id, "left")
 
 
-def write_features(df: DataFrame, path: str, ring: str, mode: str = "overwrite") -> None:
-    """Line-delimited JSON with the ring as an array and the other columns as they are."""
+def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Line-delimited JSON; rings are written as arrays of points."""
     df.write.mode(mode).json(path)
