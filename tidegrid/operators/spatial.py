@@ -108,12 +108,17 @@ def intersects_flag(cells: DataFrame, zones: DataFrame, cell_id: str, ring: str,
 def areal_overlay(src: DataFrame, tgt: DataFrame, tgt_id: str, value: str, extra_keys=(), size: float = 1.0) -> DataFrame:
     """Area-weighted mean of source cell values over each target cell.
 
-    Values come long (one row per source cell and date in ``extra_keys``).
+    Values come long (one row per source cell and date in ``extra_keys``). Overlaps are worked out once per
+    distinct source cell and then met by the values, so many dates on one place cost no geometry.
     """
-    pairs = box_pairs(src, tgt, size).withColumn(
-        "_a", box_overlap_area("x0", "y0", "x1", "y1", "x0_r", "y0_r", "x1_r", "y1_r")
+    box = ["x0", "y0", "x1", "y1"]
+    weights = (
+        box_pairs(src.select(*box).distinct(), tgt, size)
+        .withColumn("_a", box_overlap_area(*box, "x0_r", "y0_r", "x1_r", "y1_r"))
+        .where("_a > 0")
+        .select(*box, tgt_id, "_a")
     )
-    used = pairs.where((F.col("_a") > 0) & F.col(value).isNotNull())
+    used = src.where(F.col(value).isNotNull()).join(weights, box)
     return used.groupBy(tgt_id, *extra_keys).agg(
         (F.sum(F.col(value) * F.col("_a")) / F.sum("_a")).alias(value), F.sum("_a").alias("covered_area")
     )

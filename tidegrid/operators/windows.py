@@ -96,10 +96,11 @@ def ends_of_group(df: DataFrame, keys, order) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(s).alias("first_row"), F.max(s).alias("last_row"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def every_nth(df: DataFrame, keys, order, n: int) -> DataFrame:
-    """Every n-th row of a group; for groups as small as the points of one line."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") % n == 0).drop("_rn")
+def every_nth(df: DataFrame, keys, order: str, n: int) -> DataFrame:
+    """Every n-th row of a group by a numeric order that is unique in the group, also for hot groups."""
+    numbered = running_counts(value_counts(df, keys, order), keys, order, ["n"])
+    keep = numbered.where(F.col("n_upto") % n == 0).select(*keys, order)
+    return df.join(keep, [*keys, order], "left_semi")
 
 
 def group_size_is(df: DataFrame, keys, size: int) -> DataFrame:

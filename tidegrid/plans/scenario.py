@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.nulls import later_of, require_columns
-from ..session import shuffle_width, staged
+from ..session import staged
 from .effort import METRICS
 
 REGIONS = ("CenCA", "NorCA", "OR", "WA")
@@ -384,7 +384,7 @@ def run_scenarios(
     # Spread by the unique cell and date: every scenario multiplies these rows, and a small staged
     # table would otherwise sit in one partition.
     spread = require_columns(effort, need).select(*need)
-    base = staged(spread.repartition(shuffle_width(effort.sparkSession), "cell_id", "date"))
+    base = staged(spread.repartition(effort.sparkSession.sparkContext.defaultParallelism, "cell_id", "date"))
     # One row per crab year and region.
     starts = season_starts(base, season_key, backstop)
     ends = base.groupBy("crab_year", "region").agg(F.max("date").alias("season_end"))

@@ -204,12 +204,12 @@ _T = ag.t_table(0.95)
 
 @query(
     "mean_with_t_interval", "A21", doubles="mean sd lo hi",
-    sql=f"""SELECT cell_id, n, mean, sd, CASE WHEN n > 1 THEN mean - h END AS lo, CASE WHEN n > 1 THEN mean + h END AS hi FROM (
+    sql=f"""SELECT cell_id, year_month, n, mean, sd, CASE WHEN n > 1 THEN mean - h END AS lo, CASE WHEN n > 1 THEN mean + h END AS hi FROM (
         SELECT *, {_T}[greatest(least(n - 1, {len(_T)}), 1)] * sd / sqrt(n) AS h FROM (
-        SELECT cell_id, count(rev) AS n, avg(rev) AS mean, stddev_samp(rev) AS sd FROM effort WHERE date < DATE '1995-06-01' GROUP BY 1))""",
+        SELECT cell_id, year_month, count(rev) AS n, avg(rev) AS mean, stddev_samp(rev) AS sd FROM effort GROUP BY 1, 2))""",
 )
 def mean_with_t_interval(t):
-    return ag.mean_ci(t.effort.where("date < DATE '1995-06-01'"), ["cell_id"], "rev")
+    return ag.mean_ci(t.effort, ["cell_id", "year_month"], "rev")
 
 
 @query(

@@ -98,7 +98,7 @@ class Tables:
     @cached_property
     def bathymetry(self) -> DataFrame:
         """Depth in decimetres per 500 m raster cell over a 40 x 40 window; port cells hold a sentinel."""
-        p = self.read("part").select((F.col("p_partkey") % 1600).alias("k")).distinct()
+        p = self.read("orders").select((F.col("o_orderkey") % 1600).alias("k")).distinct()
         k = F.col("k")
         return p.select(
             (k % 40 - 20).alias("ix"), (F.floor(k / 40) - 20).alias("iy"),
@@ -199,7 +199,7 @@ CTES: dict[str, str] = {
         CAST(embedding[1] AS DOUBLE) * 10000 AS x1, CAST(embedding[2] AS DOUBLE) * 10000 AS y1,
         CAST(embedding[3] AS DOUBLE) * 10000 AS x2, CAST(embedding[4] AS DOUBLE) * 10000 AS y2 FROM embeddings""",
     "bathymetry": """SELECT k % 40 - 20 AS ix, k // 40 - 20 AS iy, CASE WHEN k % 97 = 0 THEN -100000e0 ELSE CAST(-((k * 37) % 2500) AS DOUBLE) END AS depth
-        FROM (SELECT DISTINCT p_partkey % 1600 AS k FROM part)""",
+        FROM (SELECT DISTINCT o_orderkey % 1600 AS k FROM orders)""",
     "cases": """SELECT o_orderkey AS case_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
         ['CenCA', 'NorCA', 'OR', 'WA'][c_nationkey % 4 + 1] AS region
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'""",

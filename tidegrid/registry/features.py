@@ -94,7 +94,7 @@ def closure_covariates(t):
 
 
 @query(
-    "revenue_per_set", "D41 W9", doubles="set_revenue", digits=5,
+    "revenue_per_set", "D41 W9", doubles="set_revenue", digits=7,
     sql="""SELECT ticket_id, cell_id, lbs, revenue * (lbs / sum(lbs) OVER (PARTITION BY ticket_id)) AS set_revenue FROM pings JOIN (SELECT ticket_id, sum(revenue) AS revenue FROM tickets GROUP BY 1) USING (ticket_id)""",
 )
 def revenue_per_set(t):
@@ -132,10 +132,10 @@ def vessel_movement_matrix(t):
 
 @query(
     "share_outside_domain", "D48", doubles="total outside share_outside",
-    sql=f"""SELECT crab_year, sum(lbs) AS total, sum(lbs) FILTER (cell_id % 3 <> 0) AS outside, sum(lbs) FILTER (cell_id % 3 <> 0) / sum(lbs) AS share_outside FROM effort GROUP BY 1""",
+    sql=f"""SELECT crab_year, sum(lbs) AS total, sum(lbs) FILTER (depth <= -150) AS outside, sum(lbs) FILTER (depth <= -150) / sum(lbs) AS share_outside FROM effort GROUP BY 1""",
 )
 def share_outside_domain(t):
-    return ft.share_outside(t.effort, t.grid.where("cell_id % 3 = 0"), "cell_id", ["crab_year"], "lbs")
+    return ft.share_outside(t.effort, t.grid.where("depth > -150"), "cell_id", ["crab_year"], "lbs")
 
 
 @query(

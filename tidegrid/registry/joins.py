@@ -89,12 +89,12 @@ def anti_join_unseen_tickets(t):
     "combination_spine", "J7 R4",
     sql="""SELECT c.cell_id, y.cy AS crab_year, h.half_month FROM (SELECT DISTINCT cell_id FROM pings) c,
         (SELECT DISTINCT CASE WHEN month(date) >= 11 THEN year(date) || '_' || (year(date) + 1) ELSE (year(date) - 1) || '_' || year(date) END AS cy FROM pings) y,
-        (SELECT DISTINCT monthname(date) || '_' || CASE WHEN day(date) <= 15 THEN 1 ELSE 2 END AS half_month FROM pings WHERE month(date) IN (12, 1, 2)) h""",
+        (SELECT DISTINCT monthname(date) || '_' || CASE WHEN day(date) <= 15 THEN 1 ELSE 2 END AS half_month FROM pings) h""",
 )
 def combination_spine(t):
     p = t.pings
     years = p.select(cal.crab_year("date").alias("crab_year"))
-    halves = p.where(F.month("date").isin(12, 1, 2)).select(cal.half_month("date").alias("half_month"))
+    halves = p.select(cal.half_month("date").alias("half_month"))
     return jn.spine(p.select("cell_id"), years, halves)
 
 
@@ -135,11 +135,11 @@ def event_lookback_rows(t):
         FROM (SELECT DISTINCT port FROM tickets) p, (SELECT DISTINCT year(landing_date) AS year FROM tickets) y
         LEFT JOIN prices a ON a.port = p.port AND a.year = y.year
         LEFT JOIN prices b ON b.port = (CASE p.port WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 6 THEN 7 WHEN 8 THEN 9 WHEN 10 THEN 11 END) AND b.year = y.year"""
-    .replace("prices", "(SELECT port, year(landing_date) AS year, avg(revenue) AS price FROM tickets WHERE port % 2 = 1 AND NOT (port IN (3, 5) AND year(landing_date) = 1997) GROUP BY 1, 2)"),
+    .replace("prices", "(SELECT port, year(landing_date) AS year, avg(revenue) AS price FROM tickets GROUP BY 1, 2 HAVING avg(revenue) >= 250000)"),
 )
 def price_fallback_join(t):
     k = t.tickets.select("port", F.year("landing_date").alias("year"), "revenue")
-    prices = k.where("port % 2 = 1 AND NOT (port IN (3, 5) AND year = 1997)").groupBy("port", "year").agg(F.avg("revenue").alias("price"))
+    prices = k.groupBy("port", "year").agg(F.avg("revenue").alias("price")).where("price >= 250000")
     full = jn.spine(k.select("port"), k.select("year"))
     neighbours = {0: 1, 2: 3, 4: 5, 5: 2, 6: 7, 8: 9, 10: 11}
     return jn.fallback_join(full, prices, "port", ["year"], "price", neighbours, {2: 1.49, 5: 1.19})
@@ -186,8 +186,8 @@ def baseline_relative_rows(t):
 
 @query(
     "superseding_stage_join", "J18", doubles="depth area",
-    sql="""SELECT g.cell_id, g.area, d.depth, d.n FROM grid g LEFT JOIN (SELECT cell_id, -avg(lbs) AS depth, count(*) AS n FROM pings WHERE cell_id % 3 > 0 GROUP BY 1) d USING (cell_id)""",
+    sql="""SELECT g.cell_id, g.area, d.depth, d.n FROM grid g LEFT JOIN (SELECT cell_id, -avg(lbs) AS depth, count(*) AS n FROM pings WHERE lbs > 10 GROUP BY 1) d USING (cell_id)""",
 )
 def superseding_stage_join(t):
-    new = t.pings.where("cell_id % 3 > 0").groupBy("cell_id").agg((-F.avg("lbs")).alias("depth"), F.count(F.lit(1)).alias("n"))
+    new = t.pings.where("lbs > 10").groupBy("cell_id").agg((-F.avg("lbs")).alias("depth"), F.count(F.lit(1)).alias("n"))
     return jn.replace_columns_join(t.grid.select("cell_id", "area", "depth"), new, ["cell_id"])

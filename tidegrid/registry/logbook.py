@@ -51,25 +51,25 @@ def logbook_compile(t):
 
 @query(
     "endpoints_to_lines", "G6 W12", doubles="x1 y1 x2 y2",
-    sql="""SELECT set_id, vessel, x1, y1, x2, y2 FROM lines WHERE set_id % 7 <> 0""",
+    sql="""SELECT set_id, vessel, x1, y1, x2, y2 FROM lines WHERE x1 <= 500""",
 )
 def endpoints_to_lines(t):
-    ends = t.lines.select("set_id", "vessel", F.explode(F.array(
+    ends = t.lines.select("set_id", "vessel", F.col("x1").alias("first_x"), F.explode(F.array(
         F.struct(F.lit(1).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")),
         F.struct(F.lit(2).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")),
-    )).alias("e")).select("set_id", "vessel", "e.*")
-    # Every seventh set lacks its second end; repeated rows must not count twice.
-    broken = ends.where("NOT (set_id % 7 = 0 AND seq = 2)")
-    return lb.endpoints_to_lines(broken.unionByName(broken.where("set_id % 5 = 0")), "set_id", "seq", "x", "y", ["vessel"])
+    )).alias("e")).select("set_id", "vessel", "first_x", "e.*")
+    # Sets that begin east of 500 m lack their second end; repeated rows must not count twice.
+    broken = ends.where("NOT (first_x > 500 AND seq = 2)")
+    return lb.endpoints_to_lines(broken.unionByName(broken.where("y > 0")), "set_id", "seq", "x", "y", ["vessel"])
 
 
 @query(
     "line_quality_filter", "G10 G11", doubles="len",
-    sql="""SELECT set_id, pots, len FROM (SELECT *, CASE WHEN set_id % 11 = 0 THEN 0 ELSE sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) END AS len FROM lines)
+    sql="""SELECT set_id, pots, len FROM (SELECT *, CASE WHEN x1 > 1000 THEN 0 ELSE sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) END AS len FROM lines)
         WHERE len < 2500 AND NOT (len = 0 AND pots > 10)""",
 )
 def line_quality_filter(t):
-    l = t.lines.withColumn("len", F.when(F.col("set_id") % 11 == 0, 0.0).otherwise(F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)))
+    l = t.lines.withColumn("len", F.when(F.col("x1") > 1000, 0.0).otherwise(F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)))
     return lb.filter_lines(l, "len", "pots", 2500.0, 10).select("set_id", "pots", "len")
 
 
@@ -104,7 +104,7 @@ def trap_density_two_ways(t):
     "ticket_calibrated_pots", "D35 A23", doubles="calibrated", digits=6,
     sql=f"""WITH p AS (SELECT strftime(date, '%Y_%m') AS year_month, cell_id, vessel_id, pot_limit FROM pings JOIN permits USING (vessel_id)),
         c AS (SELECT year_month, cell_id, count(*) AS n FROM p GROUP BY 1, 2),
-        lg AS (SELECT year_month, sum(pot_limit) AS lp FROM (SELECT DISTINCT year_month, vessel_id, pot_limit FROM p WHERE cell_id % 4 = 0) GROUP BY 1),
+        lg AS (SELECT year_month, sum(pot_limit) AS lp FROM (SELECT DISTINCT year_month, vessel_id, pot_limit FROM p JOIN grid USING (cell_id) WHERE depth < -100) GROUP BY 1),
         tk AS (SELECT year_month, sum(pot_limit) AS tp FROM (SELECT DISTINCT strftime(landing_date, '%Y_%m') AS year_month, vessel_id, pot_limit FROM tickets JOIN permits USING (vessel_id)) GROUP BY 1)
         SELECT c.year_month, cell_id, n * tp / lp AS calibrated FROM c LEFT JOIN lg USING (year_month) LEFT JOIN tk USING (year_month)""",
 )
@@ -113,7 +113,7 @@ def ticket_calibrated_pots(t):
     p = p.join(t.permits, "vessel_id")
     cells = p.groupBy("year_month", "cell_id").agg(F.sum("n").alias("n"))
     tickets = t.tickets.select("vessel_id", cal.year_month("landing_date").alias("year_month")).distinct().join(t.permits, "vessel_id")
-    return lb.calibrate_to_tickets(cells, p.where("cell_id % 4 = 0"), tickets, ["year_month"], "vessel_id", "pot_limit", "n").select("year_month", "cell_id", "calibrated")
+    return lb.calibrate_to_tickets(cells, p.join(t.grid.where("depth < -100").select("cell_id"), "cell_id", "left_semi"), tickets, ["year_month"], "vessel_id", "pot_limit", "n").select("year_month", "cell_id", "calibrated")
 
 
 @query(

@@ -6,18 +6,17 @@ from ..functions import calendar as cal
 from ..operators import reshape as rs
 from .core import query
 
-_MONTHS = [f"1998_{m:02d}" for m in range(1, 13)]
+# The months of the prediction columns; the wide form names its columns, so the list is given.
+_MONTHS = [f"{y}_{m:02d}" for y in range(1992, 2003) for m in range(1, 13)]
 
 
 @query(
     "dated_columns_to_long", "R1", doubles="dens",
-    sql="""SELECT cell_id, make_date(CAST(substr(year_month, 1, 4) AS INT), CAST(substr(year_month, 6, 2) AS INT), 1) AS date, dens FROM species
-        WHERE substr(year_month, 1, 4) = '1998' UNION ALL SELECT c.cell_id, m.d, NULL FROM (SELECT DISTINCT cell_id FROM species WHERE substr(year_month, 1, 4) = '1998') c,
-        (SELECT make_date(1998, CAST(i AS INT), 1) AS d FROM range(1, 13) r(i)) m WHERE (c.cell_id, strftime(m.d, '%Y_%m')) NOT IN (SELECT (cell_id, year_month) FROM species)""",
+    sql="""SELECT c.cell_id, m.d AS date, dens FROM (SELECT DISTINCT cell_id FROM species) c, (SELECT make_date(CAST(y AS INT), CAST(i AS INT), 1) AS d FROM range(1, 13) r(i), range(1992, 2003) q(y)) m
+        LEFT JOIN species s ON s.cell_id = c.cell_id AND s.year_month = strftime(m.d, '%Y_%m')""",
 )
 def dated_columns_to_long(t):
     wide = rs.pivot_values(t.species, ["cell_id"], "year_month", _MONTHS, {"v": F.first("dens")})
-    wide = wide.join(t.species.where("year_month like '1998%'").select("cell_id"), "cell_id", "left_semi")
     named = wide.withColumnsRenamed({m: f"Avg_Monthly_{m}_01" for m in _MONTHS})
     return rs.dated_columns_to_long(named, ["cell_id"], "dens")
 
@@ -53,10 +52,10 @@ def complete_year_sequence(t):
 
 @query(
     "nested_list_explode", "R6", doubles="value",
-    sql="SELECT vec_id, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) * 2 AS value FROM embeddings, range(1, 5) r(i)",
+    sql="SELECT vec_id, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) * 2 AS value FROM embeddings, range(1, 1001) r(i) WHERE i <= len(embedding)",
 )
 def nested_list_explode(t):
-    doubled = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 2)
+    doubled = F.transform("embedding", lambda v: v.cast("double") * 2)
     return t.read("embeddings").select("vec_id", F.posexplode(doubled).alias("pos", "value"))
 
 

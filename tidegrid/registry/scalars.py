@@ -200,11 +200,11 @@ def null_and_value(t):
 
 @query(
     "lossy_number_cast", "P14",
-    sql="""SELECT doc_id, TRY_CAST(substr(text, 1, 4) AS DOUBLE) AS leading, TRY_CAST(doc_id || '' AS DOUBLE) AS id_number FROM documents""",
+    sql="""SELECT c_custkey, TRY_CAST(split_part(c_name, '#', 2) AS DOUBLE) AS number_part, TRY_CAST(c_name AS DOUBLE) AS whole_name FROM customer""",
 )
 def lossy_number_cast(t):
-    return t.read("documents").select(
-        "doc_id", nl.number_or_null(F.substring("text", 1, 4)).alias("leading"), nl.number_or_null(F.col("doc_id").cast("string")).alias("id_number")
+    return t.read("customer").select(
+        "c_custkey", nl.number_or_null(F.split_part("c_name", F.lit("#"), F.lit(2))).alias("number_part"), nl.number_or_null("c_name").alias("whole_name")
     )
 
 

@@ -238,10 +238,10 @@ def footprint_season_overlap(t):
 
 @query(
     "clip_to_cell_set", "G19", doubles="lbs",
-    sql="SELECT vessel_id, sum(lbs) AS lbs, count(*) AS n FROM pings WHERE cell_id IN (SELECT cell_id FROM grid WHERE region = 'WA') GROUP BY 1",
+    sql="SELECT vessel_id, sum(lbs) AS lbs, count(*) AS n FROM pings WHERE cell_id IN (SELECT cell_id FROM grid WHERE region = 'NorCA') GROUP BY 1",
 )
 def clip_to_cell_set(t):
-    return sp.ever_active(t.pings, t.grid.where("region = 'WA'"), "cell_id").groupBy("vessel_id").agg(
+    return sp.ever_active(t.pings, t.grid.where("region = 'NorCA'"), "cell_id").groupBy("vessel_id").agg(
         F.sum("lbs").alias("lbs"), F.count(F.lit(1)).alias("n")
     )
 

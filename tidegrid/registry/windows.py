@@ -111,7 +111,7 @@ def first_and_last_per_key(t):
     sql="SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn % 2 = 0",
 )
 def every_second_row(t):
-    return wn.every_nth(t.read("conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], 2)
+    return wn.every_nth(t.read("conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", 2)
 
 
 @query(
