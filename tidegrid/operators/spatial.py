@@ -234,17 +234,18 @@ def idw(targets: DataFrame, samples: DataFrame, target_id, keys, value: str, pow
     """
     keys = list(keys)
     sets = samples.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", F.col(value).alias("v"))).alias("_s"))
-    t = targets.join(sets, keys)
-    d = lambda s: F.sqrt((s["x"] - F.col("x")) * (s["x"] - F.col("x")) + (s["y"] - F.col("y")) * (s["y"] - F.col("y")))
-    exact = F.try_element_at(F.filter("_s", lambda s: d(s) == 0), F.lit(1))["v"]
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"))
-
-    def add(acc: Column, s: Column) -> Column:
-        w = F.pow(d(s), F.lit(-float(power)))
-        return F.struct((acc["n"] + w * s["v"]).alias("n"), (acc["w"] + w).alias("w"))
-
-    folded = F.aggregate("_s", zero, add, lambda a: a["n"] / a["w"])
-    return t.withColumn(value, F.coalesce(exact.cast("double"), folded)).drop("_s")
+    # The fold is the work here, not the row count, so the targets are spread over all cores.
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    t = targets.repartition(cores, *target_id, *keys).join(sets, keys)
+    gap = lambda s: (s["x"] - F.col("x")) * (s["x"] - F.col("x")) + (s["y"] - F.col("y")) * (s["y"] - F.col("y"))
+    dist = F.transform("_s", lambda s: F.sqrt(gap(s)))
+    weights = F.transform("_w", lambda d: F.pow(d, F.lit(-float(power))) if power != 1.0 else 1.0 / F.nullif(d, F.lit(0.0)))
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    folded = total(F.zip_with("_w", "_s", lambda w, s: w * s["v"])) / total(F.col("_w"))
+    exact = F.element_at("_s", F.array_position("_w", F.lit(0.0)).cast("int"))["v"]
+    hit = t.withColumn("_w", dist).withColumn("_hit", F.when(F.array_contains("_w", F.lit(0.0)), exact.cast("double")))
+    out = hit.withColumn("_w", weights).withColumn(value, F.coalesce("_hit", folded))
+    return out.drop("_s", "_w", "_hit")
 
 
 def footprint_area(df: DataFrame, keys, cell_id: str, area: str) -> DataFrame:

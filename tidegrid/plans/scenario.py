@@ -370,8 +370,21 @@ def end_flags(df: DataFrame) -> DataFrame:
     )
 
 
+NEEDED = ["crab_year", "date", "cell_id", "region", "depth", "bia", *METRICS]
+
+
+def prepare_effort(effort: DataFrame) -> DataFrame:
+    """Cell-day effort cut to the needed columns, spread evenly and checkpointed for many readers.
+
+    Spread by the unique cell and date: every scenario multiplies these rows, and a small staged
+    table would otherwise sit in one partition.
+    """
+    cores = effort.sparkSession.sparkContext.defaultParallelism
+    return staged(require_columns(effort, NEEDED).select(*NEEDED).repartition(cores, "cell_id", "date"))
+
+
 def run_scenarios(
-    effort: DataFrame, scenarios: list[Scenario], season_key=None, backstop=None, compact: bool = False
+    effort: DataFrame, scenarios: list[Scenario], season_key=None, backstop=None, compact: bool = False, prepared: bool = False
 ) -> DataFrame:
     """Shift, cut and spread the effort of every scenario in one plan.
 
@@ -379,12 +392,8 @@ def run_scenarios(
     additive: a scenario, cell and date may have several rows, unless ``compact`` merges them at the price
     of a shuffle. Rows flagged ``nobase`` could not be placed and are left to the caller.
     """
-    need = ["crab_year", "date", "cell_id", "region", "depth", "bia", *METRICS]
     sweep = Sweep(scenarios)
-    # Spread by the unique cell and date: every scenario multiplies these rows, and a small staged
-    # table would otherwise sit in one partition.
-    spread = require_columns(effort, need).select(*need)
-    base = staged(spread.repartition(effort.sparkSession.sparkContext.defaultParallelism, "cell_id", "date"))
+    base = effort if prepared else prepare_effort(effort)
     # One row per crab year and region.
     starts = season_starts(base, season_key, backstop)
     ends = base.groupBy("crab_year", "region").agg(F.max("date").alias("season_end"))

@@ -8,7 +8,6 @@ from ..plans import scenario as sn
 from ..plans import tradeoff as tr
 from ..plans.effort import METRICS
 from ..plans.scenario import Scenario
-from ..session import staged
 from .bindings import CTES, anchor_sql, crab_year_sql
 from .core import query
 
@@ -219,9 +218,9 @@ def out_of_season_report(t):
 
 
 def _scenario_risk(t, names):
-    base = staged(t.effort)
-    swept = sn.run_scenarios(base, _scenarios(names)).where("NOT nobase AND NOT past_region_end")
-    monthly = base.groupBy("cell_id", "year_month").agg(F.sum("pings").alias("pings"))
+    base = sn.prepare_effort(t.effort)
+    swept = sn.run_scenarios(base, _scenarios(names), prepared=True).where("NOT nobase AND NOT past_region_end")
+    monthly = base.groupBy("cell_id", F.trunc("date", "month")).agg(F.sum("pings").alias("pings"))
     one = monthly.agg(F.struct(F.min("pings").alias("lo"), F.max("pings").alias("hi")).alias("r")).scalar()
     area = t.grid.select("cell_id", "area")
     return rk.risk(swept, t.species, area, "pings", one["lo"], one["hi"], group=["scenario"])
