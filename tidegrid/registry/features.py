@@ -94,7 +94,7 @@ def closure_covariates(t):
 
 
 @query(
-    "revenue_per_set", "D41 W9", doubles="set_revenue", digits=7,
+    "revenue_per_set", "D41 W9",
     sql="""SELECT ticket_id, cell_id, lbs, revenue * (lbs / sum(lbs) OVER (PARTITION BY ticket_id)) AS set_revenue FROM pings JOIN (SELECT ticket_id, sum(revenue) AS revenue FROM tickets GROUP BY 1) USING (ticket_id)""",
 )
 def revenue_per_set(t):

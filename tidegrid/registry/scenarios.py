@@ -277,7 +277,7 @@ _REL = [f"rel_{c}" for c in [*_R6, "pings", "rev", "lbs"]]
 
 
 @query(
-    "scenario_tradeoff", "D19", doubles="lbs:5 rev:3 pings:6 vessel_share:8 " + " ".join([f"{c}:8" for c in _R6] + [f"{c}:7" for c in _REL]),
+    "scenario_tradeoff", "D19", doubles="lbs:5 rev:3 pings:6 vessel_share:8 " + " ".join([f"{c}:4" for c in _R6] + [f"{c}:7" for c in _REL]),
     sql=_tradeoff_sql(FLAGSHIP),
 )
 def scenario_tradeoff(t):

@@ -24,7 +24,7 @@ def tagged_file_union(t):
 
 
 @query(
-    "yearly_backfill", "S8 S7", doubles="total",
+    "yearly_backfill", "S8", doubles="total",
     sql="SELECT year(o_orderdate) AS year, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE year(o_orderdate) IN (1996, 1998) GROUP BY 1", digits=2,
 )
 def yearly_backfill(t):
