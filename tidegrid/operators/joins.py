@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import col, in_set, null_safe_on
+from ..functions.nulls import col
 from ..functions.scalars import recode
 
 

@@ -18,7 +18,6 @@ from ..functions.geometry import (
 )
 from ..functions.nulls import col
 from .aggs import sum_distinct_by
-from .skew import attach_totals
 
 SALTS = 8
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.geometry import to_utm
 from ..functions.nulls import row_sum
-from ..operators.aggs import max_pots, two_stage_mean_sum
+from ..operators.aggs import max_pots
 from ..operators.skew import attach_totals
 from ..operators.spatial import assign_cell, line_length, raster_extract, sample_along_line
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions.nulls import if_na_safe, strict_sum, sum_or_zero
+from ..functions.nulls import strict_sum, sum_or_zero
 from ..operators.joins import lookback_join
-from ..operators.skew import attach_totals, exact_quantiles, with_scalars
+from ..operators.skew import exact_quantiles, with_scalars
 from .effort import METRICS, normalize_to
 
 RISKS = ["risk_hump", "risk_blue", "n_risk_hump", "n_risk_blue"]

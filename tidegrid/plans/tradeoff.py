@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_divide, sum_or_zero
-from ..operators.aggs import quantiles_long
 from ..operators.skew import attach_totals
 from ..operators.windows import rank_columns, rank_sorted
 

@@ -6,7 +6,6 @@ from ..functions import calendar as cal
 from ..functions import nulls as nl
 from ..operators import aggs as ag
 from ..plans.effort import METRICS
-from .bindings import crab_year_sql
 from .core import query
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators.aggs import metric_ranges
 from ..operators.skew import with_scalars
 from ..plans import effort as eff
 from .bindings import crab_year_sql

@@ -3,11 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions.scalars import REGION_BOUNDS, REGION_LABELS, recode
-from ..operators import aggs, joins as jn
+from ..operators import joins as jn
 from ..operators.spatial import nearest
 from ..plans.tradeoff import relative_to_baseline
-from .bindings import crab_year_sql, region_sql
 from .core import query
 
 OD = "CAST(o_orderdate AS DATE)"

@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators.joins import spine
-from ..operators.skew import attach_totals
 from ..plans import logbook as lb
-from .bindings import CTES, crab_year_sql, half_month_sql, rollover_sql
+from .bindings import CTES, half_month_sql, rollover_sql
 from .core import query
 
 CTES["pot_rows"] = """SELECT * FROM (SELECT l.*, l.x1 + (i - 0.5e0) / pots * (x2 - x1) AS x, l.y1 + (i - 0.5e0) / pots * (y2 - y1) AS y FROM lines l, range(1, 21) r(i)

@@ -7,7 +7,7 @@ from ..functions import nulls as nl
 from ..functions import scalars as sc
 from ..operators.joins import apply_fixes
 from ..plans import effort as eff
-from .bindings import anchor_sql, crab_year_sql, half_month_sql, region_sql, rollover_sql
+from .bindings import anchor_sql, crab_year_sql, half_month_sql, rollover_sql
 from .core import query
 
 OD = "CAST(o_orderdate AS DATE)"

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import period_of
 from ..plans import risk as rk
 from ..plans import scenario as sn
 from ..plans import tradeoff as tr

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import calendar as cal
 from ..operators import stats as st
 from .core import query
 

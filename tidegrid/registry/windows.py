@@ -59,7 +59,6 @@ def percent_change_from_previous(t):
         WINDOW w AS (PARTITION BY cell_id, crab_year ORDER BY m)""",
 )
 def lags_on_completed_spine(t):
-    from ..operators.reshape import complete
 
     e = t.effort.groupBy("cell_id", "crab_year", cal.month_of_crab_year("date").alias("m")).agg(F.sum("pings").cast("double").alias("pings"))
     years = t.effort.select("crab_year")
