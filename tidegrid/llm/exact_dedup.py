@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, heavy_keys, stage, stage_path, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; no space is reserved in advance, as there may be many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Rows of one digest that one task compares, and the part of all rows from which a digest is split.
 SPLIT_ROWS, HEAVY_SHARE = 5000, 1000
 
@@ -36,15 +40,17 @@ def absorb(spark: SparkSession, feed: str, schema, state: str) -> DataFrame:
     Feed rows are (id, digest, locator). The state lives in the stream's checkpoint
     folder, so a later call with more files only reads those.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         keyed = spark.readStream.schema(schema).parquet(feed).groupBy("digest").agg(
             F.max(F.struct("id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("n"))
         run = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state)
         run.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.format("statestore").load(state).select(
         F.col("key.digest").alias("digest"), F.col("value.max.id").alias("keep_id"),
         F.col("value.max.locator").alias("locator"), F.col("value.count").alias("group_size"))

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import op10_exact_dedup
+from .language import op5_language_id
+from .mixing import SQL as MIX_SQL
+from .mixing import op3_source_mixing
+from .packing import op1_best_fit_packing
 from .simhash import op4_simhash_near_dedup
+from .tokens import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op10_exact_dedup)}
-SQL = {"op10_exact_dedup": EXACT_SQL}
+OPERATORS = (op1_best_fit_packing, op3_source_mixing, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op10_exact_dedup)
+QUERIES = {f.__name__: f for f in OPERATORS}
+SQL = {"op3_source_mixing": MIX_SQL, "op10_exact_dedup": EXACT_SQL}
