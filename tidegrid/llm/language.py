@@ -12,7 +12,6 @@ in tasks, in batches of words laid out in blocks, so that a long text costs no m
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -40,14 +39,37 @@ def words_of(text: str | None) -> list[str]:
     return words if any(w.isalpha() for w in words) else []
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word: itself, affixes, letter n-grams, the language whose lexicon has it."""
-    w = f"^{word}$"
-    names = [w, *(f"p{word[:n]}" for n in (1, 2, 3)), *(f"s{word[-n:]}" for n in (1, 2, 3))]
-    names += [w[i:i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-    if word in lexicon:
-        names.append(f"l{lexicon[word]}")
-    return [zlib.crc32(x.encode()) % HASHED for x in names]
+def _hash(kind: int, *columns: np.ndarray) -> np.ndarray:
+    h = np.full(len(columns[0]), kind, dtype=np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(HASHED)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, owners): hashed features of all words and the position of the word each belongs to.
+
+    A word's features are itself, its letter pairs and triples with its ends marked, its affixes of two to four
+    letters, and the language whose lexicon has it.
+    """
+    code = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    length = np.array([len(w) for w in words])
+    first = np.cumsum(length + 2) - length - 1  # first letter of each word
+    owner, every = np.repeat(np.arange(len(words)), length + 2), np.arange(len(words))
+    power = np.cumprod(np.full(int(length.max()) + 2, 0x100000001B3, dtype=np.uint64))
+    place = np.arange(len(code)) - np.repeat(first - 1, length + 2)
+    found = [(_hash(1, np.add.reduceat(code * power[place], first - 1)), every)]
+    for n in (2, 3):
+        at = np.flatnonzero(owner[:len(owner) - n + 1] == owner[n - 1:])
+        found.append((_hash(n, *(code[at + j] for j in range(n))), owner[at]))
+    for n in (2, 3, 4):
+        long = np.flatnonzero(length >= n)
+        for kind, start in ((10, first[long]), (20, first[long] + length[long] - n)):
+            found.append((_hash(kind + n, *(code[start + j] for j in range(n))), long))
+    known = np.array([lexicon.get(w, -1) for w in words])
+    found.append((_hash(30, known[known >= 0].astype(np.uint64)), np.flatnonzero(known >= 0)))
+    return np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
 
 
 @dataclass
@@ -59,8 +81,10 @@ class Field:
     weights: np.ndarray | None = None
     transitions: np.ndarray | None = None
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.lexicon)].sum(axis=0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores (words, L) of words without their neighbours."""
+        flat, owner = features(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[flat, j], len(words)) for j in range(len(self.languages))], axis=1)
 
 
 def _expected(e: np.ndarray, a: np.ndarray):
@@ -108,19 +132,15 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Field:
     vocabulary = {w: j for j, w in enumerate(dict.fromkeys(w for w, _ in stream))}
     ids = np.array([vocabulary[w] for w, _ in stream]).reshape(n, SEQUENCE)
     gold = np.eye(k)[np.array([i for _, i in stream])].reshape(n, SEQUENCE, k)
-    feats = [features(w, model.lexicon) for w in vocabulary]
-    flat = np.concatenate([np.array(f) for f in feats])
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    first = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
+    flat, owner = features(list(vocabulary), model.lexicon)
     w, tr = np.zeros((HASHED, k)), np.eye(k)
     w2, tr2 = np.full_like(w, 1e-8), np.full_like(tr, 1e-8)
     gold_pairs = gold[:, :-1].reshape(-1, k).T @ gold[:, 1:].reshape(-1, k)
     for _ in range(EPOCHS):
-        scores = np.add.reduceat(w[flat], first, axis=0)
-        e = scores[ids]
+        e = np.stack([np.bincount(owner, w[flat, j], len(vocabulary)) for j in range(k)], axis=1)[ids]
         post, pairs = _expected(np.exp(e - e.max(axis=2, keepdims=True)), np.exp(tr))
         off = (gold - post).reshape(-1, k)
-        by_word = np.stack([np.bincount(ids.ravel(), off[:, j], len(feats)) for j in range(k)], axis=1)
+        by_word = np.stack([np.bincount(ids.ravel(), off[:, j], len(vocabulary)) for j in range(k)], axis=1)
         g = np.stack([np.bincount(flat, by_word[owner, j], HASHED) for j in range(k)], axis=1) / n - DECAY * w
         gt = (gold_pairs - pairs) / n - DECAY * tr
         w2 += g * g
@@ -190,24 +210,24 @@ class Labeller:
     """Labels batches of texts; remembers the scores of words it has seen, up to a bound."""
 
     def __init__(self, model: Field):
-        self.model, self.index, self.scores = model, {}, []
+        self.model, self.index, self.scores = model, {}, np.empty((0, len(model.languages)))
 
-    def _ids(self, words: list[str]) -> list[int]:
-        index = self.index
-        for w in set(words).difference(index):
-            index[w] = len(self.scores)
-            self.scores.append(self.model.emission(w))
-        return [index[w] for w in words]
+    def _ids(self, words: list[list[str]]) -> list[np.ndarray]:
+        fresh = sorted(set().union(*words).difference(self.index))
+        if fresh:
+            self.index.update(zip(fresh, range(len(self.scores), len(self.scores) + len(fresh))))
+            self.scores = np.concatenate([self.scores, self.model.emissions(fresh)])
+        return [np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws)) for ws in words]
 
     def label(self, texts) -> list[tuple[str, float]]:
         """(language, score) of each text; ``und`` and 0 without letters or without a learned language."""
         result: list[tuple[str, float]] = []
-        waiting: list[tuple[int, list[int]]] = []
+        waiting: list[tuple[int, list[str]]] = []
         words_waiting = 0
         for text in texts:
             words = words_of(text) if self.model.languages else []
             if words:
-                waiting.append((len(result), self._ids(words)))
+                waiting.append((len(result), words))
                 words_waiting += len(words)
             result.append((UNKNOWN, 0.0))
             if words_waiting >= BATCH_WORDS:
@@ -218,13 +238,14 @@ class Labeller:
 
     def _flush(self, waiting, result) -> None:
         if waiting:
-            lengths = np.array([len(i) for _, i in waiting])
-            emissions = np.array(self.scores)[np.concatenate([np.array(i) for _, i in waiting])]
+            lengths = np.array([len(ws) for _, ws in waiting])
+            ids = np.concatenate(self._ids([ws for _, ws in waiting]))
+            emissions = self.scores[ids]
             mean = mean_marginals(emissions, lengths, self.model.transitions)
             for (at, _), best, row in zip(waiting, mean.argmax(axis=1), mean):
                 result[at] = (self.model.languages[best], float(min(1.0, row[best])))
         if len(self.scores) > REMEMBERED:
-            self.index, self.scores = {}, []
+            self.index, self.scores = {}, self.scores[:0]
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS,

@@ -24,7 +24,7 @@ from .common import table
 
 LIMIT = 2048
 #: Chunks of texts whose counts a worker remembers, and characters merged at once.
-REMEMBERED, AT_ONCE = 300_000, 2_000_000
+REMEMBERED, AT_ONCE = 400_000, 2_000_000
 #: Python splits at these too, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -109,6 +109,10 @@ class Counter:
     def _words(self, chunk: str) -> list[bytes]:
         # Lower case letter by letter, as the tokenizer does: a final sigma is like any other.
         low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if low.isalpha():  # letters only are one pre-token; the pattern would say the same
+            return [low.encode()]
+        if low[-1:] in {",", "."} and low[:-1].isalpha():
+            return [low[:-1].encode(), low[-1:].encode()]
         return [w.encode() for w in self.split.findall(low)]
 
     def learn(self, chunks: set[str]) -> None:
@@ -118,8 +122,13 @@ class Counter:
             self._learn(fresh[at:at + 20_000])
 
     def _learn(self, fresh: list[str]) -> None:
-        special = {c: len(self.special.findall(c)) if self.special and "<" in c else 0 for c in fresh}
-        words = {c: [w for part in (self.special.split(c) if special[c] else [c]) for w in self._words(part)] for c in fresh}
+        special, words = {}, {}
+        for c in fresh:
+            if self.special and "<" in c:
+                special[c] = len(self.special.findall(c))
+                words[c] = [w for part in self.special.split(c) for w in self._words(part)]
+            else:
+                words[c] = self._words(c)
         distinct = list({w: None for ws in words.values() for w in ws})
         counts: dict[bytes, int] = {}
         batch, size = [], 0
@@ -131,19 +140,16 @@ class Counter:
                 batch.append(w)
                 size += len(w)
         for c in fresh:
-            self.known[c] = special[c] + sum(counts[w] for w in words[c])
+            self.known[c] = special.get(c, 0) + sum(map(counts.__getitem__, words[c]))
 
     def count(self, text: str | None) -> int:
         chunks = self.chunks(text or "")
         if len(self.known) > REMEMBERED:
             self.known = {"": 0}
-        try:
-            return sum(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return sum(map(self.known.__getitem__, chunks))
+        self.learn(set(chunks))
+        return sum(map(self.known.__getitem__, chunks))
 
-    def count_all(self, texts: list[str | None]) -> list[int]:
+    def count_all(self, texts: list[str | None]):
         """Counts of a batch: what is not known in any of its texts is merged together."""
         for at in range(0, len(texts), 256):
             part = [self.chunks(t or "") for t in texts[at:at + 256]]
