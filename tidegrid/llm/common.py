@@ -33,6 +33,17 @@ def remainder(key: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % mod, F.lit(-1))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have yet, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder, deleted when the application ends."""
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

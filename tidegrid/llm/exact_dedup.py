@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, heavy_keys, stage, stage_path, table
+from .common import ascii_lower, fresh, heavy_keys, stage, stage_path, table
 
 #: State on disk; no space is reserved in advance, as there may be many small stores.
 STATE = {
@@ -112,11 +112,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all columns; of rows repeating id and text, one."""
     found = exact_duplicates(docs, id_col, text_col)
-    keepers = found.where("kept").select(F.col("keep_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
-    hit = F.col(id_col).eqNullSafe(F.col("_id"))
-    keyed = docs.withColumn("_own", sha256(normalised(text_col)))
-    on = (F.col("_own") == F.col("_digest")) & hit
-    return keyed.join(keepers, on, "left_semi").dropDuplicates(["_own", id_col]).drop("_own")
+    own, keep, digest = fresh(docs, "own_digest", "keep_id", "keep_digest")
+    keepers = found.where("kept").select(F.col("keep_id").alias(keep), F.unhex("text_sha256").alias(digest)).distinct()
+    keyed = docs.withColumn(own, sha256(normalised(text_col)))
+    on = (F.col(own) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(keep))
+    return keyed.join(keepers, on, "left_semi").dropDuplicates([own, id_col]).drop(own)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

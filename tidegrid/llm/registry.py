@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from .embeddings import SQL as EMBEDDING_SQL
+from .embeddings import op8_embedding_near_dedup
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import op10_exact_dedup
+from .html import op9_html_main_text
 from .language import op5_language_id
 from .mixing import SQL as MIX_SQL
 from .mixing import op3_source_mixing
 from .packing import op1_best_fit_packing
+from .quality import op2_quality_rules
+from .secrets import op6_secret_scan
 from .simhash import op4_simhash_near_dedup
 from .tokens import op7_token_counts
 
-OPERATORS = (op1_best_fit_packing, op3_source_mixing, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op10_exact_dedup)
+OPERATORS = (
+    op1_best_fit_packing, op2_quality_rules, op3_source_mixing, op4_simhash_near_dedup, op5_language_id, op6_secret_scan,
+    op7_token_counts, op8_embedding_near_dedup, op9_html_main_text, op10_exact_dedup,
+)
 QUERIES = {f.__name__: f for f in OPERATORS}
-SQL = {"op3_source_mixing": MIX_SQL, "op10_exact_dedup": EXACT_SQL}
+SQL = {"op3_source_mixing": MIX_SQL, "op8_embedding_near_dedup": EMBEDDING_SQL, "op10_exact_dedup": EXACT_SQL}

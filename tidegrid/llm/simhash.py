@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, stage, table
 from .components import connected_components
 
 SEED, SHINGLE, LIMIT, BITS = 42, 3, 2, 64
@@ -167,8 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's id; of rows repeating that id, one."""
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    (keep,) = fresh(docs, "keep_id")
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([id_col])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
