@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm.common import stage, table
 from tidegrid.llm.exact_dedup import keep_unique
+from tidegrid.llm.language import in_known_language
+from tidegrid.llm.mixing import mixed_documents
+from tidegrid.llm.packing import pack
 from tidegrid.llm.simhash import keep_one_of_each
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, that is without a letter, go."""
+    return in_known_language(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return keep_unique(docs)
@@ -19,9 +27,22 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_one_of_each(docs)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources has it; repeats are rows."""
+    return mixed_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins; repeats of a document never share one."""
+    return pack(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: Language, fingerprints and bins are not expressible in SQL; tests compare with brute force.
