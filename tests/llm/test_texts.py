@@ -54,14 +54,14 @@ def test_novel_strings(rng):
     names = ["connection_pool_manager", "request_handler_factory", "session_store_backend", "authentication_provider", "configuration_loader"]
     corpus = [" ".join(rng.choice(names) for _ in range(120)) for _ in range(200)]
     finder = secrets.Finder(secrets.train_dictionary(corpus))
-    key = "".join(random.Random(9).choice(string.ascii_letters + string.digits) for _ in range(40))
+    key = "".join(random.Random(9).choices(string.ascii_letters + string.digits, k=40))
     text = f"{corpus[0]} Authorization Bearer {key} then auth {names[0]}_{names[1]} and {key[::-1]}"
     got = finder.spans(text)
     assert [text[s:e] for s, k, e in got if k == 3] == [key]
 
 
 def test_secrets_query(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = QUERIES["op6_secret_scan"](spark, sf).collect()
     assert len(rows) == len(texts) and any(r.n_assign for r in rows)
