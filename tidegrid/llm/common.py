@@ -44,6 +44,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows of ``docs`` that match ``ids``, with the other columns of ``ids``; of rows equal in the keys, one.
+
+    ``on`` maps key columns of ``docs`` to those of ``ids``; the last may be null on both sides. Texts are shuffled once: rows with
+    a null key are joined apart, so that the join and the choice of one row share a partitioning.
+    """
+    *safe, last = on
+    same = [F.col(k) == F.col(on[k]) for k in safe]
+    known = docs.join(ids, [*same, F.col(last) == F.col(on[last])]).dropDuplicates(list(on))
+    no_key = ids.where(F.col(on[last]).isNull())
+    null = docs.where(F.col(last).isNull()).join(no_key, [*same, F.col(last).eqNullSafe(F.col(on[last]))]).dropDuplicates(list(on))
+    return known.unionByName(null).drop(*on.values())
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder, deleted when the application ends."""
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, heavy_keys, stage, stage_path, table
+from .common import ascii_lower, fresh, heavy_keys, rows_of, stage, stage_path, table
 
 #: State on disk; no space is reserved in advance, as there may be many small stores.
 STATE = {
@@ -114,9 +114,7 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = exact_duplicates(docs, id_col, text_col)
     own, keep, digest = fresh(docs, "own_digest", "keep_id", "keep_digest")
     keepers = found.where("kept").select(F.col("keep_id").alias(keep), F.unhex("text_sha256").alias(digest)).distinct()
-    keyed = docs.withColumn(own, sha256(normalised(text_col)))
-    on = (F.col(own) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(keep))
-    return keyed.join(keepers, on, "left_semi").dropDuplicates([own, id_col]).drop(own)
+    return rows_of(docs.withColumn(own, sha256(normalised(text_col))), keepers, {own: digest, id_col: keep}).drop(own)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

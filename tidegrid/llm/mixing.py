@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, stage, table, word_count
+from .common import WORD, fresh, rows_of, stage, table, word_count
 
 WEIGHTS, CAP = (1, 2, 3), 3
 #: Ranks are summed by this many slices first, so that only one slice of a source is put in order.
@@ -94,7 +94,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     """The rows of ``docs``, each as often as the mix has it. Ids must not repeat; one row stands for those that do."""
     own, copies, copy = fresh(docs, "drawn_id", "copies", "copy")
     drawn = mix(docs, id_col, **how).where("copies > 0").groupBy(F.col(id_col).alias(own)).agg(F.max("copies").cast("int").alias(copies))
-    many = docs.dropDuplicates([id_col]).join(drawn, F.col(id_col).eqNullSafe(F.col(own)))
+    many = rows_of(docs, drawn, {id_col: own})
     return many.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, table
+from .common import fresh, rows_of, stage, table
 from .components import connected_components
 
 SEED, SHINGLE, LIMIT, BITS = 42, 3, 2, 64
@@ -169,7 +169,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = near_duplicates(docs, id_col, text_col)
     (keep,) = fresh(docs, "keep_id")
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([id_col])
+    return rows_of(docs, stay, {id_col: keep})
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
