@@ -18,6 +18,8 @@ WEIGHTS, CAP = (1, 2, 3), 3
 SLICES = 4096
 #: Rounds in which the one document that best fills what is still lacking is added.
 TOP_UPS = 2
+#: Sources up to which what is known of each is broadcast; with more of them it is joined by shuffles.
+BROADCAST_SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -58,9 +60,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        uniform.alias("u"), liked.alias("liked"), F.monotonically_increasing_id().alias("row"))
     rows = stage(rows.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
     plan = stage(source_targets(rows, weights, cap), "mix-targets")
+    each = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda df: df  # tables with one row per source
     scale = rows.groupBy("k").agg((F.sum("size") / F.sum(F.col("size") * F.col("liked"))).alias("scale"))
     expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size") * F.col("liked") * F.coalesce("scale", F.lit(1.0)))).otherwise(0.0)
-    ranked = rows.join(plan.join(scale, "k"), "k").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
+    ranked = rows.join(each(plan.join(scale, "k")), "k").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
     p = F.greatest(F.lit(1e-9), F.col("expected") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
     free = (F.col("size") > 0) & (F.col("whole") < cap)
@@ -73,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slices = slices.withColumn("lack", F.col("target") - F.sum("sure").over(of_source)).where("slice is not null").withColumn("upto", F.sum("words").over(upto))
     last = slices.where("upto > lack").groupBy("k", "lack").agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
     last = stage(last.select("k", "lack", F.col("m.slice").alias("last"), F.col("m.before").alias("before")), "mix-last-slice")
-    placed = ranked.join(last, "k", "left")
+    placed = ranked.join(each(last), "k", "left")
     order = Window.partitionBy("k").orderBy("rank", "id", "size", "row")
     edge = placed.where("slice = last").withColumn("extra", (F.col("before") + F.sum("size").over(order) <= F.col("lack")).cast("int"))
     rest = placed.where("slice is null or last is null or slice <> last").withColumn(
@@ -83,9 +86,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         mixed = stage(mixed, "mix-drawn")
         short = mixed.groupBy("k").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("extra")))).alias("short"))
         off = F.abs(F.col("short") - F.col("size"))
-        open_rows = mixed.where("rank is not null and extra = 0").join(short, "k").where(off < F.col("short"))
+        open_rows = mixed.where("rank is not null and extra = 0").join(each(short), "k").where(off < F.col("short"))
         best = open_rows.groupBy("k").agg(F.min(F.struct(off, "rank", "id", "size", "row")).alias("b")).select("k", F.col("b.row").alias("best"))
-        mixed = mixed.join(best, "k", "left").withColumn("extra", F.col("extra") + F.coalesce((F.col("row") == F.col("best")).cast("int"), F.lit(0))).drop("best")
+        mixed = mixed.join(each(best), "k", "left").withColumn("extra", F.col("extra") + F.coalesce((F.col("row") == F.col("best")).cast("int"), F.lit(0))).drop("best")
     copies = F.col("whole") + F.col("extra")
     return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
