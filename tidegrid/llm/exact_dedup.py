@@ -23,7 +23,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: Rows of one digest that one task compares, and the part of all rows from which a digest is split.
-SPLIT_ROWS, HEAVY_SHARE = 5000, 1000
+SPLIT_ROWS, HEAVY_SHARE = 500, 1000
 
 
 def normalised(text: str) -> Column:
