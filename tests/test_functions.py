@@ -10,7 +10,7 @@ from tidegrid.functions import calendar as cal
 from tidegrid.functions import nulls as nl
 from tidegrid.functions import scalars as sc
 from tidegrid.functions.geometry import in_ring, point, ring_meets_box, to_utm
-from tidegrid.operators.aggs import t_quantile
+from tidegrid.operators.aggs import t_factor, t_quantile
 
 D = dt.date
 
@@ -84,11 +84,23 @@ def test_null_rules(spark):
         nl.require_columns(df, ["g", "missing"])
 
 
-def test_normal_cdf_and_t_quantile(spark):
-    r = one(spark, a=sc.normal_cdf(F.lit(1.959964)), b=sc.normal_cdf(F.lit(-1.0)))
-    assert abs(r.a - 0.975) < 1e-6 and abs(r.b - 0.158655) < 1e-6
-    assert abs(t_quantile(0.975, 1) - 12.7062) < 1e-3
-    assert abs(t_quantile(0.975, 10) - 2.228139) < 1e-5
+def test_normal_tails(spark):
+    """Published tail probabilities, far out too."""
+    known = {1.959963985: 0.05, -1.0: 0.3173105079, 0.0: 1.0, 8.0: 1.2441921149e-15, 12.0: 3.552964e-33}
+    r = one(spark, **{f"p{i}": sc.two_sided_normal(F.lit(z)) for i, z in enumerate(known)})
+    for got, want in zip(r, known.values()):
+        assert abs(got / want - 1) < 1e-6
+
+
+def test_t_quantiles(spark):
+    """Table values for few and many degrees of freedom, and a far tail at one."""
+    assert abs(t_quantile(0.975, 1) - 12.7062047362) < 1e-8
+    assert abs(t_quantile(0.975, 10) - 2.2281388520) < 1e-8
+    assert abs(t_quantile(0.99995, 1) - 6366.1976692) < 1e-3
+    known = {1: 12.7062047362, 31: 2.0395134464, 60: 2.0002978220, 61: 1.9996235850, 99: 1.9842169516, 9999: 1.9602012636}
+    r = one(spark, **{f"t{d}": t_factor(0.95, F.lit(d)) for d in known})
+    for got, want in zip(r, known.values()):
+        assert abs(got - want) < 1e-7
 
 
 def test_polygon_rules(spark):

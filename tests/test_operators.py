@@ -120,16 +120,68 @@ def test_k_nearest_matches_brute_force(spark, k):
     right = [(i, round(rng.uniform(0, 3), 3), round(rng.uniform(0, 3), 3)) if i % 3 == 0 else (i, round(rng.uniform(0, 64), 3), round(rng.uniform(0, 64), 3)) for i in range(30)]
     l = spark.createDataFrame(left, "lid int, x double, y double")
     r = spark.createDataFrame(right, "rid int, x double, y double")
-    got = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", k, size=1.0, extent=64.0).collect()}
+    got = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", k, size=1.0).collect()}
     for lid, x, y in left:
         best = sorted((math.dist((x, y), (a, b)), rid) for rid, a, b in right)[:k]
         assert [got[(lid, i + 1)] for i in range(k)] == [rid for _, rid in best]
 
 
+def test_far_neighbours_are_found(spark):
+    """Points thousands of bucket widths apart, alone in their slices or not."""
+    l = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 5000.0, 0.0), (3, "b", -7e6, 3e6), (4, "none", 0.0, 0.0)], "lid int, s string, x double, y double")
+    r = spark.createDataFrame([(1, "a", 5001.0, 0.0), (2, "a", 9000.0, 0.0), (3, "b", 9e6, -2e6)], "rid int, s string, x double, y double")
+    near = {p.lid: (p.rid, p.dist) for p in spatial.nearest(l, r, ["lid"], "rid", ["s"]).collect()}
+    assert near == {1: (1, 5001.0), 2: (1, 1.0), 3: (3, math.dist((-7e6, 3e6), (9e6, -2e6)))}
+    two = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", 2, ["s"], size=5000.0).collect()}
+    assert two == {(1, 1): 1, (1, 2): 2, (2, 1): 1, (2, 2): 2, (3, 1): 3}
+
+
+def test_inverse_distance_of_a_large_slice(spark):
+    """A slice of 100,000 samples is folded in blocks; the sums add up to those of one fold."""
+    s = spark.range(100_000).select(F.lit(1).alias("day"), (F.col("id") % 500).cast("double").alias("x"), F.floor(F.col("id") / 500).cast("double").alias("y"), (F.col("id") % 11).cast("double").alias("v"))
+    t = spark.createDataFrame([(1, 1, 20.5, 7.25), (2, 1, 30.0, 40.0), (3, 2, 0.0, 0.0)], "cell int, day int, x double, y double")
+    got = {r.cell: r.v for r in spatial.idw(t, s, ["cell"], ["day"], "v").collect()}
+    w = [(1 / math.dist((20.5, 7.25), (i % 500, i // 500)), i % 11) for i in range(100_000)]
+    assert got[1] == pytest.approx(sum(a * b for a, b in w) / sum(a for a, _ in w)) and got[2] == (30 + 40 * 500) % 11 and set(got) == {1, 2}
+
+
+def test_kolmogorov_tail(spark):
+    """Equal samples, nearly equal large ones, and the plain series with many terms."""
+    plain = lambda x: 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 4000))
+    xs = [0.05, 0.3, 0.7, 0.999, 1.0, 1.001, 1.36, 2.5]
+    got = spark.createDataFrame([(x,) for x in [0.0, *xs]], "x double").select("x", stats.kolmogorov_tail(F.col("x")).alias("p")).collect()
+    assert {r.x: r.p for r in got} == {0.0: 1.0} | {x: pytest.approx(plain(x), abs=1e-12) for x in xs}
+    both = spark.range(2000).select((F.col("id") % 1000).alias("v"), (F.col("id") < 1000).alias("f"))
+    r = stats.ks_two_sample(both, "v", F.col("f")).first()
+    assert (r.d, r.p_value) == (0.0, 1.0)
+
+
+def test_full_join_with_a_hot_key(spark):
+    a = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    b = spark.createDataFrame([(0, "x"), (5000, "y"), (None, "z")], "k long, b string")
+    got = joins.full_join(a, b, ["k"]).collect()
+    assert len(got) == 902 and sum(r.b == "x" for r in got) == 300 and {r.b for r in got if r.a is None} == {"y", "z"}
+
+
+def test_large_dimension_is_refused(spark):
+    few, many = spark.range(3), spark.range(joins.DIMENSION_ROWS + 1).withColumnRenamed("id", "d")
+    assert joins.with_dimension(few, many.limit(10)).count() == 30
+    with pytest.raises(Exception, match="dimension has more"):
+        joins.with_dimension(few, many).collect()
+
+
+def test_pivot_refuses_unlisted_values(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", None, 3)], "k string, p string, v int")
+    wide = {r.k: (r.x, r.y) for r in reshape.pivot_values(df, ["k"], "p", ["x", "y"], {"v": F.sum("v")}).collect()}
+    assert wide == {"a": (1, 2), "b": (None, None)}
+    with pytest.raises(Exception, match="not listed"):
+        reshape.pivot_values(df, ["k"], "p", ["x"], {"v": F.sum("v")}).collect()
+
+
 def test_fewer_than_k_samples(spark):
     l = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0)], "lid int, x double, y double")
     r = spark.createDataFrame([(1, 3.0, 4.0, 2.0), (2, 60.0, 60.0, 4.0)], "rid int, x double, y double, v double")
-    got = {p.lid: (p.v, p.n_used) for p in spatial.knn_mean(l, r, ["lid"], "rid", "v", 4, size=1.0, extent=64.0).collect()}
+    got = {p.lid: (p.v, p.n_used) for p in spatial.knn_mean(l, r, ["lid"], "rid", "v", 4, size=1.0).collect()}
     assert got == {1: (3.0, 2), 2: (3.0, 2)}
 
 

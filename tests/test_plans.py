@@ -178,6 +178,25 @@ def test_imputation_uses_both_neighbours(spark):
     assert [r.v for r in ft.impute_slice(df, ["k"], "s", "v").orderBy("s").collect()] == [2.0, 4.0, 6.0, 6.0]
 
 
+def test_cell_month_is_cheap(spark):
+    """Quantile queries read the staged cell-months: few scans and no window over tickets."""
+    for name in ("risk_by_habitat_class", "quantiles_wide"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Scan parquet") + plan.count("Scan ExistingRDD") <= 8 and "ticket_id" not in plan, name
+
+
+def test_scenario_table_round_trip(spark):
+    """Absent values, dates and lists of regions survive; wrong tables are refused."""
+    own = [sn.Scenario("b", delay=(12, 15), delay_method="lag", delay_regions=("OR", "WA")), sn.Scenario("a", after=(3, 1), after_pct=12.5, after_redist=True, after_regions=("CenCA",))]
+    table = sn.scenario_table(spark, own)
+    assert sn.scenarios_from_table(table) == sorted(own, key=lambda s: s.scenario)
+    some = spark.createDataFrame([("x", "NULL", None, "04-01", "depth", "-20", "-100")], "scenario string, delay string, before string, closure string, closure_method string, depth_shallow string, depth_deep string")
+    assert sn.scenarios_from_table(some) == [sn.Scenario("x", closure=(4, 1), closure_method="depth", depth_shallow=-20.0, depth_deep=-100.0)]
+    for bad in (table.withColumn("colour", F.lit("red")), table.unionByName(table), table.drop("scenario"), table.withColumn("delay_regions", F.lit("Atlantis"))):
+        with pytest.raises(ValueError):
+            sn.scenarios_from_table(bad)
+
+
 HEAVY = ["effort_daily", "points_in_polygons", "areal_weighted_overlay", "mean_of_four_nearest", "distance_to_closed_cells", "permit_interval_join", "scenario_tradeoff", "inverse_distance_grid", "quantiles_wide"]
 
 

@@ -60,6 +60,24 @@ def test_grid_cells_time_slice(spark, tmp_path):
     assert rd.read_grid_cells(spark, str(tmp_path / "g"), (2, 4)).count() == 3
 
 
+def test_cluster_without_shared_folder_is_refused():
+    import types
+
+    import pytest
+
+    sc = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(cluster)
+
+
+def test_years_by_date_range_reach_the_scan(spark, tmp_path):
+    spark.sql("SELECT date_add(DATE '1995-01-01', cast(id as int)) AS d, id FROM range(2000)").write.parquet(str(tmp_path / "y"))
+    got = rd.backfill_by_year(spark, str(tmp_path / "y"), [1996, 1998], date_column="d")
+    assert got.count() == 366 + 365
+    assert "GreaterThanOrEqual(d,1996-01-01)" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_staged_frames_are_reliable_checkpoints(spark):
     ensure_checkpoint_dir(spark)
     df = staged(spark.range(10).withColumn("x", F.col("id") * 2))

@@ -81,13 +81,6 @@ def half_month(date) -> Column:
     return F.concat_ws("_", month_name(date), half(date).cast("string"))
 
 
-def half_month_start(date) -> Column:
-    d = col(date)
-    return F.when(F.dayofmonth(d) <= 15, F.trunc(d, "month")).otherwise(
-        F.date_add(F.trunc(d, "month"), 15)
-    )
-
-
 def time_keys(df, date: str):
     """Add year_month, month name and number, 7-day week and day of year."""
     return df.withColumns(
@@ -157,7 +150,8 @@ def parse_season_start(text: str | Column, start_year: str | Column) -> Column:
     month = F.array_position(short, F.substring(F.try_element_at(parts, F.lit(1)), 1, 3)).cast("int")
     day = F.try_element_at(parts, F.lit(2)).try_cast("int")
     year = F.when(month >= 10, col(start_year)).otherwise(col(start_year) + 1).cast("int")
-    return F.when(month > 0, F.make_date(year, month, day))
+    iso = F.format_string("%04d-%02d-%02d", year, month, day)  # a day that the year lacks becomes null
+    return F.when((month > 0) & day.isNotNull() & year.isNotNull(), iso.try_cast("date"))
 
 
 def days_between(later, earlier) -> Column:

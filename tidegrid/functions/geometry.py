@@ -31,10 +31,6 @@ def ring_next(ring: Column) -> Column:
     return F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
 
 
-def ring_edges(ring: Column) -> Column:
-    return F.arrays_zip(ring.alias("a"), ring_next(ring).alias("b"))
-
-
 def in_ring(x: str | Column, y: str | Column, ring: Column) -> Column:
     """Even-odd rule: a ray to the right crosses an odd number of edges."""
     px, py = col(x), col(y)

@@ -73,8 +73,3 @@ def require_columns(df: DataFrame, cols) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}; have {df.columns}")
     return df
-
-
-def null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
-    """Join condition in which null keys match each other."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

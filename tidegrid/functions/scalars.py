@@ -80,15 +80,17 @@ def fourth_root(c: str | Column) -> Column:
     return F.pow(col(c), F.lit(0.25))
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution by the classical five-term erf polynomial.
+def two_sided_normal(z: Column) -> Column:
+    """Probability of a standard normal value further from 0 than ``z``.
 
-    Absolute error below 1.5e-7.
+    The complementary error function by a published Chebyshev fit; the relative error stays below
+    1.2e-7 however far out ``z`` lies.
     """
-    # Published coefficients of the approximation.
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    # Published coefficients of the fit.
+    a = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
     x = F.abs(z) / (2.0 ** 0.5)
-    t = 1.0 / (1.0 + p * x)
-    poly = t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4]))))
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
+    t = 1.0 / (1.0 + 0.5 * x)
+    poly = F.lit(a[-1])
+    for c in reversed(a[:-1]):
+        poly = F.lit(c) + t * poly
+    return t * F.exp(poly - x * x)

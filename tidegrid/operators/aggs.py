@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,6 @@ def quantiles_long(df: DataFrame, keys, value: str, qs) -> DataFrame:
     return wide.unpivot(list(keys), names, "quantile", "value")
 
 
-def approx_quantiles_wide(df: DataFrame, keys, value: str, qs, accuracy: int = 10000) -> DataFrame:
-    """One-pass approximate quantiles for exploration."""
-    arr = df.groupBy(*keys).agg(F.percentile_approx(value, [float(q) for q in qs], accuracy).alias("_q"))
-    return arr.select(*keys, *[F.col("_q")[i].alias(f"q{round(q * 1000):04d}") for i, q in enumerate(qs)])
-
-
 def sum_distinct_by(df: DataFrame, keys, unit: str, value: str, out: str) -> DataFrame:
     """Sum a value once per distinct unit, for example the area of distinct cells."""
     once = df.groupBy(*keys, unit).agg(F.max(value).alias(value))
@@ -143,43 +138,59 @@ def rate_table(df: DataFrame, keys, exposures: dict[str, float]) -> DataFrame:
     return g.withColumns({n: F.col("n_events") / F.lit(float(v)) for n, v in exposures.items()})
 
 
+def t_central(t: float, dof: int) -> float:
+    """Probability that a Student t value lies between -t and t, by the finite sum for whole degrees of freedom."""
+    theta = math.atan(t / math.sqrt(dof))
+    sin, cos2 = math.sin(theta), math.cos(theta) ** 2
+    term = total = math.cos(theta) if dof % 2 else 1.0
+    for k in range(3 if dof % 2 else 2, dof, 2):
+        term *= cos2 * (k - 1) / k
+        total += term
+    if dof % 2 == 0:
+        return sin * total
+    return 2 / math.pi * (theta + (sin * total if dof > 1 else 0.0))
+
+
 @lru_cache(maxsize=None)
 def t_quantile(p: float, dof: int) -> float:
-    """Student t quantile by bisection on a trapezoid integral of the density."""
-    c = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
-    # substitution t = sqrt(dof) * tan(u) makes the density smooth on a finite range
-    def upper(t: float) -> float:
-        u = math.atan(t / math.sqrt(dof))
-        n = 2000
-        h = u / n
-        f = lambda v: c * math.sqrt(dof) * math.cos(v) ** (dof - 1)
-        s = f(0) + f(u) + sum((4 if i % 2 else 2) * f(i * h) for i in range(1, n))
-        return 0.5 + s * h / 3
-
-    lo, hi = 0.0, 1000.0
-    for _ in range(80):
+    """Student t quantile, 0.5 < p < 1, by bisection between bounds that are widened until they hold it."""
+    lo, hi = 0.0, 1.0
+    while t_central(hi, dof) < 2 * p - 1:
+        lo, hi = hi, 2 * hi
+    for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if upper(mid) < p else (lo, mid)
+        lo, hi = (mid, hi) if t_central(mid, dof) < 2 * p - 1 else (lo, mid)
     return (lo + hi) / 2
 
 
-def t_table(level: float, largest: int = 30) -> list[float]:
-    """t quantiles for 1 to ``largest`` degrees of freedom, then the normal quantile."""
-    from statistics import NormalDist
+def t_factor(level: float, dof: Column, table: int = 60) -> Column:
+    """t quantile of a two-sided interval for any degrees of freedom, 1 or more.
 
+    Exact values up to ``table``; beyond, the expansion of the quantile in 1 / dof around the normal one,
+    whose next term is below 1e-8 there.
+    """
     p = 0.5 + level / 2
-    return [t_quantile(p, d) for d in range(1, largest + 1)] + [NormalDist().inv_cdf(p)]
+    z = NormalDist().inv_cdf(p)
+    # Published terms of the expansion.
+    terms = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    far = F.lit(z)
+    for i, term in enumerate(terms, start=1):
+        far = far + term / F.pow(dof.cast("double"), F.lit(float(i)))
+    exact = F.array(*[F.lit(t_quantile(p, d)) for d in range(1, table + 1)])
+    return F.when(dof <= table, F.get(exact, dof.cast("int") - 1)).otherwise(far)
 
 
 def mean_ci(df: DataFrame, keys, value: str, level: float = 0.95) -> DataFrame:
     """Mean with a t interval per group; null interval for a single value."""
-    table = t_table(level)
-    t = F.array(*[F.lit(v) for v in table])
     g = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
-    dof = F.least(F.col("n") - 1, F.lit(len(table))).cast("int")
-    half = F.when(F.col("n") > 1, F.element_at(t, F.greatest(dof, F.lit(1))) * F.col("sd") / F.sqrt("n"))
+    half = F.when(F.col("n") > 1, t_factor(level, F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
     return g.withColumns({"lo": F.col("mean") - half, "hi": F.col("mean") + half})
 
 

@@ -20,11 +20,20 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 
 def full_join_suffixed(left: DataFrame, right: DataFrame, keys, suffixes=("_x", "_y")) -> DataFrame:
-    """Full outer join; columns found on both sides carry a suffix."""
+    """Full outer join; columns found on both sides carry a suffix.
+
+    Written as a left join and an anti join, because adaptive execution splits a hot key in those but not in a full join.
+    """
     both = [c for c in left.columns if c in right.columns and c not in keys]
     l = left.withColumnsRenamed({c: c + suffixes[0] for c in both})
     r = right.withColumnsRenamed({c: c + suffixes[1] for c in both})
-    return l.join(r, list(keys), "full")
+    return full_join(l, r, keys)
+
+
+def full_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Full outer join of tables that share only their keys, as left join and anti join."""
+    alone = right.join(left.select(*keys).distinct(), list(keys), "left_anti")
+    return left.join(right, list(keys), "left").unionByName(alone, allowMissingColumns=True)
 
 
 def replace_columns_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
@@ -33,14 +42,20 @@ def replace_columns_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.drop(*stale).join(right, list(keys), "left")
 
 
+#: Rows of a dimension that may ride along as one array.
+DIMENSION_ROWS = 20_000
+
+
 def with_dimension(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Every row with every row of a dimension: calendars, class lists, parameter rows.
 
     The dimension becomes one sorted array from a scalar subquery and is
     exploded, so no row moves and no cross join is planned. Meant for
-    dimensions whose size does not depend on the facts.
+    dimensions whose size does not depend on the facts: one of more than ``DIMENSION_ROWS`` distinct rows is an error.
     """
-    values = dim.distinct().agg(F.sort_array(F.collect_list(F.struct(*dim.columns)))).scalar()
+    rows = dim.distinct().limit(DIMENSION_ROWS + 1).agg(F.sort_array(F.collect_list(F.struct(*dim.columns))).alias("d"))
+    fits = F.when(F.size("d") <= DIMENSION_ROWS, F.col("d")).otherwise(F.raise_error(F.lit(f"a dimension has more than {DIMENSION_ROWS} rows; join it by a key")))
+    values = rows.select(fits).scalar()
     return df.withColumn("_d", F.explode(values)).select(*df.columns, "_d.*")
 
 
@@ -58,7 +73,8 @@ def interval_join(
     """Rows of ``left`` with the rows of ``right`` of the same key whose interval holds ``ts``.
 
     Intervals are spread over fixed time bins, so a key with a long history
-    meets only the intervals of its own bin and a hot key is split by time.
+    meets only the intervals of its own bin. A bin of a hot key is dealt over several tasks by adaptive
+    execution: the join is inner or left and nothing after it relies on its partitioning.
     """
     day = lambda c: F.datediff(col(c), F.lit("1970-01-01"))
     binned = lambda c: F.floor(day(c) / bin_days)
@@ -119,11 +135,11 @@ def match_report(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 
 def keep_matching(df: DataFrame, keys_df: DataFrame, keys) -> DataFrame:
-    return df.join(keys_df.select(*keys), list(keys), "left_semi")
+    return df.join(keys_df.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def drop_matching(df: DataFrame, keys_df: DataFrame, keys) -> DataFrame:
-    return df.join(keys_df.select(*keys), list(keys), "left_anti")
+    return df.join(keys_df.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def duplicate_keys(dim: DataFrame, keys) -> DataFrame:

@@ -16,8 +16,16 @@ def dated_columns_to_long(df: DataFrame, ids, value: str, pattern: str = r"(\d{4
     return long.select(*ids, F.make_date(*parts).alias("date"), value)
 
 
+def listed(column: str, values) -> Column:
+    """The column's value, which must be null or one of ``values``: a pivot would drop others without a word."""
+    c = F.col(column)
+    wrong = F.raise_error(F.concat(F.lit(f"{column} has a value that is not listed: "), c.cast("string")))
+    return F.when(c.isNull() | c.isin(list(values)), c).otherwise(wrong)
+
+
 def pivot_values(df: DataFrame, keys, on: str, values, aggs: dict[str, Column]) -> DataFrame:
-    """Long to wide with the value list always given, so no extra job finds it."""
+    """Long to wide with the value list always given, so no extra job finds it; a value not listed is an error."""
+    df = df.withColumn(on, listed(on, values))
     return df.groupBy(*keys).pivot(on, list(values)).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
@@ -36,5 +44,5 @@ def complete_years(df: DataFrame, keys, year: str, fill: dict) -> DataFrame:
 
 def transition_matrix(df: DataFrame, unit: str, origin: str, dest: str, values) -> DataFrame:
     """From-by-to table of distinct units."""
-    pairs = df.select(unit, origin, dest).distinct()
+    pairs = df.select(unit, origin, dest).distinct().withColumn(dest, listed(dest, values))
     return pairs.groupBy(origin).pivot(dest, list(values)).agg(F.count(F.lit(1))).fillna(0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +17,6 @@ from ..functions.geometry import (
 from ..functions.nulls import col
 from .aggs import sum_distinct_by
 
-SALTS = 8
-
-
-def _salted(points: DataFrame) -> DataFrame:
-    return points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)))
-
-
-def _salt_copies(shapes: DataFrame) -> DataFrame:
-    return shapes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-
-
 def _bucket_range(lo: str, hi: str, size: float) -> Column:
     return F.sequence(grid_index(lo, size), grid_index(hi, size))
 
@@ -45,18 +32,19 @@ def ring_box(df: DataFrame, ring: str) -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float) -> DataFrame:
     """Point-polygon pairs where the point lies inside the ring.
 
-    Polygons are copied to each bucket their box touches and to each salt, so a
-    crowded bucket is spread over several tasks; a point has exactly one bucket.
+    Polygons are copied to each bucket their box touches; a point has exactly one bucket.
+    Nothing after the join needs its partitioning, so adaptive execution deals a crowded bucket
+    over as many tasks as it has data for.
     """
-    p = _salted(points.withColumns({"_bx": grid_index(x, size), "_by": grid_index(y, size)}))
+    p = points.withColumns({"_bx": grid_index(x, size), "_by": grid_index(y, size)})
     g = (
         ring_box(polygons, ring)
         .withColumn("_bx", F.explode(_bucket_range("x0", "x1", size)))
         .withColumn("_by", F.explode(_bucket_range("y0", "y1", size)))
     )
-    pairs = p.join(_salt_copies(g), ["_bx", "_by", "_salt"])
+    pairs = p.join(g, ["_bx", "_by"])
     near = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-    return pairs.where(near & in_ring(x, y, F.col(ring))).drop("_bx", "_by", "_salt", "x0", "y0", "x1", "y1")
+    return pairs.where(near & in_ring(x, y, F.col(ring))).drop("_bx", "_by", "x0", "y0", "x1", "y1")
 
 
 def assign_cell(points: DataFrame, x: str, y: str, size: float, origin=(0.0, 0.0)) -> DataFrame:
@@ -149,102 +137,123 @@ def raster_extract(points: DataFrame, cells: DataFrame, x: str, y: str, size: fl
     return p.join(v, ["ix", "iy"], "left").drop("ix", "iy")
 
 
-def candidate_neighbours(
-    left: DataFrame, right: DataFrame, left_id, keys, k: int, size: float, extent: float
-) -> DataFrame:
+def candidate_neighbours(left: DataFrame, right: DataFrame, left_id, keys, k: int, size: float) -> DataFrame:
     """For each left point the right points among which its ``k`` nearest surely are.
 
     Both sides have ``x`` and ``y``; ``keys`` must match exactly (time slices).
     Buckets come in levels, each twice as wide as the one below. The first level at
-    which the 3x3 buckets around a point hold ``k`` right points bounds the
+    which the 3x3 buckets around a point's bucket hold ``k`` right points bounds the
     distance to the k-th neighbour by sqrt(8) bucket widths, so the 3x3 buckets two levels up
-    hold all k nearest. Two equi-joins, no pass over all pairs. Right points at the
-    same place should be merged beforehand. ``extent`` bounds the coordinate span.
+    hold all k nearest. The widest level spans both sides, so a point finds its neighbours
+    however far they are. Only distinct buckets of left points are probed. Right points at the
+    same place should be merged beforehand.
     """
     left_id, keys = list(left_id), list(keys)
-    top = max(0, math.ceil(math.log2(max(extent / size, 1.0)))) + 1
-    levels = F.sequence(F.lit(0), F.lit(top + 2))
-    width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_lv"))
-    bx, by = F.floor(F.col("x") / width), F.floor(F.col("y") / width)
+    pts = left.select(*left_id, *keys, "x", "y")
+    ends = pts.select("x", "y").unionByName(right.select("x", "y"))
+    reach = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(float(size)))
+    top = ends.agg((F.coalesce(F.ceil(F.log2(reach / size)), F.lit(0)) + 1).cast("int")).scalar()
+    place = lambda c: F.floor(F.col(c) / size)  # bucket on level 0; a shift gives the wider ones
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lv")))
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
 
-    r = right.withColumn("_lv", F.explode(levels)).withColumns({"_bx": bx, "_by": by})
+    r = right.withColumns({"_px": place("x"), "_py": place("y")}).withColumn("_lv", F.explode(F.sequence(F.lit(0), top + 2)))
+    r = r.withColumns({"_bx": up("_px"), "_by": up("_py")}).drop("_px", "_py")
     held = r.groupBy(*keys, "_lv", "_bx", "_by").agg(F.count(F.lit(1)).alias("_n"))
 
     def around(df: DataFrame) -> DataFrame:
         return (
             df.withColumn("_dx", F.explode(steps))
             .withColumn("_dy", F.explode(steps))
-            .withColumns({"_bx": bx + F.col("_dx"), "_by": by + F.col("_dy")})
+            .withColumns({"_bx": up("_px") + F.col("_dx"), "_by": up("_py") + F.col("_dy")})
             .drop("_dx", "_dy")
         )
 
-    pts = left.select(*left_id, *keys, "x", "y")
-    probe = around(pts.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(top)))))
+    pts = pts.withColumns({"_px": place("x"), "_py": place("y")})
+    spots = pts.select(*keys, "_px", "_py").distinct()
     found = (
-        probe.join(held, [*keys, "_lv", "_bx", "_by"])
-        .groupBy(*left_id, *keys, "x", "y", "_lv")
+        around(spots.withColumn("_lv", F.explode(F.sequence(F.lit(0), top))))
+        .join(held, [*keys, "_lv", "_bx", "_by"])
+        .groupBy(*keys, "_px", "_py", "_lv")
         .agg(F.sum("_n").alias("_n"))
         .where((F.col("_n") >= k) | (F.col("_lv") == top))
-        .groupBy(*left_id, *keys, "x", "y")
+        .groupBy(*keys, "_px", "_py")
         .agg((F.min("_lv") + 2).alias("_lv"))
     )
     rr = r.withColumnsRenamed({"x": "x_r", "y": "y_r"})
     return (
-        around(found)
+        around(pts.join(found, [*keys, "_px", "_py"]))
         .join(rr, [*keys, "_lv", "_bx", "_by"])
-        .drop("_lv", "_bx", "_by")
+        .drop("_lv", "_bx", "_by", "_px", "_py")
         .withColumn("dist", distance("x", "y", "x_r", "y_r"))
     )
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id, right_id: str, keys=(), size: float = 1.0, extent: float = 64.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id, right_id: str, keys=(), size: float = 1.0) -> DataFrame:
     """Nearest right point per left point; ties go to the smaller id."""
-    cand = candidate_neighbours(left, right, left_id, keys, 1, size, extent)
+    cand = candidate_neighbours(left, right, left_id, keys, 1, size)
     best = cand.groupBy(*left_id, *keys).agg(F.min(F.struct("dist", right_id)).alias("_b"))
     return best.select(*left_id, *keys, "_b.*")
 
 
-def k_nearest(left: DataFrame, right: DataFrame, left_id, right_id: str, k: int, keys=(), size: float = 1.0, extent: float = 64.0) -> DataFrame:
+def k_nearest(left: DataFrame, right: DataFrame, left_id, right_id: str, k: int, keys=(), size: float = 1.0) -> DataFrame:
     """The k nearest right points per left point, ranked."""
-    cand = candidate_neighbours(left, right, left_id, keys, k, size, extent)
+    cand = candidate_neighbours(left, right, left_id, keys, k, size)
     w = Window.partitionBy(*left_id, *keys).orderBy("dist", right_id)
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_mean(left: DataFrame, right: DataFrame, left_id, right_id: str, value: str, k: int, keys=(), size: float = 1.0, extent: float = 64.0) -> DataFrame:
-    near = k_nearest(left, right, left_id, right_id, k, keys, size, extent)
+def knn_mean(left: DataFrame, right: DataFrame, left_id, right_id: str, value: str, k: int, keys=(), size: float = 1.0) -> DataFrame:
+    near = k_nearest(left, right, left_id, right_id, k, keys, size)
     return near.groupBy(*left_id, *keys).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n_used"))
 
 
-def distance_to_nearest(open_cells: DataFrame, closed_cells: DataFrame, cell_id: str, keys, size: float, extent: float, unit: float = 1000.0) -> DataFrame:
+def nearest_overlay(cells: DataFrame, base: DataFrame, cell_id: str, base_id: str, value: str, size: float = 1.0) -> DataFrame:
+    """Each cell with the value of its nearest base point."""
+    near = nearest(cells, base.select(base_id, "x", "y"), [cell_id], base_id, size=size)
+    return cells.join(near.select(cell_id, base_id), cell_id).join(base.select(base_id, value), base_id)
+
+
+def overlay_totals(overlay: DataFrame, base: DataFrame, base_id: str, value: str, area: str) -> DataFrame:
+    """Total abundance (value times area) of each base point, and of the cells that took its value."""
+    cells = overlay.groupBy(base_id).agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col(value) * F.col(area)).alias("overlay_total"))
+    return cells.join(base.select(base_id, (F.col(value) * F.col(area)).alias("base_total")), base_id)
+
+
+def distance_to_nearest(open_cells: DataFrame, closed_cells: DataFrame, cell_id: str, keys, size: float, unit: float = 1000.0) -> DataFrame:
     """Distance from each open cell to the nearest closed cell of the same time slice, in km."""
     closed = closed_cells.select(*keys, F.col(cell_id).alias("closed_id"), "x", "y")
-    near = nearest(open_cells, closed, [cell_id], "closed_id", keys, size, extent)
+    near = nearest(open_cells, closed, [cell_id], "closed_id", keys, size)
     return near.withColumn("dist_km", F.col("dist") / unit).drop("dist")
 
 
-def idw(targets: DataFrame, samples: DataFrame, target_id, keys, value: str, power: float = 1.0) -> DataFrame:
+def idw(targets: DataFrame, samples: DataFrame, target_id, keys, value: str, power: float = 1.0, block: int = 2048) -> DataFrame:
     """Inverse-distance interpolation from all samples of the same slice.
 
-    ``samples`` must hold one row per place and slice. The places of a slice ride as one
-    array, at most as long as the grid has cells, and are folded in place: no
-    sample-target pair becomes a row. A target on a sample takes its value.
+    ``samples`` must hold one row per place and slice. The samples of a slice ride in arrays of about
+    ``block`` places. Sums of weights and of weighted values add up over blocks, so a
+    block is folded in place, no sample-target pair becomes a row, and no array grows with a slice. A target on
+    a sample takes its value.
     """
-    keys = list(keys)
-    sets = samples.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", F.col(value).alias("v"))).alias("_s"))
-    # The fold is the work here, not the row count, so the targets are spread over all cores.
-    cores = targets.sparkSession.sparkContext.defaultParallelism
-    t = targets.repartition(cores, *target_id, *keys).join(sets, keys)
+    keys, ids = list(keys), [*target_id, *keys]
+    sizes = samples.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("_nb"))
+    dealt = samples.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("x", "y"), F.col("_nb")))
+    sets = dealt.groupBy(*keys, "_block").agg(F.collect_list(F.struct("x", "y", F.col(value).cast("double").alias("v"))).alias("_s"))
+    # The fold is the work here, not the row count, so the targets are spread over all tasks.
+    t = targets.repartition(*ids).join(sets, keys)
     gap = lambda s: (s["x"] - F.col("x")) * (s["x"] - F.col("x")) + (s["y"] - F.col("y")) * (s["y"] - F.col("y"))
-    dist = F.transform("_s", lambda s: F.sqrt(gap(s)))
-    weights = F.transform("_w", lambda d: F.pow(d, F.lit(-float(power))) if power != 1.0 else 1.0 / F.nullif(d, F.lit(0.0)))
+    t = t.withColumn("_d", F.transform("_s", lambda s: F.sqrt(gap(s))))
+    weight = lambda d: F.pow(F.nullif(d, F.lit(0.0)), F.lit(-float(power))) if power != 1.0 else 1.0 / F.nullif(d, F.lit(0.0))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    folded = total(F.zip_with("_w", "_s", lambda w, s: w * s["v"])) / total(F.col("_w"))
-    exact = F.element_at("_s", F.array_position("_w", F.lit(0.0)).cast("int"))["v"]
-    hit = t.withColumn("_w", dist).withColumn("_hit", F.when(F.array_contains("_w", F.lit(0.0)), exact.cast("double")))
-    out = hit.withColumn("_w", weights).withColumn(value, F.coalesce("_hit", folded))
-    return out.drop("_s", "_w", "_hit")
+    exact = F.get("_s", F.array_position("_d", F.lit(0.0)).cast("int") - 1)["v"]
+    part = t.withColumns({
+        "_hit": F.when(F.array_contains("_d", F.lit(0.0)), exact),
+        "_vw": total(F.zip_with("_d", "_s", lambda d, s: weight(d) * s["v"])),
+        "_w": total(F.transform("_d", weight)),
+    })
+    rest = [c for c in targets.columns if c not in ids]
+    out = part.groupBy(*ids).agg(*[F.first(c).alias(c) for c in rest], F.max("_hit").alias("_hit"), F.sum("_vw").alias("_vw"), F.sum("_w").alias("_w"))
+    return out.withColumn(value, F.coalesce("_hit", F.col("_vw") / F.col("_w"))).drop("_hit", "_vw", "_w")
 
 
 def footprint_area(df: DataFrame, keys, cell_id: str, area: str) -> DataFrame:
@@ -265,7 +274,7 @@ def cell_depth_stats(points: DataFrame, cell_id: str, depth: str) -> DataFrame:
 
 def ever_active(df: DataFrame, activity: DataFrame, cell_id: str) -> DataFrame:
     """Rows in cells that were active at least once."""
-    return df.join(activity.select(cell_id), cell_id, "left_semi")
+    return df.join(activity.select(cell_id).distinct(), cell_id, "left_semi")
 
 
 def reject_sets(points: DataFrame, set_id: str, bad: Column) -> DataFrame:

@@ -70,10 +70,6 @@ def season_counter(df: DataFrame, group, order, flag: Column, name: str) -> Data
     return df.withColumn(name, F.sum(flag.cast("int")).over(w))
 
 
-def group_total_share(df: DataFrame, keys, value: str, out: str) -> DataFrame:
-    return attach_totals(df, keys, {"_t": F.sum(value)}).withColumn(out, F.col(value) / F.col("_t")).drop("_t")
-
-
 def rescale_min_max(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     """To 0..1 over the table or within groups; 0.5 where all values are equal."""
     t = attach_totals(df, keys, {"_lo": F.min(value), "_hi": F.max(value)})

@@ -31,7 +31,7 @@ def select_trips(
     for rule in (speed, dates):
         if rule:
             df = df.where(F.col(rule[0]).between(rule[1], rule[2]))
-    if months:
+    if months:  # a function of the date, so this one is tested after the scan
         df = df.where(F.month(months[0]).isin(list(months[1])))
     return df
 
@@ -136,8 +136,10 @@ def suppression_loss(df: DataFrame, keys, within, vessel: str, value: str, k: in
     )
 
 
-def persistence(df: DataFrame, cell_id: str, season: str, cuts=(2, 5)) -> DataFrame:
-    """Seasons active per cell, classed as occasional, regular or persistent."""
-    g = df.groupBy(cell_id).agg(F.countDistinct(season).alias("n_seasons"))
-    cls = F.when(F.col("n_seasons") <= cuts[0], "occasional").when(F.col("n_seasons") <= cuts[1], "regular")
-    return g.withColumn("persistence", cls.otherwise("persistent"))
+def persistence(df: DataFrame, cells: DataFrame, cell_id: str, season: str, width: int = 2) -> DataFrame:
+    """Seasons active for every cell of the study area, 0 where never, in classes of ``width`` seasons."""
+    g = df.select(cell_id, season).distinct().groupBy(cell_id).agg(F.count(season).alias("n_seasons"))
+    full = cells.select(cell_id).distinct().join(g, cell_id, "left").withColumn("n_seasons", F.coalesce("n_seasons", F.lit(0)))
+    first = F.floor((F.col("n_seasons") - 1) / width) * width + 1
+    label = F.concat(first.cast("string"), F.lit("-"), (first + width - 1).cast("string"))
+    return full.withColumn("persistence", F.when(F.col("n_seasons") == 0, "0").otherwise(label))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_divide, sum_or_zero
 from ..operators.aggs import weighted_by_share
+from ..operators.reshape import listed
 from ..operators.skew import attach_totals, exact_quantiles
 
 
@@ -97,6 +98,7 @@ def movement_matrix(tickets: DataFrame, vessel: str, port: str, date: str, close
         .where(F.col(date).between(F.col("closed_from"), F.col("closed_to")))
         .select(vessel, "home", "used").distinct()
     )
+    during = during.withColumn("used", listed("used", ports))
     return during.groupBy("home").pivot("used", list(ports)).agg(F.count(F.lit(1))).fillna(0)
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions.geometry import to_utm
 from ..functions.nulls import row_sum
 from ..operators.aggs import max_pots
+from ..operators.joins import full_join
 from ..operators.skew import attach_totals
 from ..operators.spatial import assign_cell, line_length, raster_extract, sample_along_line
 
@@ -19,7 +19,7 @@ def compile_logbooks(headers: DataFrame, sets: DataFrame, key: str) -> DataFrame
     Needs ``season`` and ``landed`` in the headers, ``set_no`` and ``set_date`` in the sets. Dates whose
     year fits neither year of the season move back by one year.
     """
-    j = headers.join(sets, key, "full")
+    j = full_join(headers, sets, [key])
     start = F.substring("season", 1, 4).cast("int")
     return j.withColumn("set_date", cal.repair_year("set_date", start)).withColumn(
         "set_key", F.concat(F.col("season"), F.lit("_"), F.col(key).cast("string"), F.lit("_"), F.col("set_no").cast("string"))
@@ -39,10 +39,6 @@ def endpoints_to_lines(points: DataFrame, set_id: str, seq: str, x: str, y: str,
     )
 
 
-def project_points(df: DataFrame, lon: str, lat: str, zone: int = 10) -> DataFrame:
-    return df.withColumns(to_utm(lon, lat, zone))
-
-
 def filter_lines(df: DataFrame, length: str, pots: str, longest: float = 80000.0, zero_pots: int = 50) -> DataFrame:
     """Drop implausibly long lines and lines of no length that claim many pots."""
     return df.where((F.col(length) < longest) & ~((F.col(length) == 0) & (F.col(pots) > zero_pots)))
@@ -101,8 +97,14 @@ def m1_m2_density(weighted: DataFrame, period, set_id: str, vessel: str, cell_ke
 
 
 def calibrate_to_tickets(cells: DataFrame, log_limits: DataFrame, ticket_limits: DataFrame, period, licence: str,
-                         limit: str, value: str, out: str = "calibrated") -> DataFrame:
-    """Scale gridded pots per period by lines in the water from tickets over those from logs."""
+                         limit: str, value: str, out: str = "calibrated", reduced: Column | None = None, factor: float = 1.0) -> DataFrame:
+    """Scale gridded pots per period by lines in the water from tickets over those from logs.
+
+    Cells for which ``reduced`` holds (a region in listed season months) are multiplied by ``factor`` first, the
+    summer reduction; the ratio itself is over unreduced limits.
+    """
+    if reduced is not None:
+        cells = cells.withColumn(value, F.when(reduced, F.col(value) * factor).otherwise(F.col(value).cast("double")))
     logs = max_pots(log_limits, period, licence, limit, "log_pots").drop("n_licences")
     tickets = max_pots(ticket_limits, period, licence, limit, "ticket_pots").drop("n_licences")
     ratio = logs.join(tickets, list(period), "left").withColumn("ratio", F.col("ticket_pots") / F.col("log_pots"))

@@ -74,10 +74,13 @@ def risk_self_normalised(effort: DataFrame, species: DataFrame, metric: str) ->
     ).drop(*aggs)
 
 
-def cell_months(effort: DataFrame, species: DataFrame, grid: DataFrame, fished_only: bool = True) -> DataFrame:
-    """Species predictions of cells ever fished, with monthly pings (0 if none) and the product."""
-    pings = effort.groupBy("cell_id", "year_month").agg(F.sum("pings").alias("pings"))
-    s = species.join(effort.select("cell_id"), "cell_id", "left_semi") if fished_only else species
+def cell_months(monthly: DataFrame, species: DataFrame, grid: DataFrame, fished_only: bool = True) -> DataFrame:
+    """Species predictions of cells ever fished, with monthly pings (0 if none) and the product.
+
+    ``monthly`` has one row of pings per cell and month.
+    """
+    pings = monthly.select("cell_id", "year_month", "pings")
+    s = species.join(monthly.select("cell_id").distinct(), "cell_id", "left_semi") if fished_only else species
     return (
         s.join(pings, ["cell_id", "year_month"], "left")
         .withColumn("pings", F.coalesce("pings", F.lit(0)).cast("double"))

@@ -7,7 +7,7 @@ the reallocation of displaced effort needs aggregates.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +101,60 @@ def scenario_grid(bases: list[Scenario], variants: dict[str, list]) -> list[Scen
     return out
 
 
+#: A parameter table describes a sweep, so it has tens of rows; more is taken for a wrong table.
+MOST_SCENARIOS = 5000
+ABSENT = "NULL"
+
+
+def _to_text(v) -> str:
+    if v is None:
+        return ABSENT
+    if isinstance(v, tuple):
+        return "-".join(f"{x:02d}" for x in v) if isinstance(v[0], int) else "|".join(v)
+    return str(v)
+
+
+def _from_text(field_type: str, text: str):
+    if "tuple[int" in field_type:
+        month, day = text.split("-")
+        return int(month), int(day)
+    if "tuple[str" in field_type:
+        return tuple(x.strip() for x in text.split("|"))
+    if field_type == "bool":
+        if text.lower() not in ("true", "false"):
+            raise ValueError(f"not true or false: {text}")
+        return text.lower() == "true"
+    if "float" in field_type:
+        return float(text)
+    return int(text) if field_type == "int" else text
+
+
+def scenario_table(spark, scenarios: list[Scenario]) -> DataFrame:
+    """Parameter table: one text column per parameter, absent values as the word NULL, dates as MM-DD, regions joined by |."""
+    names = [f.name for f in fields(Scenario)]
+    rows = [tuple(_to_text(getattr(s, n)) for n in names) for s in scenarios]
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+
+
+def scenarios_from_table(table: DataFrame) -> list[Scenario]:
+    """Validated scenarios of a parameter table, in order of name; missing columns, nulls and NULL take the defaults.
+
+    Only parameters come to the driver. Unknown columns, repeated names and meaningless combinations are errors.
+    """
+    kinds = {f.name: str(f.type) for f in fields(Scenario)}
+    unknown = set(table.columns) - set(kinds)
+    if unknown or "scenario" not in table.columns:
+        raise ValueError(f"unknown parameters {sorted(unknown)}" if unknown else "a parameter table needs the column scenario")
+    rows = table.limit(MOST_SCENARIOS + 1).collect()
+    if len(rows) > MOST_SCENARIOS:
+        raise ValueError(f"more than {MOST_SCENARIOS} scenarios")
+    given = [{k: str(v).strip() for k, v in r.asDict().items() if v is not None and str(v).strip() != ABSENT} for r in rows]
+    out = [Scenario(**{k: _from_text(kinds[k], v) for k, v in g.items()}).check() for g in given]
+    if len({s.scenario for s in out}) < len(out):
+        raise ValueError("scenario names repeat")
+    return sorted(out, key=lambda s: s.scenario)
+
+
 def _sql_literal(v) -> str:
     if v is None:
         return "NULL"
@@ -379,8 +433,7 @@ def prepare_effort(effort: DataFrame) -> DataFrame:
     Spread by the unique cell and date: every scenario multiplies these rows, and a small staged
     table would otherwise sit in one partition.
     """
-    cores = effort.sparkSession.sparkContext.defaultParallelism
-    return staged(require_columns(effort, NEEDED).select(*NEEDED).repartition(cores, "cell_id", "date"))
+    return staged(require_columns(effort, NEEDED).select(*NEEDED).repartition("cell_id", "date"))
 
 
 def run_scenarios(

@@ -1,5 +1,7 @@
 """Grouped aggregates over the given tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -67,7 +69,7 @@ def quantiles_wide(t):
 def conditional_aggregates(t):
     late = F.substring("year_month", 6, 2) >= "06"
     return t.cell_month.groupBy("region").agg(
-        F.sum(F.when(F.col("dens") > 0.04, F.col("area"))).alias("area_seen"),
+        F.sum(F.when(F.col("dens") > 0.0412, F.col("area"))).alias("area_seen"),
         (F.sum(F.when(late, F.col("pings"))) / F.sum("pings")).alias("share_late"),
     )
 
@@ -198,7 +200,23 @@ def event_rates(t):
     return ag.rate_table(t.events, ["region"], {"per_year": 6.6, "per_month": 79})
 
 
-_T = ag.t_table(0.95)
+def _integrated_t(p: float, dof: int) -> float:
+    """t quantile for the SQL side, by Simpson sums over the density and secant steps."""
+    c = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+    f = lambda x: c * (1 + x * x / dof) ** (-(dof + 1) / 2)
+    t = 0.0
+    for _ in range(60):
+        h = t / 400
+        area = h / 3 * sum((1 if i in (0, 400) else 4 if i % 2 else 2) * f(i * h) for i in range(401)) if t else 0.0
+        step = (p - 0.5 - area) / f(t)
+        t += step
+        if abs(step) < 1e-13:
+            break
+    return t
+
+
+# A cell has at most 31 days in a month.
+_T = [_integrated_t(0.975, d) for d in range(1, 32)]
 
 
 @query(

@@ -16,6 +16,7 @@ from ..functions.geometry import point
 from ..functions.scalars import region_of
 from ..plans import effort as eff
 from ..plans.risk import normalized_species
+from ..session import staged
 
 CELLS = 400
 SIDE = 20
@@ -73,7 +74,8 @@ class Tables:
         s = li.groupBy((F.col("l_partkey") % CELLS).alias("cell_id"), cal.year_month("l_shipdate").alias("year_month")).agg(
             F.round(F.avg("l_discount"), 10).alias("occ"), F.round(F.avg("l_tax"), 10).alias("dens")
         )
-        return normalized_species(s, {"occ": "n_occ", "dens": "n_dens"})
+        # Staged, because the normalisation needs its ranges and queries read it several times.
+        return normalized_species(staged(s), {"occ": "n_occ", "dens": "n_dens"})
 
     @cached_property
     def permits(self) -> DataFrame:
@@ -142,9 +144,12 @@ class Tables:
 
     @cached_property
     def cell_month(self) -> DataFrame:
+        """Staged, because quantile queries read it several times; pings are counted without the effort chain."""
         from ..plans.risk import cell_months
 
-        return cell_months(self.effort, self.species, self.grid)
+        month = cal.year_month("date").alias("year_month")
+        monthly = self.pings.groupBy("cell_id", month).agg(F.count(F.lit(1)).alias("pings"))
+        return staged(cell_months(monthly.join(self.grid.select("cell_id"), "cell_id", "left_semi"), self.species, self.grid))
 
 
 def crab_year_sql(d: str) -> str:

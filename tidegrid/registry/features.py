@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators.joins import spine
-from ..operators.spatial import distance_to_nearest
+from ..operators.spatial import distance_to_nearest, nearest
 from ..plans import features as ft
 from ..session import staged
 from .bindings import CTES, crab_year_sql
@@ -23,24 +23,48 @@ def _slot_spine(t, status):
     return spine(status.select("cell_id"), status.select("season"), slots)
 
 
+_MONTH_OF = "CAST(substr(m.year_month, 6, 2) AS INT)"
+
+
 @query(
-    "covariate_table", "D38", doubles="lbs dens port_x fuel", digits=8,
-    sql=f"""SELECT c.cell_id, m.year_month, lbs, dens, port_x, fuel FROM (SELECT DISTINCT cell_id FROM pings) c, (SELECT DISTINCT strftime(date, '%Y_%m') AS year_month FROM pings) m
-        LEFT JOIN (SELECT cell_id AS ec, year_month AS em, sum(lbs) AS lbs FROM effort GROUP BY 1, 2) ON ec = c.cell_id AND em = m.year_month
-        LEFT JOIN (SELECT cell_id AS sc, year_month AS sm, dens FROM species) ON sc = c.cell_id AND sm = m.year_month
-        LEFT JOIN (SELECT cell_id AS gc, lon / 10 AS port_x FROM grid) ON gc = c.cell_id
-        LEFT JOIN (SELECT strftime(ts, '%m') AS fm, avg(value) AS fuel FROM events GROUP BY 1) ON fm = substr(m.year_month, 6, 2)""",
+    "covariate_table", "D38", doubles="lbs dens depth port_dist canyon_dist sst wind fuel oxygen", digits=8,
+    sql=f"""SELECT c.cell_id, m.year_month, lbs, dens, depth, port_dist, canyon_dist, sst, wind, fuel, oxygen, n_faults, coalesce(is_open, false) AS is_open
+        FROM (SELECT DISTINCT cell_id FROM pings) c, (SELECT DISTINCT strftime(date, '%Y_%m') AS year_month FROM pings) m
+        LEFT JOIN (SELECT cell_id AS ec, year_month AS em, sum(lbs) AS lbs, sum(pings) >= 3 AS is_open FROM effort GROUP BY 1, 2) ON ec = c.cell_id AND em = m.year_month
+        LEFT JOIN (SELECT cell_id AS sc, year_month AS sm, dens, 1 - occ AS oxygen FROM species) ON sc = c.cell_id AND sm = m.year_month
+        LEFT JOIN (SELECT cell_id AS gc, depth, gx AS cgx, gy AS cgy FROM grid) ON gc = c.cell_id
+        LEFT JOIN (SELECT cell_id AS pc, min(sqrt((gx - px) ** 2 + (gy - py) ** 2)) AS port_dist FROM grid, ports GROUP BY 1) ON pc = c.cell_id
+        LEFT JOIN (SELECT g.cell_id AS kc, min(sqrt((g.gx - k.gx) ** 2 + (g.gy - k.gy) ** 2)) AS canyon_dist FROM grid g, grid k WHERE k.depth < -180 GROUP BY 1) ON kc = c.cell_id
+        LEFT JOIN (SELECT sx, sy, avg(value) AS sst FROM ocean GROUP BY 1, 2) ON sx = cgx AND sy = cgy
+        LEFT JOIN (SELECT user_id % 12 + 1 AS wm, avg(value) AS wind FROM events WHERE event_id % 2 = 0 GROUP BY 1) ON wm = {_MONTH_OF}
+        LEFT JOIN (SELECT month(ts) AS fm, avg(value) AS fuel FROM events GROUP BY 1) ON fm = {_MONTH_OF}
+        LEFT JOIN (SELECT CAST(floor((x1 + 10000) / 1000) AS BIGINT) AS fx, CAST(floor((y1 + 10000) / 1000) AS BIGINT) AS fy, count(*) AS n_faults FROM lines GROUP BY 1, 2) ON fx = cgx AND fy = cgy""",
 )
 def covariate_table(t):
+    """Effort, prediction, depth, distances to port and canyon, sea temperature, wind, fuel price, oxygen, faults and closure on one spine."""
     p = t.pings.withColumn("year_month", cal.year_month("date"))
-    full = spine(p.select("cell_id"), p.select("year_month")).withColumn("fm", F.substring("year_month", 6, 2))
+    full = spine(p.select("cell_id"), p.select("year_month")).withColumn("month", F.substring("year_month", 6, 2).cast("int"))
+    at = lambda df, x, y, *more: df.select(*more, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = at(t.grid, "gx", "gy", "cell_id")
+    canyon = at(t.grid.where("depth < -180"), "gx", "gy", F.col("cell_id").alias("canyon"))
+    to = lambda other, key, name: nearest(cells, other, ["cell_id"], key).select("cell_id", F.col("dist").alias(name))
+    place = t.grid.select("cell_id", "gx", "gy")
+    sst = t.ocean.groupBy(F.col("sx").alias("gx"), F.col("sy").alias("gy")).agg(F.avg("value").alias("sst"))
+    bucket = lambda c: F.floor((F.col(c) + 10000) / 1000)
+    faults = t.lines.groupBy(bucket("x1").alias("gx"), bucket("y1").alias("gy")).agg(F.count(F.lit(1)).alias("n_faults"))
+    events = t.read("events")
     layers = [
-        (t.effort.groupBy("cell_id", "year_month").agg(F.sum("lbs").alias("lbs")), ["cell_id", "year_month"]),
-        (t.species.select("cell_id", "year_month", "dens"), ["cell_id", "year_month"]),
-        (t.grid.select("cell_id", (F.col("lon") / 10).alias("port_x")), ["cell_id"]),
-        (t.read("events").groupBy(F.date_format("ts", "MM").alias("fm")).agg(F.avg("value").alias("fuel")), ["fm"]),
+        (t.effort.groupBy("cell_id", "year_month").agg(F.sum("lbs").alias("lbs"), (F.sum("pings") >= 3).alias("is_open")), ["cell_id", "year_month"]),
+        (t.species.select("cell_id", "year_month", "dens", (1 - F.col("occ")).alias("oxygen")), ["cell_id", "year_month"]),
+        (t.grid.select("cell_id", "depth"), ["cell_id"]),
+        (to(at(t.ports, "px", "py", "port"), "port", "port_dist"), ["cell_id"]),
+        (to(canyon, "canyon", "canyon_dist"), ["cell_id"]),
+        (place.join(sst, ["gx", "gy"]).select("cell_id", "sst"), ["cell_id"]),
+        (place.join(faults, ["gx", "gy"]).select("cell_id", "n_faults"), ["cell_id"]),
+        (events.where("event_id % 2 = 0").groupBy((F.col("user_id") % 12 + 1).cast("int").alias("month")).agg(F.avg("value").alias("wind")), ["month"]),
+        (events.groupBy(F.month("ts").alias("month")).agg(F.avg("value").alias("fuel")), ["month"]),
     ]
-    return ft.feature_table(full, layers).drop("fm")
+    return ft.feature_table(full, layers).drop("month").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
 
 
 @query(
@@ -88,7 +112,7 @@ def closure_covariates(t):
     keys = ["cell_id", "season", "slot"]
     s = status.join(t.grid.select("cell_id", (F.col("gx") * 5000.0).alias("x"), (F.col("gy") * 5000.0).alias("y")), "cell_id")
     cut = lambda is_open: s.where(F.col("is_open") == is_open).select(*keys, "x", "y")
-    dist = distance_to_nearest(cut(True), cut(False), "cell_id", ["season", "slot"], 5000.0, 100000.0).drop("closed_id")
+    dist = distance_to_nearest(cut(True), cut(False), "cell_id", ["season", "slot"], 5000.0).drop("closed_id")
     in_state = F.col("cell_id") >= 200
     return ft.closure_features(_slot_spine(t, status), status, dist, keys, 700.0, in_state, F.col("slot") >= 9)
 

@@ -58,19 +58,19 @@ def full_join_suffixes(t):
 
 @query(
     "right_join_all_cells", "J4",
-    sql="""SELECT g.cell_id, g.region, n FROM (SELECT cell_id, count(*) AS n FROM pings WHERE lbs > 49 AND rev > 95000 GROUP BY 1) p RIGHT JOIN grid g ON p.cell_id = g.cell_id""",
+    sql="""SELECT g.cell_id, g.region, n FROM (SELECT cell_id, count(*) AS n FROM pings WHERE cell_id % 7 <> 3 GROUP BY 1) p RIGHT JOIN grid g ON p.cell_id = g.cell_id""",
 )
 def right_join_all_cells(t):
-    p = t.pings.where("lbs > 49 AND rev > 95000").groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+    p = t.pings.where("cell_id % 7 <> 3").groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
     return p.join(t.grid.select("cell_id", "region"), "cell_id", "right").select("cell_id", "region", "n")
 
 
 @query(
     "semi_join_active_cells", "J5 G22",
-    sql="""SELECT year_month, count(*) AS n FROM species WHERE cell_id IN (SELECT cell_id FROM pings WHERE lbs = 50 AND rev > 90000) GROUP BY 1""",
+    sql="""SELECT year_month, count(*) AS n FROM species WHERE cell_id IN (SELECT cell_id FROM pings WHERE cell_id % 7 <> 3) GROUP BY 1""",
 )
 def semi_join_active_cells(t):
-    active = t.pings.where("lbs = 50 AND rev > 90000")
+    active = t.pings.where("cell_id % 7 <> 3")
     return jn.keep_matching(t.species, active, ["cell_id"]).groupBy("year_month").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -146,10 +146,10 @@ def price_fallback_join(t):
 @query(
     "key_match_report", "J12", doubles="match_rate",
     sql="""SELECT count(*) AS n_rows, count(b.c_custkey) AS n_matched, count(b.c_custkey) / count(*) AS match_rate FROM orders
-        LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') b ON o_custkey = c_custkey""",
+        LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 1) b ON o_custkey = c_custkey""",
 )
 def key_match_report(t):
-    c = t.read("customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    c = t.read("customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("o_custkey"))
     return jn.match_report(t.read("orders"), c, ["o_custkey"])
 
 
@@ -160,7 +160,7 @@ def key_match_report(t):
 def nearest_port_of_cell(t):
     cells = t.grid.select("cell_id", F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"))
     ports = t.ports.select("port", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
-    return nearest(cells, ports, ["cell_id"], "port", size=1.0, extent=20.0).select("cell_id", "port", "dist")
+    return nearest(cells, ports, ["cell_id"], "port", size=1.0).select("cell_id", "port", "dist")
 
 
 @query(

@@ -105,14 +105,16 @@ def trap_density_two_ways(t):
         c AS (SELECT year_month, cell_id, count(*) AS n FROM p GROUP BY 1, 2),
         lg AS (SELECT year_month, sum(pot_limit) AS lp FROM (SELECT DISTINCT year_month, vessel_id, pot_limit FROM p JOIN grid USING (cell_id) WHERE depth < -100) GROUP BY 1),
         tk AS (SELECT year_month, sum(pot_limit) AS tp FROM (SELECT DISTINCT strftime(landing_date, '%Y_%m') AS year_month, vessel_id, pot_limit FROM tickets JOIN permits USING (vessel_id)) GROUP BY 1)
-        SELECT c.year_month, cell_id, n * tp / lp AS calibrated FROM c LEFT JOIN lg USING (year_month) LEFT JOIN tk USING (year_month)""",
+        SELECT c.year_month, cell_id, n * CASE WHEN region = 'WA' AND substr(c.year_month, 6, 2) BETWEEN '05' AND '09' THEN 0.66e0 ELSE 1 END * tp / lp AS calibrated
+        FROM c JOIN (SELECT cell_id, region FROM grid) USING (cell_id) LEFT JOIN lg USING (year_month) LEFT JOIN tk USING (year_month)""",
 )
 def ticket_calibrated_pots(t):
     p = t.pings.select("vessel_id", "cell_id", cal.year_month("date").alias("year_month")).groupBy("year_month", "cell_id", "vessel_id").agg(F.count(F.lit(1)).alias("n"))
     p = p.join(t.permits, "vessel_id")
-    cells = p.groupBy("year_month", "cell_id").agg(F.sum("n").alias("n"))
+    cells = p.groupBy("year_month", "cell_id").agg(F.sum("n").alias("n")).join(t.grid.select("cell_id", "region"), "cell_id")
+    summer = (F.col("region") == "WA") & F.substring("year_month", 6, 2).between("05", "09")
     tickets = t.tickets.select("vessel_id", cal.year_month("landing_date").alias("year_month")).distinct().join(t.permits, "vessel_id")
-    return lb.calibrate_to_tickets(cells, p.join(t.grid.where("depth < -100").select("cell_id"), "cell_id", "left_semi"), tickets, ["year_month"], "vessel_id", "pot_limit", "n").select("year_month", "cell_id", "calibrated")
+    return lb.calibrate_to_tickets(cells, p.join(t.grid.where("depth < -100").select("cell_id"), "cell_id", "left_semi"), tickets, ["year_month"], "vessel_id", "pot_limit", "n", reduced=summer, factor=0.66).select("year_month", "cell_id", "calibrated")
 
 
 @query(

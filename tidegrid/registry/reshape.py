@@ -6,18 +6,16 @@ from ..functions import calendar as cal
 from ..operators import reshape as rs
 from .core import query
 
-# The months of the prediction columns; the wide form names its columns, so the list is given.
-_MONTHS = [f"{y}_{m:02d}" for y in range(1992, 2003) for m in range(1, 13)]
-
-
 @query(
     "dated_columns_to_long", "R1", doubles="dens",
-    sql="""SELECT c.cell_id, m.d AS date, dens FROM (SELECT DISTINCT cell_id FROM species) c, (SELECT make_date(CAST(y AS INT), CAST(i AS INT), 1) AS d FROM range(1, 13) r(i), range(1992, 2003) q(y)) m
-        LEFT JOIN species s ON s.cell_id = c.cell_id AND s.year_month = strftime(m.d, '%Y_%m')""",
+    sql="""SELECT c.cell_id, m.d AS date, dens FROM (SELECT DISTINCT cell_id FROM species) c, (SELECT DISTINCT CAST(strptime(year_month || '_01', '%Y_%m_%d') AS DATE) AS d, year_month AS ym FROM species) m
+        LEFT JOIN species s ON s.cell_id = c.cell_id AND s.year_month = m.ym""",
 )
 def dated_columns_to_long(t):
-    wide = rs.pivot_values(t.species, ["cell_id"], "year_month", _MONTHS, {"v": F.first("dens")})
-    named = wide.withColumnsRenamed({m: f"Avg_Monthly_{m}_01" for m in _MONTHS})
+    # The wide form names its columns, so the months are listed first: one row per month of the predictions.
+    months = sorted(r[0] for r in t.species.select("year_month").distinct().collect())
+    wide = rs.pivot_values(t.species, ["cell_id"], "year_month", months, {"v": F.first("dens")})
+    named = wide.withColumnsRenamed({m: f"Avg_Monthly_{m}_01" for m in months})
     return rs.dated_columns_to_long(named, ["cell_id"], "dens")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..operators.joins import full_join
 from ..operators.skew import exact_quantiles
 from ..operators.windows import lag_difference
 from ..plans import risk as rk
@@ -178,7 +179,7 @@ def events_against_all_values(t):
 )
 def overlap_risk_rules(t):
     e = t.effort.groupBy("cell_id", "year_month").agg(F.sum("pings").alias("p"))
-    j = e.join(t.species.select("cell_id", "year_month", "dens"), ["cell_id", "year_month"], "full")
+    j = full_join(e, t.species.select("cell_id", "year_month", "dens"), ["cell_id", "year_month"])
     return j.select("cell_id", "year_month", rk.overlap_risk(j, "p", "dens").alias("risk"))
 
 
@@ -242,9 +243,9 @@ def pre_post_change(t):
 @query(
     "coverage_report", "D58 U6",
     sql="""SELECT count_if(a IS NOT NULL AND b IS NOT NULL) AS n_both, count_if(b IS NULL) AS n_only_first, count_if(a IS NULL) AS n_only_second, count_if(v = 0) AS n_without_value FROM (
-        SELECT DISTINCT o_custkey AS a FROM orders WHERE o_totalprice > 400000) x FULL JOIN (SELECT c_custkey AS b, count(CASE WHEN c_acctbal > 0 THEN 1 END) AS v FROM customer WHERE c_nationkey < 13 GROUP BY 1) y ON a = b""",
+        SELECT DISTINCT o_custkey AS a FROM orders WHERE o_custkey % 3 <> 0) x FULL JOIN (SELECT c_custkey AS b, count(CASE WHEN c_acctbal > 0 THEN 1 END) AS v FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1) y ON a = b""",
 )
 def coverage_report(t):
-    a = t.read("orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k"))
-    b = t.read("customer").where("c_nationkey < 13").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, 1).alias("v"))
+    a = t.read("orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("k"))
+    b = t.read("customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, 1).alias("v"))
     return rk.coverage_report(a, b, "k", "v")

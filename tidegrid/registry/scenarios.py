@@ -204,6 +204,14 @@ def scenario_sweep(t):
     return _totals(t, list(EVERY))
 
 
+@query("scenario_parameter_table", "D15", doubles=DBL, digits=3, sql=_totals_sql(list(EVERY)))
+def scenario_parameter_table(t):
+    """The same sweep from a parameter table with absent values."""
+    table = sn.scenario_table(t.spark, _scenarios(list(EVERY)))
+    out = sn.run_scenarios(t.effort, sn.scenarios_from_table(table))
+    return out.groupBy("scenario", "crab_year", "region", "year_month", "nobase").agg(*[F.sum(m).alias(m) for m in METRICS])
+
+
 _REGION_END = "make_date(CAST(substr(crab_year, 6, 4) AS INT), CASE region WHEN 'CenCA' THEN 6 ELSE 7 END, CASE region WHEN 'CenCA' THEN 30 ELSE 15 END)"
 
 
@@ -220,9 +228,10 @@ def _scenario_risk(t, names):
     base = sn.prepare_effort(t.effort)
     swept = sn.run_scenarios(base, _scenarios(names), prepared=True).where("NOT nobase AND NOT past_region_end")
     monthly = base.groupBy("cell_id", F.trunc("date", "month")).agg(F.sum("pings").alias("pings"))
-    one = monthly.agg(F.struct(F.min("pings").alias("lo"), F.max("pings").alias("hi")).alias("r")).scalar()
+    # Two numbers, looked up once instead of by a subquery for each use.
+    lo, hi = monthly.agg(F.min("pings"), F.max("pings")).first()
     area = t.grid.select("cell_id", "area")
-    return rk.risk(swept, t.species, area, "pings", one["lo"], one["hi"], group=["scenario"])
+    return rk.risk(swept, t.species, area, "pings", lo, hi, group=["scenario"])
 
 
 def _risk_sql(names):

@@ -1,12 +1,50 @@
-"""Reads over the given files; file formats that need a written file are covered by the tests."""
+"""Reads over the given files, and round trips through files written to the shared folder."""
+
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from ..operators.spatial import ring_box
+from ..session import scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
 from .core import query
 
 
+def _folder(t, name):
+    return scratch_path(t.spark, f"{name}-{uuid4().hex}")
+
+
+@query(
+    "typed_csv_round_trip", "S1 S9", doubles="c_acctbal", digits=2,
+    sql="SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS c_acctbal FROM customer",
+)
+def typed_csv_round_trip(t):
+    path = _folder(t, "csv")
+    balance = F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("c_acctbal")
+    wr.write_csv(t.read("customer").select("c_custkey", "c_name", "c_nationkey", balance), path)
+    return rd.read_typed_csv(t.spark, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double")
+
+
+@query("exported_sheet_read", "S4", sql="SELECT n_nationkey, n_name FROM nation")
+def exported_sheet_read(t):
+    """A sheet with heading rows between the data, as spreadsheets export it."""
+    path = _folder(t, "sheet")
+    rows = t.read("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    heads = t.read("region").select(F.lit(None).cast("int").alias("n_nationkey"), F.concat(F.lit("Region "), "r_name").alias("n_name"))
+    wr.write_csv(rows.unionByName(heads), path)
+    return rd.read_exported_sheet(t.spark, path, "n_nationkey int, n_name string", "n_nationkey")
+
+
+@query(
+    "stage_table_round_trip", "S10", doubles="total", digits=2,
+    sql="SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1",
+)
+def stage_table_round_trip(t):
+    o = t.read("orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    return wr.write_stage(o, _folder(t, "stage"), ["year"]).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
 @query("typed_table_read", "S2", sql="SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def typed_table_read(t):
     return rd.read_table(t.spark, f"{t.sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
@@ -28,8 +66,8 @@ def tagged_file_union(t):
     sql="SELECT year(o_orderdate) AS year, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE year(o_orderdate) IN (1996, 1998) GROUP BY 1", digits=2,
 )
 def yearly_backfill(t):
-    o = t.read("orders").withColumn("year", F.year("o_orderdate"))
-    return o.where(F.col("year").isin(1996, 1998)).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    o = rd.backfill_by_year(t.spark, f"{t.sf_dir}/orders.parquet", [1996, 1998], date_column="o_orderdate")
+    return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
 
 
 @query(
@@ -37,8 +75,25 @@ def yearly_backfill(t):
     sql="""SELECT sx AS ix, sy AS iy, day AS t, avg(value) AS value FROM ocean WHERE day BETWEEN DATE '2024-01-03' AND DATE '2024-01-12' GROUP BY 1, 2, 3""",
 )
 def grid_field_slice(t):
-    o = t.ocean.where(F.col("day").between(F.lit("2024-01-03").cast("date"), F.lit("2024-01-12").cast("date")))
-    return o.groupBy(F.col("sx").alias("ix"), F.col("sy").alias("iy"), F.col("day").alias("t")).agg(F.avg("value").alias("value"))
+    path = f"{t.sf_dir}/events.parquet"
+    kind = t.spark.read.parquet(path).schema["ts"].dataType
+    times = [F.lit(x).cast(kind) for x in ("2024-01-03 00:00:00", "2024-01-12 23:59:59.999999")]
+    o = rd.read_grid_cells(t.spark, path, times, "ts")
+    cell = lambda c, n: (F.col(c) % 20).alias(n)
+    return o.groupBy(cell("user_id", "ix"), cell("event_id", "iy"), F.col("ts").cast("date").alias("t")).agg(F.avg("value").alias("value"))
+
+
+@query(
+    "polygon_layer", "S5", doubles="x0 y0 x1 y1",
+    sql="""SELECT port, 4 AS n_corners, px - 1e0 AS x0, py - 1e0 AS y0, px + 1e0 AS x1, py + 2e0 AS y1 FROM ports""",
+)
+def polygon_layer(t):
+    """Outlines as well-known text in a column, as a vector layer lands them."""
+    p = t.ports
+    corner = lambda x, y: F.concat_ws(" ", (F.col("px") + x).cast("string"), (F.col("py") + y).cast("string"))
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[corner(*c) for c in ((-1, -1), (1, -1), (1, 2), (-1, 2), (-1, -1))]), F.lit("))"))
+    ring = ring_box(p.withColumn("wkt", wkt).withColumn("ring", rd.ring_from_wkt("wkt")), "ring")
+    return ring.select("port", F.size("ring").alias("n_corners"), "x0", "y0", "x1", "y1")
 
 
 _REG = ["CenCA", "NorCA", "OR", "WA"]

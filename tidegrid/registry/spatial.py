@@ -180,7 +180,7 @@ def mean_of_four_nearest(t):
     from ..operators.joins import with_dimension
 
     s = _samples(t)
-    return sp.knn_mean(with_dimension(_targets(t), s.select("day")), s, ["cell_id"], "sample_id", "value", 4, ["day"], 1.0, 20.0)
+    return sp.knn_mean(with_dimension(_targets(t), s.select("day")), s, ["cell_id"], "sample_id", "value", 4, ["day"], 1.0)
 
 
 _SLICES = f"""(SELECT {rollover_sql('date', 12, '-')} AS season, {half_month_sql('date')} AS half_month, cell_id, gx, gy, sum(pings) >= 2 AS is_open
@@ -199,7 +199,7 @@ def distance_to_closed_cells(t):
     s = staged(s)
     keys = ["season", "half_month"]
     cols = [*keys, "cell_id", "x", "y"]
-    return sp.distance_to_nearest(s.where("p >= 2").select(*cols), s.where("p < 2").select(*cols), "cell_id", keys, 5000.0, 100000.0).select(
+    return sp.distance_to_nearest(s.where("p >= 2").select(*cols), s.where("p < 2").select(*cols), "cell_id", keys, 5000.0).select(
         *keys, "cell_id", "closed_id", "dist_km"
     )
 
@@ -222,18 +222,18 @@ def effort_density(t):
 
 @query(
     "season_footprints", "G18", doubles="footprint_area",
-    sql="SELECT crab_year, sum(area) AS footprint_area, count(*) AS n_cell_id FROM (SELECT DISTINCT crab_year, cell_id, area FROM effort WHERE pings >= 3) GROUP BY 1",
+    sql="SELECT crab_year, sum(area) AS footprint_area, count(*) AS n_cell_id FROM (SELECT DISTINCT crab_year, cell_id, area FROM effort WHERE pings > 0) GROUP BY 1",
 )
 def season_footprints(t):
-    return sp.footprint_area(t.effort.where("pings >= 3"), ["crab_year"], "cell_id", "area")
+    return sp.footprint_area(t.effort.where("pings > 0"), ["crab_year"], "cell_id", "area")
 
 
 @query(
     "footprint_season_overlap", "G18",
-    sql="SELECT n_seasons, count(*) AS n_cells FROM (SELECT cell_id, count(DISTINCT crab_year) AS n_seasons FROM effort WHERE pings >= 3 GROUP BY 1) GROUP BY 1",
+    sql="SELECT n_seasons, count(*) AS n_cells FROM (SELECT cell_id, count(DISTINCT crab_year) AS n_seasons FROM effort WHERE pings > 0 GROUP BY 1) GROUP BY 1",
 )
 def footprint_season_overlap(t):
-    return sp.season_overlap(t.effort.where("pings >= 3"), "cell_id", "crab_year").groupBy("n_seasons").agg(F.count(F.lit(1)).alias("n_cells"))
+    return sp.season_overlap(t.effort.where("pings > 0"), "cell_id", "crab_year").groupBy("n_seasons").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 @query(
@@ -253,3 +253,27 @@ def clip_to_cell_set(t):
 def line_length_per_cell(t):
     c = sp.assign_cell(t.lines, "x1", "y1", 500.0)
     return c.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum(sp.line_length("x1", "y1", "x2", "y2")).alias("length_m"))
+
+
+@query(
+    "nearest_overlay_totals", "G5", doubles="base_total overlay_total", digits=6,
+    sql="""WITH b AS (SELECT port, CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y, 1 + port % 7 AS dens FROM ports),
+        n AS (SELECT cell_id, area, arg_min(dens, (sqrt((gx - x) ** 2 + (gy - y) ** 2), port)) AS dens, arg_min(port, (sqrt((gx - x) ** 2 + (gy - y) ** 2), port)) AS port FROM grid, b GROUP BY 1, 2)
+        SELECT port, count(*) AS n_cells, any_value(dens) * 25e0 AS base_total, sum(dens * area) AS overlay_total FROM n GROUP BY 1""",
+)
+def nearest_overlay_totals(t):
+    """Cells take the density of the nearest base point; abundance per base point before and after."""
+    cells = t.grid.select("cell_id", "area", F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"))
+    base = t.ports.select("port", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), (1 + F.col("port") % 7).alias("dens"))
+    over = sp.nearest_overlay(cells, base, "cell_id", "port", "dens")
+    return sp.overlay_totals(over, base.withColumn("area", F.lit(25.0)), "port", "dens", "area")
+
+
+@query(
+    "cell_depth_statistics", "G21", doubles="mean sd min max median", digits=6,
+    sql="""SELECT cell_id, count(*) AS n, avg(depth) AS mean, stddev_samp(depth) AS sd, min(depth) AS min, max(depth) AS max, median(depth) AS median
+        FROM (SELECT floor(ix / 4) * 100 + floor(iy / 4) AS cell_id, depth FROM bathymetry WHERE depth > -5000) GROUP BY 1""",
+)
+def cell_depth_statistics(t):
+    b = t.bathymetry.where("depth > -5000").withColumn("cell_id", (F.floor(F.col("ix") / 4) * 100 + F.floor(F.col("iy") / 4)).cast("double"))
+    return sp.cell_depth_stats(b, "cell_id", "depth")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import stats as st
+from ..session import staged
 from .core import query
 
 _V = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -31,7 +32,8 @@ def one_hot_correlation(t):
     return st.correlation_matrix(h, ["l_quantity", "l_returnflag_A", "l_returnflag_N", "l_returnflag_R"]).where("var_a = 'l_quantity'")
 
 
-_KS_P = " + ".join(f"({2 if k % 2 else -2}e0 * exp(-2e0 * {k * k} * lam))" for k in range(1, 101))
+# The plain alternating series, with as many terms as it takes.
+_KS_P = "(SELECT sum(CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END * exp(-2e0 * k * k * lam)) FROM range(1, 20001) t(k))"
 
 
 @query(
@@ -44,12 +46,13 @@ def ks_two_sample(t):
     return st.ks_two_sample(t.read("lineitem"), "l_extendedprice", F.col("l_returnflag") == "A")
 
 
-_PHI = "(0.254829592e0 * tt - 0.284496736e0 * tt ** 2 + 1.421413741e0 * tt ** 3 - 1.453152027e0 * tt ** 4 + 1.061405429e0 * tt ** 5) * exp(-z * z / 2)"
+# Both tails of the normal density by Simpson sums.
+_PHI = """(SELECT sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((abs(z) + i * 0.00125e0) ** 2 / -2)) * 0.00125e0 / 3 * 2 / sqrt(2 * pi()) FROM range(8001) t(i))"""
 
 
 @query(
     "rank_sum_test", "M4", doubles="w z p_value",
-    sql=f"""SELECT n1, n2, w, z, {_PHI} AS p_value FROM (SELECT *, 1 / (1 + 0.3275911e0 * abs(z) / sqrt(2e0)) AS tt FROM (SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, w, (w - n1 * n2 / 2 - sign(w - n1 * n2 / 2) * 0.5e0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM (
+    sql=f"""SELECT n1, n2, w, z, {_PHI} AS p_value FROM (SELECT * FROM (SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, w, (w - n1 * n2 / 2 - sign(w - n1 * n2 / 2) * 0.5e0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM (
         SELECT n1, n2, rs - n1 * (n1 + 1) / 2 AS w, ties FROM (SELECT sum(a * mid) AS rs, CAST(sum(a) AS DOUBLE) AS n1, CAST(sum(b) AS DOUBLE) AS n2, sum(CAST(a + b AS DOUBLE) ** 3 - (a + b)) AS ties FROM (
         SELECT a, b, sum(a + b) OVER (ORDER BY v) - (a + b - 1) / 2 AS mid FROM (SELECT l_quantity AS v, count_if(l_linestatus = 'O') AS a, count_if(l_linestatus <> 'O') AS b FROM lineitem GROUP BY 1))))))""",
 )
@@ -57,13 +60,17 @@ def rank_sum_test(t):
     return st.rank_sum_test(t.read("lineitem"), "l_quantity", F.col("l_linestatus") == "O")
 
 
+def _orders_post(t):
+    return t.read("orders").select("o_totalprice", (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("double").alias("is_post"))
+
+
 @query(
     "gaussian_factor_model", "M5 M8 M10", doubles="estimate", digits=4,
     sql="""SELECT 'pre_post' AS model, '(intercept)' AS term, avg(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS estimate FROM orders UNION ALL
         SELECT 'pre_post', 'is_post', avg(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') - avg(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-01-01') FROM orders""",
 )
 def gaussian_factor_model(t):
-    o = t.read("orders").select("o_totalprice", (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("double").alias("is_post"))
+    o = _orders_post(t)
     m = st.fit_glm(o, "o_totalprice", ["is_post"])
     return st.coefficient_table(t.spark, {"pre_post": (m, ["is_post"])})
 
@@ -77,7 +84,7 @@ def _cell_features(t):
     "model_comparison", "M5 M8",
 )
 def model_comparison(t):
-    d = _cell_features(t)
+    d = staged(_cell_features(t))
     models = {
         "depth": (st.fit_glm(d, "pings", ["depth_z"]), ["depth_z"]),
         "depth_winter": (st.fit_glm(d, "pings", ["depth_z", "winter"]), ["depth_z", "winter"]),
@@ -87,19 +94,55 @@ def model_comparison(t):
 
 @query("tweedie_model", "M6 M9 M10")
 def tweedie_model(t):
-    d = _cell_features(t)
+    d = staged(_cell_features(t))
     m = st.fit_tweedie(d, "pings", ["depth_z", "winter"])
     coef = st.coefficient_table(t.spark, {"tweedie": (m, ["depth_z", "winter"])})
     return coef.withColumn("estimate", F.round("estimate", 5))
 
 
+def _years(d):
+    """All years that have earlier ones to learn from."""
+    return sorted(r[0] for r in d.select("year").distinct().collect())[1:]
+
+
 @query("year_forward_validation", "M7 M8")
 def year_forward_validation(t):
-    d = _cell_features(t)
-    s = st.year_forward_scores(d, "pings", ["depth_z", "winter"], "year", [1998, 1999, 2000])
+    d = staged(_cell_features(t))
+    s = st.year_forward_scores(d, "pings", ["depth_z", "winter"], "year", _years(d))
     return s.withColumns({c: F.round(c, 4) for c in ("log_score", "rmse")})
 
 
+@query(
+    "gaussian_factor_aic", "M8", doubles="aic", digits=3,
+    sql="""SELECT 'pre_post' AS model, n * (ln(2 * pi() * dev / n) + 1) + 2 + 2 * 2 AS aic FROM (SELECT count(*) AS n, sum((o_totalprice - m) ** 2) AS dev FROM orders
+        JOIN (SELECT o_orderdate >= TIMESTAMP '1998-01-01' AS post, avg(o_totalprice) AS m FROM orders GROUP BY 1) ON post = (o_orderdate >= TIMESTAMP '1998-01-01'))""",
+)
+def gaussian_factor_aic(t):
+    o = _orders_post(t)
+    return st.aic_table(t.spark, {"pre_post": (st.fit_glm(o, "o_totalprice", ["is_post"]), ["is_post"])})
+
+
+@query(
+    "tweedie_factor_model", "M6 M10", doubles="estimate", digits=4,
+    sql="""WITH m AS (SELECT ln(avg(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-01-01')) AS a, ln(avg(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-01-01')) AS b FROM orders)
+        SELECT 'tweedie' AS model, '(intercept)' AS term, a AS estimate FROM m UNION ALL SELECT 'tweedie', 'is_post', b - a FROM m""",
+)
+def tweedie_factor_model(t):
+    m = st.fit_tweedie(_orders_post(t), "o_totalprice", ["is_post"])
+    return st.coefficient_table(t.spark, {"tweedie": (m, ["is_post"])})
+
+
+@query(
+    "year_forward_tweedie", "M7 M6", doubles="deviance rmse", digits=3,
+    sql="""WITH d AS (SELECT cell_id, year(date) AS year, month(date) IN (12, 1, 2, 3, 4) AS winter, CAST(sum(pings) AS DOUBLE) AS y FROM effort GROUP BY cell_id, year(date), month(date)),
+        f AS (SELECT b.year, b.y, (SELECT avg(a.y) FROM d a WHERE a.year < b.year AND a.winter = b.winter) AS m FROM d b WHERE b.year > (SELECT min(year) FROM d))
+        SELECT year, count(*) AS n, avg(2 * (sqrt(y) / -0.25e0 + 2 * y / sqrt(m) + 2 * sqrt(m))) AS deviance, sqrt(avg((y - m) ** 2)) AS rmse FROM f GROUP BY 1""",
+)
+def year_forward_tweedie(t):
+    d = staged(_cell_features(t))
+    return st.year_forward_tweedie(d, "pings", ["winter"], "year", _years(d))
+
+
 @query(
     "back_transformed_predictions", "M9 P25", doubles="fit lo hi",
     sql="""SELECT cell_id, exp(est) AS fit, exp(est - 1.96 * se) AS lo, exp(est + 1.96 * se) AS hi FROM (SELECT cell_id, avg(ln(lbs)) AS est, stddev_samp(ln(lbs)) / sqrt(count(*)) AS se FROM effort GROUP BY 1)""",

@@ -16,6 +16,9 @@ def local_session(cores: int = 8, app: str = "tidegrid") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Also split a hot key where a later step has to shuffle again for it.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
@@ -26,10 +29,15 @@ def local_session(cores: int = 8, app: str = "tidegrid") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is set."""
+    """Use the cluster's shared checkpoint folder; make one only in a local session where none is set.
+
+    On a cluster a folder of one machine would lose data, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegrid-ckpt-"))
 
 
@@ -48,6 +56,9 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Path for a written stage table inside the shared checkpoint folder."""
+    """Path for a written stage table inside the shared checkpoint folder; deleted when the application ends."""
     ensure_checkpoint_dir(spark)
-    return os.path.join(spark.sparkContext.getCheckpointDir(), name)
+    path = os.path.join(spark.sparkContext.getCheckpointDir(), name)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path

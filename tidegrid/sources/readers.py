@@ -65,10 +65,10 @@ def read_polygons(spark: SparkSession, path: str, fmt: str = "wkt", schema: str
     return f.select("properties", F.slice(ring, 1, F.size(ring) - 1).alias("ring"))
 
 
-def read_grid_cells(spark: SparkSession, path: str, times=None) -> DataFrame:
-    """Gridded field landed as Parquet (ix, iy, t, value); a time range reaches the scan."""
+def read_grid_cells(spark: SparkSession, path: str, times=None, time_column: str = "t") -> DataFrame:
+    """Gridded field landed as Parquet, one row per cell and time; a time range reaches the scan."""
     df = spark.read.parquet(path)
-    return df if times is None else df.where(F.col("t").between(*times))
+    return df if times is None else df.where(F.col(time_column).between(*times))
 
 
 def read_jdbc_filtered(spark: SparkSession, url: str, table: str, columns, predicate: str, **options) -> DataFrame:
@@ -76,6 +76,12 @@ def read_jdbc_filtered(spark: SparkSession, url: str, table: str, columns, predi
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().where(predicate).select(*columns)
 
 
-def backfill_by_year(spark: SparkSession, path: str, years, year_column: str = "year") -> DataFrame:
-    """Landed yearly files; only the asked years' partitions are read."""
-    return spark.read.parquet(path).where(F.col(year_column).isin(list(years)))
+def backfill_by_year(spark: SparkSession, path: str, years, year_column: str = "year", date_column: str | None = None) -> DataFrame:
+    """Landed rows of the asked years: by the year's partitions, or by ranges of a date column, which reach the scan."""
+    df = spark.read.parquet(path)
+    if date_column is None:
+        return df.where(F.col(year_column).isin(list(years)))
+    kind = df.schema[date_column].dataType
+    start = lambda y: F.lit(f"{y}-01-01").cast(kind)
+    ranges = [(F.col(date_column) >= start(y)) & (F.col(date_column) < start(y + 1)) for y in years]
+    return df.where(reduce(lambda a, b: a | b, ranges))

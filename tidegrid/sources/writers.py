@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.reshape import pivot_values
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -13,14 +15,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_stage(df: DataFrame, path: str, keys=(), mode: str = "overwrite") -> DataFrame:
     """Write a stage table partitioned by its coarse keys and return it as read back.
 
-    Rows are clustered by the partition keys and a hash of the row, so that a
-    key with most of the rows is written by several tasks.
+    Rows are rebalanced by the partition keys: adaptive execution merges small keys and deals a key with most of the
+    rows over as many tasks as its size asks for.
     """
     keys = list(keys)
-    out = df
-    if keys:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-        out = df.withColumn("_spread", spread).repartition(*keys, "_spread").drop("_spread")
+    out = df.hint("rebalance", *keys) if keys else df
     writer = out.write.mode(mode)
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -28,7 +27,7 @@ def write_stage(df: DataFrame, path: str, keys=(), mode: str = "overwrite") -> D
 
 def export_wide(df: DataFrame, keys, pivot_col: str, values, aggs: dict[str, Column]) -> DataFrame:
     """One row per key and one column per pivot value, ready to be written."""
-    return df.groupBy(*keys).pivot(pivot_col, list(values)).agg(*[c.alias(n) for n, c in aggs.items()])
+    return pivot_values(df, keys, pivot_col, values, aggs)
 
 
 def attach_cells(df: DataFrame, grid: DataFrame, cell_id: str, columns) -> DataFrame:
