@@ -220,7 +220,7 @@ _T = [_integrated_t(0.975, d) for d in range(1, 32)]
 
 
 @query(
-    "mean_with_t_interval", "A21", doubles="mean sd lo hi",
+    "mean_with_t_interval", "A21", doubles="mean:7 sd:3 lo:3 hi:3",
     sql=f"""SELECT cell_id, year_month, n, mean, sd, CASE WHEN n > 1 THEN mean - h END AS lo, CASE WHEN n > 1 THEN mean + h END AS hi FROM (
         SELECT *, {_T}[greatest(least(n - 1, {len(_T)}), 1)] * sd / sqrt(n) AS h FROM (
         SELECT cell_id, year_month, count(rev) AS n, avg(rev) AS mean, stddev_samp(rev) AS sd FROM effort GROUP BY 1, 2))""",

@@ -173,7 +173,7 @@ def events_against_all_values(t):
 
 
 @query(
-    "overlap_risk_rules", "D44", doubles="risk", digits=8,
+    "overlap_risk_rules", "D44", doubles="risk", digits=11,
     sql="""SELECT coalesce(e.cell_id, s.cell_id) AS cell_id, coalesce(e.year_month, s.year_month) AS year_month, CASE WHEN p IS NULL OR p = 0 THEN 0 WHEN dens IS NULL THEN NULL ELSE p * dens END AS risk FROM (
         SELECT cell_id, year_month, sum(pings) AS p FROM effort GROUP BY 1, 2) e FULL JOIN species s ON e.cell_id = s.cell_id AND e.year_month = s.year_month""",
 )

@@ -172,7 +172,7 @@ def inverse_distance_grid(t):
 
 
 @query(
-    "mean_of_four_nearest", "G14", doubles="value",
+    "mean_of_four_nearest", "G14", doubles="value", digits=11,
     sql=f"""SELECT cell_id, day, avg(value) AS value, count(*) AS n_used FROM (SELECT cell_id, day, value, row_number() OVER (PARTITION BY cell_id, day ORDER BY d, sample_id) AS rn FROM (
         SELECT cell_id, day, sample_id, value, sqrt((gx + 0.5e0 - x) * (gx + 0.5e0 - x) + (gy + 0.5e0 - y) * (gy + 0.5e0 - y)) AS d FROM grid, {_SAMPLES})) WHERE rn <= 4 GROUP BY 1, 2""",
 )

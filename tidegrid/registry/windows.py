@@ -72,10 +72,10 @@ def lags_on_completed_spine(t):
 @query(
     "running_percent_of_total", "W6", doubles="running_pct",
     sql="""SELECT region, rev, n, CAST(sum(n) OVER w AS BIGINT) AS running_n, 100.0 * sum(n) OVER w / sum(n) OVER (PARTITION BY region) AS running_pct
-        FROM (SELECT region, round(rev, -2) AS rev, count(*) AS n FROM (SELECT region, floor(rev / 100) * 100 AS rev FROM effort) GROUP BY 1, 2) WINDOW w AS (PARTITION BY region ORDER BY rev)""",
+        FROM (SELECT region, round(rev, -2) AS rev, count(*) AS n FROM (SELECT region, floor(round(rev, 2) / 100) * 100 AS rev FROM effort) GROUP BY 1, 2) WINDOW w AS (PARTITION BY region ORDER BY rev)""",
 )
 def running_percent_of_total(t):
-    e = t.effort.select("region", (F.floor(F.col("rev") / 100) * 100).cast("double").alias("rev"))
+    e = t.effort.select("region", (F.floor(F.round("rev", 2) / 100) * 100).cast("double").alias("rev"))
     return wn.running_percent(e, ["region"], "rev")
 
 
