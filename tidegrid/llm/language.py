@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, stage, table
 
 #: Bounds of the sample that the field is fitted on: documents per language, and words in a row from each.
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 160
@@ -252,7 +252,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                     words: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
     """(language, words in a row) of at most ``per_language`` documents of each language, the first by hash of the id."""
     known = docs.where(F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    # Written first, so that its size is known: a few rows are broadcast and no text is shuffled for the draw.
+    counts = stage(known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
     drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                          (F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
     near = drawn.join(counts, "lang").where(F.col("u") < 2.0 * per_language / F.col("n"))
