@@ -59,16 +59,16 @@ def running_counts(vc: DataFrame, keys, value: str, weights, buckets: int | None
     n = buckets or shuffle_width(vc.sparkSession)
     # The weights ride along so that this aggregate reads the same shuffle as the main branch.
     points = F.percentile_approx(value, [i / n for i in range(1, n)] or [0.5], 10000)
-    cuts = vc.agg(F.struct(points.alias("c"), *[F.sum(w) for w in weights])).scalar()
     # The cuts are in order, so a value is first held against every m-th cut, then against the m after that.
     m = max(1, math.isqrt(n))
-    every = F.transform(F.sequence(F.lit(m), F.greatest(F.size("_cuts"), F.lit(m)), F.lit(m)), lambda i: F.get("_cuts", i - 1))
+    every = F.transform(F.sequence(F.lit(m), F.greatest(F.size("c"), F.lit(m)), F.lit(m)), lambda i: F.get("c", i - 1))
+    cuts = vc.agg(points.alias("c"), *[F.sum(w) for w in weights]).select(F.struct("c", every.alias("every"))).scalar()
     below = lambda a: F.size(F.filter(a, lambda c: c < F.col(value)))
     b = (
-        vc.withColumn("_cuts", cuts["c"])
-        .withColumn("_k", below(every) * m)
-        .withColumn("_b", F.col("_k") + below(F.slice("_cuts", F.col("_k") + 1, F.lit(m))))
-        .drop("_cuts", "_k")
+        vc.withColumns({"_cuts": cuts["c"], "_every": cuts["every"]})
+        .withColumn("_k", below("_every") * m)
+        .withColumn("_b", F.coalesce(F.col("_k") + below(F.slice("_cuts", F.col("_k") + 1, F.lit(m))), F.lit(0)))  # never null: no null test for the join
+        .drop("_cuts", "_every", "_k")
     )
     # One row per (keys, bucket): at most `buckets` rows per window partition.
     per_bucket = b.groupBy(*keys, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
