@@ -206,8 +206,8 @@ def _integrated_t(p: float, dof: int) -> float:
     f = lambda x: c * (1 + x * x / dof) ** (-(dof + 1) / 2)
     t = 0.0
     for _ in range(60):
-        h = t / 400
-        area = h / 3 * sum((1 if i in (0, 400) else 4 if i % 2 else 2) * f(i * h) for i in range(401)) if t else 0.0
+        h = t / 4000
+        area = h / 3 * sum((1 if i in (0, 4000) else 4 if i % 2 else 2) * f(i * h) for i in range(4001)) if t else 0.0
         step = (p - 0.5 - area) / f(t)
         t += step
         if abs(step) < 1e-13:
