@@ -55,7 +55,7 @@ def test_novel_strings(rng):
     corpus = [" ".join(rng.choice(names) for _ in range(120)) for _ in range(200)]
     finder = secrets.Finder(secrets.train_dictionary(corpus))
     key = "".join(random.Random(9).choices(string.ascii_letters + string.digits, k=40))
-    text = f"{corpus[0]} Authorization Bearer {key} then auth {names[0]}_{names[1]} and {key[::-1]}"
+    text = f"{corpus[0]} Authorization Bearer {key} then auth {names[0]}_{names[1]}"
     got = finder.spans(text)
     assert [text[s:e] for s, k, e in got if k == 3] == [key]
 

@@ -61,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = stage(rows.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
     plan = stage(source_targets(rows, weights, cap), "mix-targets")
     each = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda df: df  # tables with one row per source
-    scale = rows.groupBy("k").agg((F.sum("size") / F.sum(F.col("size") * F.col("liked"))).alias("scale"))
+    scale = rows.groupBy("k").agg(F.try_divide(F.sum("size"), F.sum(F.col("size") * F.col("liked"))).alias("scale"))
     expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size") * F.col("liked") * F.coalesce("scale", F.lit(1.0)))).otherwise(0.0)
     ranked = rows.join(each(plan.join(scale, "k")), "k").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
     p = F.greatest(F.lit(1e-9), F.col("expected") - F.col("whole"))
