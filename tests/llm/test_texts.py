@@ -58,6 +58,8 @@ def test_novel_strings(rng):
     text = f"{corpus[0]} Authorization Bearer {key} then auth {names[0]}_{names[1]}"
     got = finder.spans(text)
     assert [text[s:e] for s, k, e in got if k == 3] == [key]
+    twice = f"{corpus[1]} auth {key} {corpus[2]} auth {key}"
+    assert [twice[s:e] for s, k, e in finder.spans(twice) if k == 3] == [key, key]
 
 
 def test_secrets_query(spark):
