@@ -100,6 +100,19 @@ def test_pages_without_article():
     assert [html.extract(p, wrapper, html.main_slots(wrapper)) for p in pages] == [f"Text {i} a t{i} Text {i} b" for i in range(5)]
 
 
+def test_constants_inside_articles():
+    """A host's notice, its advert on some pages and its line among the paragraphs are no text; without the wrapper they are."""
+    page = ("<html><body><article><h1>Head {n}</h1><div class='x'>Notice <b>of the host</b></div>{more}<p>Text {n} a<p>by and <i>by</i> {n}<p>Read on at our site</article></body></html>")
+    pages = [page.replace("{more}", "<section>Buy now</section>" * (i % 2)).replace("{n}", str(i)) for i in range(8)]
+    wrapper = html.infer([html.tokens(p) for p in pages])
+    slots = html.main_slots(wrapper)
+    want = [f"Head {i} Text {i} a by and by {i}" for i in range(8)]
+    assert [html.extract(p, wrapper, slots) for p in pages] == want
+    assert all("Notice of the host" in html.extract(p) and "Read on" in html.extract(p) for p in pages)
+    same = [html.tokens(pages[0])] * 3
+    assert html.extract(pages[0], html.infer(same), html.main_slots(html.infer(same))) == html.extract(pages[0])
+
+
 def test_wrapper_has_groups():
     pages = [html.tokens(f"<ul>{'<li>x</li>' * n}</ul>{'<p>opt</p>' if n > 2 else ''}<h2>{n}</h2>") for n in (1, 2, 3)]
     text = html.expression(html.infer(pages))
