@@ -113,6 +113,22 @@ def test_constants_inside_articles():
     assert html.extract(pages[0], html.infer(same), html.main_slots(html.infer(same))) == html.extract(pages[0])
 
 
+@pytest.mark.parametrize("page", ["<body class='has-sidebar'><article><p>Text</p></article><div class='sidebar'>x</div></body>", "<body class='no-sidebar menu-open'><div><p>Text</p></div></body>",
+                                  "<div class='content-sidebar-wrap'><article><p>Text</p></article><div class='related'><article>x</article></div></div>",
+                                  "<body><div class='content-sidebar-wrap'><div class='post'><p>Text</p></div><div class='sidebar'>x</div></div></body>",
+                                  "<article><div class='share-price'>Text</div><div class='share'>x</div><div class='comments-area'>x</div></article>", "<article><div class='entry-header'>Text</div></article>"])
+def test_names_of_layouts_are_no_boilerplate(page):
+    assert html.extract(page) == "Text"
+
+
+def test_texts_the_wrapper_lacks():
+    """A table inside the main container that no sampled page had stays."""
+    page = "<html><body><div><h2>Same on all pages</h2></div><section><p>Text {n} a</p><h2>t{n}</h2>{more}<p>Text {n} b</p></section><div class='sidebar'>x {n}</div></body></html>"
+    wrapper = html.infer([html.tokens(page.replace("{more}", "").replace("{n}", str(i))) for i in range(5)])
+    new = page.replace("{more}", "<table><tr><td>Row</td></tr></table>").replace("{n}", "9")
+    assert html.extract(new, wrapper, html.main_slots(wrapper)) == "Text 9 a t9 Row Text 9 b"
+
+
 def test_wrapper_has_groups():
     pages = [html.tokens(f"<ul>{'<li>x</li>' * n}</ul>{'<p>opt</p>' if n > 2 else ''}<h2>{n}</h2>") for n in (1, 2, 3)]
     text = html.expression(html.infer(pages))
