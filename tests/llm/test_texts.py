@@ -62,6 +62,16 @@ def test_novel_strings(rng):
     assert [twice[s:e] for s, k, e in finder.spans(twice) if k == 3] == [key, key]
 
 
+@pytest.mark.parametrize("before", ["auth via vault.example.com/prod: ", "token for connection_pool_manager, ", "password_reset_link_for_user=", "auth " + "f" * 24 + " "])
+def test_keys_behind_other_candidates(before):
+    names = ["connection_pool_manager", "password_reset_link_for_user", "vault.example.com/prod", "authentication_provider"]
+    finder = secrets.Finder(secrets.train_dictionary([" ".join(random.Random(i).choices(names, k=120)) for i in range(200)]))
+    for seed in range(20):
+        key = "".join(random.Random(seed).choices(string.ascii_letters + string.digits, k=40))
+        text = f"see {before}{key} and more"
+        assert key in [text[s:e] for s, k, e in finder.spans(text) if k == 3]
+
+
 def test_secrets_query(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
