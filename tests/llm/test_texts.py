@@ -183,6 +183,24 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert np.mean([got[i].component_id == root[i] for i in got]) > 0.98
 
 
+@pytest.mark.parametrize("wanted", [88, 400, 1000, 2048])
+@pytest.mark.parametrize("cosine", [0.95, 0.96])
+def test_pairs_at_the_threshold_meet(wanted, cosine):
+    """However many pivots a large table has, planted pairs share enough of them."""
+    rng = np.random.default_rng(1)
+    rows = lambda n: (x := rng.normal(size=(n, 16))) / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = rows(1)
+    while len(pivots) < wanted:
+        v = rows(1)
+        if (pivots @ v[0]).max() < embeddings.APART:
+            pivots = np.vstack([pivots, v])
+    a, other = rows(2000), rows(2000)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine ** 2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    x, y = (embeddings.permutation_prefixes(v, pivots) for v in (a, b))
+    assert ((x[:, :, None] == y[:, None, :]).any(axis=2).sum(axis=1) >= embeddings.SHARED).mean() >= 0.96
+
+
 def test_vectors_recall_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()

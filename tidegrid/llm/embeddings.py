@@ -1,7 +1,7 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 A vector is described by its nearest reference points in order. Inverted lists are kept for
-every set of ``SHARED`` pivots out of a vector's ``PREFIX`` nearest, so vectors that meet in a list
+every set of ``SHARED`` pivots out of a vector's nearest, ``PREFIX`` or more with many pivots, so vectors that meet in a list
 share at least that many. Vectors of a list are verified by their cosine in double precision;
 a pair that meets in several lists counts only in the first. Long lists are dealt as pairs of
 blocks. Tasks return link counts and spanning links, never all pairs.
@@ -20,8 +20,10 @@ from .common import stage, table
 from .components import connected_components
 
 THRESHOLD = 0.95
-#: Nearest pivots that describe a vector, and how many two vectors must share to meet.
+#: Least number of nearest pivots that describe a vector, and how many two vectors must share to meet.
 PREFIX, SHARED = 6, 3
+#: Numbers of pivots beyond which one more of the nearest describes a vector, so that pairs at the threshold meet as often.
+LONGER = (128, 256, 1024)
 #: Pivots grow with the cube root of the number of vectors, so that lists stay as long; bounds and rows looked at for each.
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS, TRIED = 7, 64, 2048, 4
 #: Two pivots have a cosine below this, so copies of one vector don't fill the set.
@@ -65,9 +67,13 @@ def choose_pivots(vectors: DataFrame, dim: int, n: int) -> np.ndarray:
     return chosen
 
 
+def prefix_length(pivots: int) -> int:
+    return min(PREFIX + sum(pivots > n for n in LONGER), pivots)
+
+
 def permutation_prefixes(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Numbers of the nearest pivots of each vector, nearest first; ties by number."""
-    k = min(PREFIX, len(pivots))
+    k = prefix_length(len(pivots))
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :k]
 
 
@@ -164,7 +170,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     kind = rows.schema["vec"].dataType.simpleString()
     described = stage(rows.select("row", "vec").mapInArrow(describe, f"row long, vec {kind}, top array<int>"), "permutations")
-    k = min(PREFIX, len(pivots.value))
+    k = prefix_length(len(pivots.value))
     ordered = F.array_sort("top")
     keys = [F.array(*[F.get(ordered, F.lit(i)) for i in c]) for c in combinations(range(k), min(SHARED, k))]
     lists = described.select("row", F.explode(F.array(*keys)).alias("key"))
