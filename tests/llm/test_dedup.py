@@ -107,6 +107,12 @@ def test_near_duplicates(awkward, no_rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
 
 
+def test_ids_that_are_null_or_repeat(spark):
+    """Unlike texts without an id, or under one id, all stay."""
+    docs = spark.createDataFrame([(i, f"{w} " * 30) for i, w in [(None, "apple"), (None, "river"), (None, "stone"), (7, "cloud"), (7, "table")]], "doc_id long, text string")
+    assert sorted(map(str, keep_one_of_each(docs).collect())) == sorted(map(str, docs.collect()))
+
+
 @pytest.mark.parametrize("meeting", [2, 48])
 def test_pairs_in_a_dense_ball(spark, rng, meeting):
     """A crowd of fingerprints around one point, next to random ones; keys get finer where too many meet."""

@@ -44,6 +44,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+
+
+def id_key(id_col: str, digest: str) -> Column:
+    """Id and text digest as one key, null ids after all others."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(digest).alias("digest"))
+
+
 def rows_of(docs: DataFrame, ids: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows of ``docs`` that match ``ids``, with the other columns of ``ids``; of rows equal in the keys, one.
 

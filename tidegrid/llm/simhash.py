@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, rows_of, stage, table
+from .common import fresh, id_key, rows_of, stage, table, text_digest
 from .components import connected_components
 
 SEED, SHINGLE, LIMIT, BITS = 42, 3, 2, 64
@@ -165,11 +165,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id; of rows repeating that id, one."""
-    found = near_duplicates(docs, id_col, text_col)
-    (keep,) = fresh(docs, "keep_id")
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
-    return rows_of(docs, stay, {id_col: keep})
+    """One row of each component: of those with its smallest id (null only where all are null), the text with the smallest digest."""
+    key, digest, keep, keep_digest = fresh(docs, "key", "digest", "keep_id", "keep_digest")
+    known = docs.withColumn(digest, text_digest(text_col))
+    found = near_duplicates(known.select(id_key(id_col, digest).alias(key), text_col), key, text_col)
+    stay = found.where(F.col(key) == F.col("component_id")).select(F.col(key)["id"].alias(keep), F.col(key)["digest"].alias(keep_digest)).distinct()
+    return rows_of(known, stay, {digest: keep_digest, id_col: keep}).select(*docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
