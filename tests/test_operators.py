@@ -120,7 +120,7 @@ def test_k_nearest_matches_brute_force(spark, k):
     right = [(i, round(rng.uniform(0, 3), 3), round(rng.uniform(0, 3), 3)) if i % 3 == 0 else (i, round(rng.uniform(0, 64), 3), round(rng.uniform(0, 64), 3)) for i in range(30)]
     l = spark.createDataFrame(left, "lid int, x double, y double")
     r = spark.createDataFrame(right, "rid int, x double, y double")
-    got = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", k, size=1.0).collect()}
+    got = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", k).collect()}
     for lid, x, y in left:
         best = sorted((math.dist((x, y), (a, b)), rid) for rid, a, b in right)[:k]
         assert [got[(lid, i + 1)] for i in range(k)] == [rid for _, rid in best]
@@ -132,7 +132,7 @@ def test_far_neighbours_are_found(spark):
     r = spark.createDataFrame([(1, "a", 5001.0, 0.0), (2, "a", 9000.0, 0.0), (3, "b", 9e6, -2e6)], "rid int, s string, x double, y double")
     near = {p.lid: (p.rid, p.dist) for p in spatial.nearest(l, r, ["lid"], "rid", ["s"]).collect()}
     assert near == {1: (1, 5001.0), 2: (1, 1.0), 3: (3, math.dist((-7e6, 3e6), (9e6, -2e6)))}
-    two = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", 2, ["s"], size=5000.0).collect()}
+    two = {(p.lid, p.rank): p.rid for p in spatial.k_nearest(l, r, ["lid"], "rid", 2, ["s"]).collect()}
     assert two == {(1, 1): 1, (1, 2): 2, (2, 1): 1, (2, 2): 2, (3, 1): 3}
 
 
@@ -181,7 +181,7 @@ def test_pivot_refuses_unlisted_values(spark):
 def test_fewer_than_k_samples(spark):
     l = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0)], "lid int, x double, y double")
     r = spark.createDataFrame([(1, 3.0, 4.0, 2.0), (2, 60.0, 60.0, 4.0)], "rid int, x double, y double, v double")
-    got = {p.lid: (p.v, p.n_used) for p in spatial.knn_mean(l, r, ["lid"], "rid", "v", 4, size=1.0).collect()}
+    got = {p.lid: (p.v, p.n_used) for p in spatial.knn_mean(l, r, ["lid"], "rid", "v", 4).collect()}
     assert got == {1: (3.0, 2), 2: (3.0, 2)}
 
 

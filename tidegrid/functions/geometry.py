@@ -28,7 +28,7 @@ def grid_index(v: str | Column, size: float, origin: float = 0.0) -> Column:
 
 def ring_next(ring: Column) -> Column:
     """The ring rotated by one, so that zipping both gives the edges."""
-    return F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    return F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
 
 
 def in_ring(x: str | Column, y: str | Column, ring: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.geometry import point
+from ..functions.polygons import rings_from_wkt
 from ..functions.scalars import region_of
 from ..plans import effort as eff
 from ..plans.risk import normalized_species
@@ -22,6 +23,15 @@ CELLS = 400
 SIDE = 20
 
 
+# Corners about a port: outline and second part counter-clockwise, hole clockwise.
+OUTLINE = ((-3.0137, -2.7211), (3.3319, -2.4073), (0.2171, 3.6413))
+HOLE = ((-0.9157, -1.1231), (0.1097, 0.9371), (1.1173, -1.3019))
+APART = ((4.1291, 1.2167), (6.3413, 1.4319), (5.2271, 3.1153))
+# Corners of source polygons as (x, share of x by key, y): counter-clockwise with a notch, the hole clockwise.
+NOTCHED = ((-1.1, -0.01, -0.9), (1.3, 0.0, -1.0), (0.9, 0.03, 1.2), (0.1, 0.0, 0.2), (-0.8, 0.0, 1.4))
+NOTCHED_HOLE = ((-0.3, 0.0, -0.5), (0.1, 0.0, -0.1), (0.4, 0.0, -0.6))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -136,6 +146,22 @@ class Tables:
         ring = F.array(point(x - 1.2, y - 1.1), point(x + 1.7, y - 0.3), point(x + 0.2, y + 1.9))
         return self.ports.select("port", ring.alias("ring"))
 
+    @cached_property
+    def waters(self) -> DataFrame:
+        """A triangle with a triangular hole around each port, and a second part apart from it, as a layer lands them in text."""
+        corner = lambda p: F.concat_ws(" ", (F.col("px") + p[0]).cast("string"), (F.col("py") + p[1]).cast("string"))
+        ring = lambda ps: F.concat(F.lit("("), F.concat_ws(", ", *[corner(p) for p in (*ps, ps[0])]), F.lit(")"))
+        wkt = F.concat(F.lit("MULTIPOLYGON (("), ring(OUTLINE), F.lit(", "), ring(HOLE), F.lit("), ("), ring(APART), F.lit("))"))
+        return self.ports.select("port", wkt.alias("wkt")).withColumn("rings", rings_from_wkt("wkt"))
+
+    @cached_property
+    def erased(self) -> DataFrame:
+        """Notched source polygons, each with a hole, and a value."""
+        s = self.read("part").groupBy((F.col("p_partkey") % 150).alias("src")).agg(F.round(F.avg("p_retailprice"), 6).alias("value"))
+        x, y, k = (F.col("src") * 7 % 20 + 0.31), (F.col("src") * 11 % 20 + 0.17), F.col("src") % 7
+        ring = lambda ps: F.array(*[point(x + a + k * b, y + c) for a, b, c in ps])
+        return s.select("src", "value", F.array(ring(NOTCHED), ring(NOTCHED_HOLE)).alias("rings"))
+
     @cached_property
     def cpi(self) -> DataFrame:
         y = F.year("o_orderdate")
@@ -213,6 +239,11 @@ CTES: dict[str, str] = {
     "zone_edges": """SELECT port, px - 1.2e0 AS ax, py - 1.1e0 AS ay, px + 1.7e0 AS bx, py - 0.3e0 AS by FROM ports
         UNION ALL SELECT port, px + 1.7e0, py - 0.3e0, px + 0.2e0, py + 1.9e0 FROM ports
         UNION ALL SELECT port, px + 0.2e0, py + 1.9e0, px - 1.2e0, py - 1.1e0 FROM ports""",
+    "erased_edges": "SELECT src, value, " + """x + u0 AS ax, y + v0 AS ay, x + u1 AS zx, y + v1 AS zy FROM (
+        SELECT p_partkey % 150 AS src, (p_partkey % 150) * 7 % 20 + 0.31e0 AS x, (p_partkey % 150) * 11 % 20 + 0.17e0 AS y, (p_partkey % 150) % 7 AS k, round(avg(p_retailprice), 6) AS value
+        FROM part GROUP BY 1, 2, 3, 4) s, LATERAL (""" + " UNION ALL ".join(
+        f"SELECT {a[0]}e0 + s.k * {a[1]}e0 AS u0, {a[2]}e0 AS v0, {b[0]}e0 + s.k * {b[1]}e0 AS u1, {b[2]}e0 AS v1"
+        for ring in (NOTCHED, NOTCHED_HOLE) for a, b in zip(ring, ring[1:] + ring[:1])) + ") e",
     "cpi": "SELECT DISTINCT year(o_orderdate) AS year, CAST(150 + 5 * (year(o_orderdate) - 1995) AS DOUBLE) AS index FROM orders",
     "cell_month": """SELECT s.cell_id, s.year_month, occ, dens, n_occ, n_dens, CAST(coalesce(e.pings, 0) AS DOUBLE) AS pings,
         dens * coalesce(e.pings, 0) AS risk, g.region, g.area FROM species s

@@ -90,9 +90,9 @@ def confidentiality_loss(t):
 @query(
     "fishery_persistence", "D46",
     sql="""SELECT cell_id, n_seasons, CASE WHEN n_seasons = 0 THEN '0' WHEN n_seasons <= 2 THEN '1-2' WHEN n_seasons <= 4 THEN '3-4' WHEN n_seasons <= 6 THEN '5-6' WHEN n_seasons <= 8 THEN '7-8' ELSE '9-10' END AS persistence FROM (
-        SELECT grid.cell_id, count(DISTINCT crab_year) AS n_seasons FROM grid LEFT JOIN (SELECT cell_id, crab_year FROM effort WHERE month(date) IN (11, 12, 1, 2, 3, 4) AND cell_id % 9 <> 4) e ON e.cell_id = grid.cell_id GROUP BY 1)""",
+        SELECT grid.cell_id, count(DISTINCT crab_year) AS n_seasons FROM grid LEFT JOIN (SELECT cell_id, crab_year FROM effort WHERE month(date) IN (11, 12, 1, 2, 3, 4)) e ON e.cell_id = grid.cell_id GROUP BY 1)""",
 )
 def fishery_persistence(t):
-    # Winter only; cells with a key of 4 modulo 9 count as never fished.
-    winter = t.effort.where(F.month("date").isin(11, 12, 1, 2, 3, 4) & (F.col("cell_id") % 9 != 4))
+    """Winter seasons per cell; cells of the grid without effort make the class of the never fished."""
+    winter = t.effort.where(F.month("date").isin(11, 12, 1, 2, 3, 4))
     return eff.persistence(winter, t.grid, "cell_id", "crab_year")

@@ -112,7 +112,7 @@ def closure_covariates(t):
     keys = ["cell_id", "season", "slot"]
     s = status.join(t.grid.select("cell_id", (F.col("gx") * 5000.0).alias("x"), (F.col("gy") * 5000.0).alias("y")), "cell_id")
     cut = lambda is_open: s.where(F.col("is_open") == is_open).select(*keys, "x", "y")
-    dist = distance_to_nearest(cut(True), cut(False), "cell_id", ["season", "slot"], 5000.0).drop("closed_id")
+    dist = distance_to_nearest(cut(True), cut(False), "cell_id", ["season", "slot"]).drop("closed_id")
     in_state = F.col("cell_id") >= 200
     return ft.closure_features(_slot_spine(t, status), status, dist, keys, 700.0, in_state, F.col("slot") >= 9)
 

@@ -160,7 +160,7 @@ def key_match_report(t):
 def nearest_port_of_cell(t):
     cells = t.grid.select("cell_id", F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"))
     ports = t.ports.select("port", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
-    return nearest(cells, ports, ["cell_id"], "port", size=1.0).select("cell_id", "port", "dist")
+    return nearest(cells, ports, ["cell_id"], "port").select("cell_id", "port", "dist")
 
 
 @query(

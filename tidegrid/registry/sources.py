@@ -4,10 +4,12 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from ..functions.polygons import rings_area, rings_from_geojson, rings_from_wkt
 from ..operators.spatial import ring_box
 from ..session import scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
+from .bindings import APART, HOLE, OUTLINE
 from .core import query
 
 
@@ -96,6 +98,28 @@ def polygon_layer(t):
     return ring.select("port", F.size("ring").alias("n_corners"), "x0", "y0", "x1", "y1")
 
 
+def _triangle_sql(ps):
+    (ax, ay), (bx, by), (cx, cy) = ps
+    return f"abs(({bx}e0 - {ax}e0) * ({cy}e0 - {ay}e0) - ({cx}e0 - {ax}e0) * ({by}e0 - {ay}e0)) / 2"
+
+
+@query(
+    "polygon_layer_parts", "S5", doubles="area json_area far_x", digits=6,
+    sql=f"""SELECT port, 3 AS n_rings, 9 AS n_corners, {_triangle_sql(OUTLINE)} - {_triangle_sql(HOLE)} + {_triangle_sql(APART)} AS area,
+        {_triangle_sql(OUTLINE)} - {_triangle_sql(HOLE)} + {_triangle_sql(APART)} AS json_area, px + {APART[1][0]}e0 AS far_x, true AS open_ring_is_null FROM ports""",
+)
+def polygon_layer_parts(t):
+    """Polygons with a hole and a second part, from well-known text and from GeoJSON coordinates."""
+    w = t.waters
+    closed = F.transform("rings", lambda r: F.concat(F.transform(r, lambda p: F.array(p["x"], p["y"])), F.array(F.array(r[0]["x"], r[0]["y"]))))
+    text = F.to_json(F.array(F.slice(closed, 1, 2), F.slice(closed, 3, 1)))
+    w = w.withColumns({"json": rings_from_geojson(F.lit("MultiPolygon"), text), "broken": rings_from_wkt(F.regexp_replace("wkt", r", [^,]*\)\)\)$", ")))"))})
+    return w.select(
+        "port", F.size("rings").alias("n_rings"), F.size(F.flatten("json")).alias("n_corners"), rings_area("rings").alias("area"), rings_area("json").alias("json_area"),
+        F.array_max(F.transform(F.flatten("rings"), lambda p: p["x"])).alias("far_x"), F.col("broken").isNull().alias("open_ring_is_null"),
+    )
+
+
 _REG = ["CenCA", "NorCA", "OR", "WA"]
 
 

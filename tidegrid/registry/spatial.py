@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.geometry import cell_box, to_utm
+from ..functions.polygons import box_ring
 from ..operators import spatial as sp
 from ..session import staged
-from .bindings import half_month_sql, rollover_sql
+from .bindings import APART, HOLE, OUTLINE, half_month_sql, rollover_sql
 from .core import query
 
 
@@ -76,6 +77,72 @@ def cells_meeting_polygons(t):
     return sp.intersects_flag(_boxes(t), t.zones, "cell_id", "ring", 2.0, "in_zone").select("cell_id", "in_zone")
 
 
+def _in_triangle(ps, x, y):
+    """SQL: a point is on the inner side of all edges of a counter-clockwise triangle about a port."""
+    at = lambda p: (f"(px + {p[0]}e0)", f"(py + {p[1]}e0)")
+    side = lambda a, b: f"({b[0]} - {a[0]}) * ({y} - {a[1]}) - ({b[1]} - {a[1]}) * ({x} - {a[0]}) > 0"
+    ps = [at(p) for p in ps]
+    return "(" + " AND ".join(side(a, b) for a, b in zip(ps, ps[1:] + ps[:1])) + ")"
+
+
+_HOLE_TURNED = HOLE[::-1]
+
+
+@query(
+    "points_in_ring_sets", "G1",
+    sql=f"""SELECT event_id, port FROM {_POINTS}, ports WHERE ({_in_triangle(OUTLINE, 'x', 'y')} AND NOT {_in_triangle(_HOLE_TURNED, 'x', 'y')}) OR {_in_triangle(APART, 'x', 'y')}""",
+)
+def points_in_ring_sets(t):
+    """Points in polygons with a hole and a second part."""
+    return sp.points_in_polygons(_sample_points(t), t.waters.select("port", "rings"), "x", "y", "rings", 2.0).select("event_id", "port")
+
+
+def _box_meets(ps):
+    """SQL: a cell and a counter-clockwise triangle about a port are not parted by an edge of either."""
+    at = [(f"(px + {p[0]}e0)", f"(py + {p[1]}e0)") for p in ps]
+    xs, ys = ", ".join(p[0] for p in at), ", ".join(p[1] for p in at)
+    outside = lambda a, b: "(" + " AND ".join(f"({b[0]} - {a[0]}) * ({y} - {a[1]}) - ({b[1]} - {a[1]}) * ({x} - {a[0]}) < 0" for x, y in _C) + ")"
+    parted = [f"greatest({xs}) < gx", f"least({xs}) > gx + 1", f"greatest({ys}) < gy", f"least({ys}) > gy + 1", *[outside(a, b) for a, b in zip(at, at[1:] + at[:1])]]
+    return "NOT (" + " OR ".join(parted) + ")"
+
+
+@query(
+    "cells_meeting_ring_sets", "G2 J14",
+    sql=f"""SELECT cell_id, bool_or(({_box_meets(OUTLINE)} AND NOT ({' AND '.join(_in_triangle(_HOLE_TURNED, x, y) for x, y in _C)})) OR {_box_meets(APART)}) AS in_waters
+        FROM grid, ports GROUP BY 1""",
+)
+def cells_meeting_ring_sets(t):
+    """Cells that meet a polygon with a hole and a second part; a cell inside the hole does not."""
+    return sp.intersects_flag(_boxes(t), t.waters, "cell_id", "rings", 2.0, "in_waters").select("cell_id", "in_waters")
+
+
+def _shared_with_box(x0, y0, x1, y1):
+    """SQL over ``erased_edges``: area shared with a box, by integrating the height of each edge clamped to the box."""
+    lo, hi = f"greatest(least(ax, zx), {x0})", f"least(greatest(ax, zx), {x1})"
+    slope = "((zy - ay) / (zx - ax))"
+    height = lambda x: f"(ay + ({x} - ax) * {slope})"
+    under = lambda y: f"CASE WHEN {y} <= {y0} THEN 0 WHEN {y} <= {y1} THEN ({y} - {y0}) * ({y} - {y0}) / 2 ELSE ({y1} - {y0}) * ({y1} - {y0}) / 2 + ({y1} - {y0}) * ({y} - {y1}) END"
+    return f"sum(CASE WHEN {lo} < {hi} THEN sign(ax - zx) * ({under(height(hi))} - {under(height(lo))}) / {slope} ELSE 0 END)"
+
+
+@query(
+    "erased_polygon_overlay", "G3", doubles="value covered_area covered_share", digits=6,
+    sql=f"""SELECT cell_id, sum(value * a) / sum(a) AS value, sum(a) AS covered_area, sum(a) / max(area) AS covered_share FROM (
+        SELECT cell_id, src, value, whole - CASE WHEN cell_id % 3 = 0 THEN land ELSE 0 END AS a, CASE WHEN cell_id % 3 = 0 THEN 0.85e0 ELSE 1e0 END AS area FROM (
+        SELECT cell_id, src, any_value(value) AS value, {_shared_with_box('gx', 'gy', '(gx + 1)', '(gy + 1)')} AS whole,
+            {_shared_with_box('(gx + 0.3e0)', '(gy + 0.2e0)', '(gx + 0.6e0)', '(gy + 0.7e0)')} AS land
+        FROM grid, erased_edges GROUP BY cell_id, src)) WHERE a > 1e-9 GROUP BY 1""",
+)
+def erased_polygon_overlay(t):
+    """Notched source polygons with holes over grid cells of which every third has land cut out."""
+    c = t.grid.select("cell_id", F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    land = F.reverse(box_ring(x + 0.3, y + 0.2, x + 0.6, y + 0.7))
+    whole = box_ring(x, y, x + 1, y + 1)
+    cells = c.select("cell_id", F.when(F.col("cell_id") % 3 == 0, F.array(whole, land)).otherwise(F.array(whole)).alias("rings"))
+    return sp.polygon_overlay(t.erased, cells, "src", "cell_id", "value", size=2.0)
+
+
 @query(
     "areal_weighted_overlay", "G3 G4", doubles="value covered_area", digits=8,
     sql="""SELECT cell_id, day, sum(value * a) / sum(a) AS value, sum(a) AS covered_area FROM (SELECT cell_id, day, value,
@@ -107,6 +174,18 @@ def points_along_lines(t):
     return sp.sample_along_line(t.lines, "pots", "x1", "y1", "x2", "y2").select("set_id", "x", "y")
 
 
+# Pieces of lines in cells by clipping each line to each cell under its box: the parameters where it enters and leaves.
+_PIECES = """SELECT set_id, cx, cy, (least(1, ox, oy) - greatest(0, ex, ey)) * l AS length FROM (
+        SELECT set_id, cx, cy, l, CASE WHEN dx > 0 THEN (cx * {size} - x1) / dx WHEN dx < 0 THEN ((cx + 1) * {size} - x1) / dx ELSE 0 END AS ex,
+        CASE WHEN dx > 0 THEN ((cx + 1) * {size} - x1) / dx WHEN dx < 0 THEN (cx * {size} - x1) / dx ELSE 1 END AS ox,
+        CASE WHEN dy > 0 THEN (cy * {size} - y1) / dy WHEN dy < 0 THEN ((cy + 1) * {size} - y1) / dy ELSE 0 END AS ey,
+        CASE WHEN dy > 0 THEN ((cy + 1) * {size} - y1) / dy WHEN dy < 0 THEN (cy * {size} - y1) / dy ELSE 1 END AS oy
+        FROM (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS l,
+            unnest(range(CAST(floor(least(x1, x2) / {size}) AS BIGINT), CAST(floor(greatest(x1, x2) / {size}) AS BIGINT) + 1)) AS cx FROM {lines}) s,
+        LATERAL (SELECT unnest(range(CAST(floor(least(s.y1, s.y2) / {size}) AS BIGINT), CAST(floor(greatest(s.y1, s.y2) / {size}) AS BIGINT) + 1)) AS cy)
+    ) WHERE least(1, ox, oy) - greatest(0, ex, ey) > 1e-12"""
+
+
 def _utm_sql(zone=10):
     f = 1 / 298.257223563
     n = f / (2 - f)
@@ -171,6 +250,20 @@ def inverse_distance_grid(t):
     return sp.idw(slices, s, ["cell_id"], ["day"], "value", 1.0).select("cell_id", "day", "value")
 
 
+@query(
+    "inverse_distance_nearest", "G13", doubles="value", digits=6,
+    sql=f"""SELECT cell_id, day, coalesce(max(value) FILTER (d = 0), sum(value / (d * d)) FILTER (d > 0) / sum(1 / (d * d)) FILTER (d > 0)) AS value, count(*) AS n_used FROM (
+        SELECT cell_id, day, value, d, row_number() OVER (PARTITION BY cell_id, day ORDER BY d, sample_id) AS rn FROM (
+        SELECT cell_id, day, sample_id, value, sqrt((gx + 0.5e0 - x) * (gx + 0.5e0 - x) + (gy + 0.5e0 - y) * (gy + 0.5e0 - y)) AS d FROM grid, {_SAMPLES}) WHERE d <= 1.9) WHERE rn <= 8 GROUP BY 1, 2""",
+)
+def inverse_distance_nearest(t):
+    """Weights of the eight nearest samples within a distance."""
+    from ..operators.joins import with_dimension
+
+    s = _samples(t)
+    return sp.idw_nearest(with_dimension(_targets(t), s.select("day")), s, ["cell_id"], "sample_id", "value", 8, ["day"], 2.0, 1.9)
+
+
 @query(
     "mean_of_four_nearest", "G14", doubles="value", digits=11,
     sql=f"""SELECT cell_id, day, avg(value) AS value, count(*) AS n_used FROM (SELECT cell_id, day, value, row_number() OVER (PARTITION BY cell_id, day ORDER BY d, sample_id) AS rn FROM (
@@ -180,7 +273,7 @@ def mean_of_four_nearest(t):
     from ..operators.joins import with_dimension
 
     s = _samples(t)
-    return sp.knn_mean(with_dimension(_targets(t), s.select("day")), s, ["cell_id"], "sample_id", "value", 4, ["day"], 1.0)
+    return sp.knn_mean(with_dimension(_targets(t), s.select("day")), s, ["cell_id"], "sample_id", "value", 4, ["day"])
 
 
 _SLICES = f"""(SELECT {rollover_sql('date', 12, '-')} AS season, {half_month_sql('date')} AS half_month, cell_id, gx, gy, sum(pings) >= 2 AS is_open
@@ -199,7 +292,7 @@ def distance_to_closed_cells(t):
     s = staged(s)
     keys = ["season", "half_month"]
     cols = [*keys, "cell_id", "x", "y"]
-    return sp.distance_to_nearest(s.where("p >= 2").select(*cols), s.where("p < 2").select(*cols), "cell_id", keys, 5000.0).select(
+    return sp.distance_to_nearest(s.where("p >= 2").select(*cols), s.where("p < 2").select(*cols), "cell_id", keys).select(
         *keys, "cell_id", "closed_id", "dist_km"
     )
 
@@ -248,11 +341,21 @@ def clip_to_cell_set(t):
 
 @query(
     "line_length_per_cell", "G20 J13", doubles="length_m", digits=4,
-    sql="""SELECT CAST(floor(x1 / 500) AS BIGINT) AS cx, CAST(floor(y1 / 500) AS BIGINT) AS cy, count(*) AS n, sum(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))) AS length_m FROM lines GROUP BY 1, 2""",
+    sql=f"""SELECT cx, cy, count(*) AS n, sum(length) AS length_m FROM ({_PIECES.format(size="500e0", lines="lines")}) GROUP BY 1, 2""",
 )
 def line_length_per_cell(t):
-    c = sp.assign_cell(t.lines, "x1", "y1", 500.0)
-    return c.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum(sp.line_length("x1", "y1", "x2", "y2")).alias("length_m"))
+    """Lines cut at every cell border: how many run through a cell, and their length inside it."""
+    c = sp.cut_lines(t.lines, "x1", "y1", "x2", "y2", 500.0)
+    return c.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length_m"))
+
+
+@query(
+    "first_cell_of_lines", "J13",
+    sql="SELECT CAST(floor(x1 / 500) AS BIGINT) AS cx, CAST(floor(y1 / 500) AS BIGINT) AS cy, count(*) AS n FROM lines GROUP BY 1, 2",
+)
+def first_cell_of_lines(t):
+    """Point in cell: where lines begin."""
+    return sp.assign_cell(t.lines, "x1", "y1", 500.0).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

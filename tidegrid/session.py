@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later readers reuse the result and survive lost executors.
+    """A table written once to the shared checkpoint folder: later readers take the columns they need and survive lost executors.
 
     For a frame that several branches of one plan read. Without it each branch
     would recompute the whole upstream.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, f"staged-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

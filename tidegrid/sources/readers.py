@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+from ..functions.polygons import RINGS, rings_from_geojson, rings_from_wkt
 
 
 def read_typed_csv(spark: SparkSession, path, schema, **options) -> DataFrame:
@@ -37,32 +36,33 @@ def read_exported_sheet(spark: SparkSession, path: str, schema, skip_blank: str
     return df if skip_blank is None else df.where(F.col(skip_blank).isNotNull())
 
 
+def _only_ring(rings):
+    """The ring of a polygon that has just one, else null."""
+    return F.when(F.size(rings) == 1, rings[0])
+
+
 def ring_from_wkt(c: str):
-    """Outer ring of ``POLYGON ((x y, ...))`` as array<struct<x,y>> without the closing point."""
-    body = F.regexp_extract(c, r"\(\(([^)]*)\)", 1)
-    pts = F.transform(
-        F.split(body, r",\s*"),
-        lambda p: F.struct(
-            F.element_at(F.split(F.trim(p), r"\s+"), 1).try_cast("double").alias("x"),
-            F.element_at(F.split(F.trim(p), r"\s+"), 2).try_cast("double").alias("y"),
-        ),
-    )
-    closed = F.element_at(pts, 1) == F.element_at(pts, -1)
-    return F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
-
-
-def read_polygons(spark: SparkSession, path: str, fmt: str = "wkt", schema: str = "id string, wkt string") -> DataFrame:
-    """Polygon layer landed as CSV with WKT, or as line-delimited GeoJSON features."""
+    """The ring of a polygon in well-known text as array<struct<x,y>> without the closing point; null if it has holes or parts."""
+    return _only_ring(rings_from_wkt(c))
+
+
+def read_polygons(spark: SparkSession, path: str, fmt: str = "wkt", schema: str = "id string, wkt string", strict: bool = False) -> DataFrame:
+    """Polygon layer landed as CSV with WKT, or as line-delimited GeoJSON features.
+
+    ``rings`` holds all rings of all parts; ``ring`` is filled for polygons of a single ring. A malformed outline gives null
+    rings, or with ``strict`` an error that shows it.
+    """
     if fmt == "wkt":
         df = read_typed_csv(spark, path, schema, quote='"')
-        return df.withColumn("ring", ring_from_wkt("wkt")).drop("wkt")
-    feature = (
-        "type string, properties map<string,string>, "
-        "geometry struct<type:string, coordinates:array<array<array<double>>>>"
-    )
-    f = spark.read.schema(feature).json(path).where("type = 'Feature'")
-    ring = F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return f.select("properties", F.slice(ring, 1, F.size(ring) - 1).alias("ring"))
+        df = df.withColumns({"rings": rings_from_wkt("wkt"), "_raw": F.col("wkt")}).drop("wkt")
+    else:
+        f = spark.read.schema("type string, properties map<string,string>, geometry struct<type:string, coordinates:string>").json(path)
+        rings = rings_from_geojson("geometry.type", "geometry.coordinates")
+        df = f.where("type = 'Feature'").select("properties", rings.alias("rings"), F.col("geometry.coordinates").alias("_raw"))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("malformed outline: "), F.substring(F.coalesce("_raw", F.lit("none")), 1, 200)))
+        df = df.withColumn("rings", F.when(F.col("rings").isNull(), wrong.cast(RINGS)).otherwise(F.col("rings")))
+    return df.withColumn("ring", _only_ring(F.col("rings"))).drop("_raw")
 
 
 def read_grid_cells(spark: SparkSession, path: str, times=None, time_column: str = "t") -> DataFrame:
