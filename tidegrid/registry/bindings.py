@@ -134,6 +134,14 @@ class Tables:
             (F.col("event_id") % SIDE).alias("sy"), "value",
         )
 
+    @cached_property
+    def soundings(self) -> DataFrame:
+        """Dated observations at the 400 places."""
+        k = F.col("event_id")
+        return self.read("events").select(
+            (k * 7 % CELLS).alias("cell_id"), F.date_add(F.lit("1994-06-01").cast("date"), (k * 7919 % 1500).cast("int")).alias("obs_day"), "value",
+        ).groupBy("cell_id", "obs_day").agg(F.round(F.avg("value"), 8).alias("sst"))
+
     @cached_property
     def ports(self) -> DataFrame:
         k = F.col("n_nationkey")
@@ -235,6 +243,7 @@ CTES: dict[str, str] = {
         ['CenCA', 'NorCA', 'OR', 'WA'][c_nationkey % 4 + 1] AS region
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'""",
     "ocean": "SELECT event_id, CAST(ts AS DATE) AS day, user_id % 20 AS sx, event_id % 20 AS sy, value FROM events",
+    "soundings": """SELECT event_id * 7 % 400 AS cell_id, DATE '1994-06-01' + CAST(event_id * 7919 % 1500 AS INT) AS obs_day, round(avg(value), 8) AS sst FROM events GROUP BY 1, 2""",
     "ports": "SELECT n_nationkey AS port, (n_nationkey * 3) % 20 AS px, (n_nationkey * 11) % 20 AS py, n_regionkey FROM nation",
     "zone_edges": """SELECT port, px - 1.2e0 AS ax, py - 1.1e0 AS ay, px + 1.7e0 AS bx, py - 0.3e0 AS by FROM ports
         UNION ALL SELECT port, px + 1.7e0, py - 0.3e0, px + 0.2e0, py + 1.9e0 FROM ports

@@ -3,12 +3,15 @@
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..operators.asof import asof_join
 from ..operators.joins import spine
-from ..operators.spatial import distance_to_nearest, nearest
+from ..operators.skew import exact_quantiles
+from ..operators.spatial import cut_lines, distance_to_nearest, nearest
 from ..plans import features as ft
 from ..session import staged
 from .bindings import CTES, crab_year_sql
 from .core import query
+from .spatial import PIECES
 
 CTES["slot_status"] = """SELECT cell_id, crab_year AS season, (month(date) + 1) % 12 + 1 AS slot, sum(pings) >= 3 AS is_open FROM effort GROUP BY 1, 2, 3"""
 CTES["slot_spine"] = "SELECT c.cell_id, s.season, r.slot FROM (SELECT DISTINCT cell_id FROM effort) c, (SELECT DISTINCT crab_year AS season FROM effort) s, range(1, 13) r(slot)"
@@ -27,21 +30,21 @@ _MONTH_OF = "CAST(substr(m.year_month, 6, 2) AS INT)"
 
 
 @query(
-    "covariate_table", "D38", doubles="lbs dens depth port_dist canyon_dist sst wind fuel oxygen", digits=8,
-    sql=f"""SELECT c.cell_id, m.year_month, lbs, dens, depth, port_dist, canyon_dist, sst, wind, fuel, oxygen, n_faults, coalesce(is_open, false) AS is_open
-        FROM (SELECT DISTINCT cell_id FROM pings) c, (SELECT DISTINCT strftime(date, '%Y_%m') AS year_month FROM pings) m
+    "covariate_table", "D38", doubles="lbs dens depth port_dist canyon_dist sst wind fuel oxygen fault_km", digits=8,
+    sql=f"""SELECT c.cell_id, m.year_month, lbs, dens, depth, port_dist, canyon_dist, CASE WHEN mid - obs_day <= 60 THEN sst END AS sst, wind, fuel, oxygen, n_faults, fault_km, coalesce(is_open, false) AS is_open
+        FROM (SELECT DISTINCT cell_id FROM pings) c, (SELECT DISTINCT strftime(date, '%Y_%m') AS year_month, CAST(date_trunc('month', date) AS DATE) + 14 AS mid FROM pings) m
         LEFT JOIN (SELECT cell_id AS ec, year_month AS em, sum(lbs) AS lbs, sum(pings) >= 3 AS is_open FROM effort GROUP BY 1, 2) ON ec = c.cell_id AND em = m.year_month
         LEFT JOIN (SELECT cell_id AS sc, year_month AS sm, dens, 1 - occ AS oxygen FROM species) ON sc = c.cell_id AND sm = m.year_month
         LEFT JOIN (SELECT cell_id AS gc, depth, gx AS cgx, gy AS cgy FROM grid) ON gc = c.cell_id
         LEFT JOIN (SELECT cell_id AS pc, min(sqrt((gx - px) ** 2 + (gy - py) ** 2)) AS port_dist FROM grid, ports GROUP BY 1) ON pc = c.cell_id
         LEFT JOIN (SELECT g.cell_id AS kc, min(sqrt((g.gx - k.gx) ** 2 + (g.gy - k.gy) ** 2)) AS canyon_dist FROM grid g, grid k WHERE k.depth < -180 GROUP BY 1) ON kc = c.cell_id
-        LEFT JOIN (SELECT sx, sy, avg(value) AS sst FROM ocean GROUP BY 1, 2) ON sx = cgx AND sy = cgy
-        LEFT JOIN (SELECT user_id % 12 + 1 AS wm, avg(value) AS wind FROM events WHERE event_id % 2 = 0 GROUP BY 1) ON wm = {_MONTH_OF}
+        ASOF LEFT JOIN (SELECT cell_id AS oc, obs_day, sst FROM soundings) ON oc = c.cell_id AND obs_day <= mid
+        LEFT JOIN (SELECT user_id % 12 + 1 AS wm, median(value) AS wind FROM events GROUP BY 1) ON wm = {_MONTH_OF}
         LEFT JOIN (SELECT month(ts) AS fm, avg(value) AS fuel FROM events GROUP BY 1) ON fm = {_MONTH_OF}
-        LEFT JOIN (SELECT CAST(floor((x1 + 10000) / 1000) AS BIGINT) AS fx, CAST(floor((y1 + 10000) / 1000) AS BIGINT) AS fy, count(*) AS n_faults FROM lines GROUP BY 1, 2) ON fx = cgx AND fy = cgy""",
+        LEFT JOIN (SELECT cx + 10 AS fx, cy + 10 AS fy, count(*) AS n_faults, sum(length) / 1000 AS fault_km FROM ({PIECES.format(size="1000e0", lines="lines")}) GROUP BY 1, 2) ON fx = cgx AND fy = cgy""",
 )
 def covariate_table(t):
-    """Effort, prediction, depth, distances to port and canyon, sea temperature, wind, fuel price, oxygen, faults and closure on one spine."""
+    """Effort, prediction, depth, distances to port and canyon, last sea temperature of 60 days, wind, fuel price, oxygen, faults and closure on one spine."""
     p = t.pings.withColumn("year_month", cal.year_month("date"))
     full = spine(p.select("cell_id"), p.select("year_month")).withColumn("month", F.substring("year_month", 6, 2).cast("int"))
     at = lambda df, x, y, *more: df.select(*more, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -49,9 +52,9 @@ def covariate_table(t):
     canyon = at(t.grid.where("depth < -180"), "gx", "gy", F.col("cell_id").alias("canyon"))
     to = lambda other, key, name: nearest(cells, other, ["cell_id"], key).select("cell_id", F.col("dist").alias(name))
     place = t.grid.select("cell_id", "gx", "gy")
-    sst = t.ocean.groupBy(F.col("sx").alias("gx"), F.col("sy").alias("gy")).agg(F.avg("value").alias("sst"))
-    bucket = lambda c: F.floor((F.col(c) + 10000) / 1000)
-    faults = t.lines.groupBy(bucket("x1").alias("gx"), bucket("y1").alias("gy")).agg(F.count(F.lit(1)).alias("n_faults"))
+    full = asof_join(full.withColumn("mid", F.date_add(F.to_date("year_month", "yyyy_MM"), 14)), t.soundings, ["cell_id"], "mid", "obs_day", ["sst"], 60).drop("mid", "obs_day")
+    cut = cut_lines(t.lines, "x1", "y1", "x2", "y2", 1000.0, (-10000.0, -10000.0))
+    faults = cut.groupBy(F.col("cx").alias("gx"), F.col("cy").alias("gy")).agg(F.count(F.lit(1)).alias("n_faults"), (F.sum("length") / 1000).alias("fault_km"))
     events = t.read("events")
     layers = [
         (t.effort.groupBy("cell_id", "year_month").agg(F.sum("lbs").alias("lbs"), (F.sum("pings") >= 3).alias("is_open")), ["cell_id", "year_month"]),
@@ -59,14 +62,24 @@ def covariate_table(t):
         (t.grid.select("cell_id", "depth"), ["cell_id"]),
         (to(at(t.ports, "px", "py", "port"), "port", "port_dist"), ["cell_id"]),
         (to(canyon, "canyon", "canyon_dist"), ["cell_id"]),
-        (place.join(sst, ["gx", "gy"]).select("cell_id", "sst"), ["cell_id"]),
-        (place.join(faults, ["gx", "gy"]).select("cell_id", "n_faults"), ["cell_id"]),
-        (events.where("event_id % 2 = 0").groupBy((F.col("user_id") % 12 + 1).cast("int").alias("month")).agg(F.avg("value").alias("wind")), ["month"]),
+        (place.join(faults, ["gx", "gy"]).select("cell_id", "n_faults", "fault_km"), ["cell_id"]),
+        (exact_quantiles(events.select((F.col("user_id") % 12 + 1).cast("int").alias("month"), "value"), ["month"], "value", {"wind": 0.5}), ["month"]),
         (events.groupBy(F.month("ts").alias("month")).agg(F.avg("value").alias("fuel")), ["month"]),
     ]
     return ft.feature_table(full, layers).drop("month").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
 
 
+@query(
+    "nearest_layer_in_time", "D38", doubles="sst",
+    sql="""SELECT ticket_id, landing_date, obs_day, sst FROM (SELECT ticket_id, landing_date, cell, obs_day, sst, row_number() OVER (PARTITION BY ticket_id ORDER BY abs(obs_day - landing_date), obs_day) AS rn
+        FROM (SELECT ticket_id, landing_date, ticket_id % 400 AS cell FROM tickets) LEFT JOIN soundings ON cell_id = cell AND abs(obs_day - landing_date) <= 20) WHERE rn = 1""",
+)
+def nearest_layer_in_time(t):
+    """Each landing with the observation at its place that is nearest in time, none older or younger than 20 days."""
+    l = t.tickets.select("ticket_id", "landing_date", (F.col("ticket_id") % 400).alias("cell_id"))
+    return asof_join(l, t.soundings, ["cell_id"], "landing_date", "obs_day", ["sst"], 20, "nearest").drop("cell_id")
+
+
 @query(
     "inflation_adjusted_revenue", "D39", doubles="revenue:3 real_revenue:1",
     sql="""SELECT port, year, revenue, revenue * ((SELECT max(index) FROM cpi WHERE year = 2000) / index) AS real_revenue FROM (SELECT port, year(landing_date) AS year, sum(revenue) AS revenue FROM tickets GROUP BY 1, 2) LEFT JOIN cpi USING (year)""",

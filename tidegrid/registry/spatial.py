@@ -175,7 +175,7 @@ def points_along_lines(t):
 
 
 # Pieces of lines in cells by clipping each line to each cell under its box: the parameters where it enters and leaves.
-_PIECES = """SELECT set_id, cx, cy, (least(1, ox, oy) - greatest(0, ex, ey)) * l AS length FROM (
+PIECES = """SELECT set_id, cx, cy, (least(1, ox, oy) - greatest(0, ex, ey)) * l AS length FROM (
         SELECT set_id, cx, cy, l, CASE WHEN dx > 0 THEN (cx * {size} - x1) / dx WHEN dx < 0 THEN ((cx + 1) * {size} - x1) / dx ELSE 0 END AS ex,
         CASE WHEN dx > 0 THEN ((cx + 1) * {size} - x1) / dx WHEN dx < 0 THEN (cx * {size} - x1) / dx ELSE 1 END AS ox,
         CASE WHEN dy > 0 THEN (cy * {size} - y1) / dy WHEN dy < 0 THEN ((cy + 1) * {size} - y1) / dy ELSE 0 END AS ey,
@@ -341,7 +341,7 @@ def clip_to_cell_set(t):
 
 @query(
     "line_length_per_cell", "G20 J13", doubles="length_m", digits=4,
-    sql=f"""SELECT cx, cy, count(*) AS n, sum(length) AS length_m FROM ({_PIECES.format(size="500e0", lines="lines")}) GROUP BY 1, 2""",
+    sql=f"""SELECT cx, cy, count(*) AS n, sum(length) AS length_m FROM ({PIECES.format(size="500e0", lines="lines")}) GROUP BY 1, 2""",
 )
 def line_length_per_cell(t):
     """Lines cut at every cell border: how many run through a cell, and their length inside it."""
