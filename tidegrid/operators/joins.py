@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.nulls import col
 from ..functions.scalars import recode
+from ..session import staged
+from .asof import asof_join
+from .skew import running_counts
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
@@ -67,24 +70,63 @@ def spine(keys: DataFrame, *dims: DataFrame) -> DataFrame:
     return out
 
 
-def interval_join(
-    left: DataFrame, right: DataFrame, key: str, ts: str, begin: str, end: str, how: str = "inner", bin_days: int = 365
-) -> DataFrame:
-    """Rows of ``left`` with the rows of ``right`` of the same key whose interval holds ``ts``.
+def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str, begin: str, end: str, how: str = "inner") -> DataFrame:
+    """Rows of ``left`` with the rows of ``right`` of the same key whose interval holds ``ts``, both ends included.
 
-    Intervals are spread over fixed time bins, so a key with a long history
-    meets only the intervals of its own bin. A bin of a hot key is dealt over several tasks by adaptive
-    execution: the join is inner or left and nothing after it relies on its partitioning.
+    Starts and ends of a key's intervals cut time into segments, numbered in order. An interval covers a run of segments, written as a few
+    aligned blocks of one, two, four ... segments; a left row looks into the blocks over its own segment, one of each size that
+    its key's segments allow (a single size for a key with one interval). Each pair meets in one block and nothing is compared in vain, however long
+    or crowded intervals are; the rows of a busy key are dealt by block. An interval without a start, without an end or with the end before the start
+    holds nothing. Times are dates, timestamps or whole numbers, alike on both sides. ``how`` is inner or left.
     """
-    day = lambda c: F.datediff(col(c), F.lit("1970-01-01"))
-    binned = lambda c: F.floor(day(c) / bin_days)
-    l = left.withColumn("_bin", binned(ts))
-    r = (
-        right.withColumn("_bin", F.explode(F.sequence(binned(begin), binned(end))))
-        .withColumnRenamed(key, "_k")
+    number = lambda df, c: _whole_time(F.col(c), df.schema[c].dataType)
+    held = right.withColumns({"_lo": number(right, begin), "_hi": number(right, end) + 1}).where(F.col(key).isNotNull() & (F.col("_lo") < F.col("_hi")))
+    ends = F.array(F.struct(F.col("_lo").alias("c"), F.lit(1).alias("d")), F.struct(F.col("_hi").alias("c"), F.lit(-1).alias("d")))
+    cuts = held.select(key, F.explode(ends).alias("_e")).groupBy(key, F.col("_e.c").alias("_cut")).agg(F.sum("_e.d").alias("_turn"), F.lit(1).alias("_one"))
+    numbered = running_counts(cuts, [key], "_cut", ["_one", "_turn"])
+    top = F.length(F.bin(F.col("_one_all") - 1)) - 1  # a block is no larger than all segments of its key
+    numbered = staged(numbered.select(F.col(key).alias("_k"), "_cut", F.col("_one_upto").cast("long").alias("_seg"), (F.col("_turn_upto") > 0).alias("_open"), top.alias("_top")))
+    place = lambda c: numbered.select("_k", F.col("_cut").alias(f"_at{c}"), F.col("_seg").alias(f"_seg{c}"))
+    covers = (
+        held.join(place("_lo"), (F.col(key) == F.col("_k")) & (F.col("_lo") == F.col("_at_lo"))).drop("_k", "_at_lo")
+        .join(place("_hi"), (F.col(key) == F.col("_k")) & (F.col("_hi") == F.col("_at_hi"))).drop("_k", "_at_hi")
+        .withColumn("_block", F.explode(_aligned_blocks(F.col("_seg_lo"), F.col("_seg_hi"))))
+        .withColumnRenamed(key, "_k").drop("_lo", "_hi", "_seg_lo", "_seg_hi")
     )
-    cond = (F.col(key) == F.col("_k")) & (l["_bin"] == r["_bin"]) & F.col(ts).between(F.col(begin), F.col(end))
-    return l.join(r, cond, how).drop(l["_bin"]).drop(r["_bin"]).drop("_k")
+    segments = numbered.withColumnRenamed("_k", key)
+    l = asof_join(left.withColumn("_now", number(left, ts)), segments, [key], "_now", "_cut", ["_seg", "_open", "_top"]).drop("_now", "_cut")
+    over = F.transform(F.sequence(F.lit(0), "_top"), lambda i: F.struct(i.cast("int").alias("level"), F.call_function("shiftright", "_seg", i).alias("node")))
+    looked = l.where("_open").withColumn("_block", F.explode(over))
+    pairs = looked.join(covers, (F.col(key) == F.col("_k")) & (looked["_block"] == covers["_block"])).drop(looked["_block"]).drop(covers["_block"])
+    pairs = pairs.drop("_k", "_seg", "_open", "_top")
+    if how == "inner":
+        return pairs
+    alone = l.where("_open IS NULL OR NOT _open").drop("_seg", "_open", "_top")
+    return pairs.unionByName(alone, allowMissingColumns=True)
+
+
+def _aligned_blocks(first: Column, stop: Column) -> Column:
+    """The whole numbers from ``first`` up to before ``stop`` as blocks of 2**level numbers that begin at node * 2**level."""
+    block = "array<struct<level:int,node:bigint>>"
+    start = F.struct(first.cast("long").alias("a"), stop.cast("long").alias("b"), F.array().cast(block).alias("out"))
+
+    def step(s: Column, level: Column) -> Column:
+        odd_a, odd_b = (s["a"] < s["b"]) & (s["a"] % 2 == 1), (s["a"] < s["b"]) & (s["b"] % 2 == 1)
+        a, b = s["a"] + odd_a.cast("long"), s["b"] - odd_b.cast("long")
+        # Both ends may name the same single block.
+        one = lambda when, node: F.when(when, F.array(F.struct(level.cast("int").alias("level"), node.cast("long").alias("node")))).otherwise(F.array().cast(block)).cast(block)
+        out = F.concat(s["out"], one(odd_a, s["a"]), one(odd_b & (b >= a), b))
+        return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), out.cast(block).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(stop))), start, step, lambda s: s["out"])
+
+
+def _whole_time(c: Column, kind) -> Column:
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return c.cast("long")
 
 
 def range_join(

@@ -6,6 +6,7 @@ from ..functions import calendar as cal
 from ..operators import joins as jn
 from ..operators.spatial import nearest
 from ..plans.tradeoff import relative_to_baseline
+from ..session import staged
 from .core import query
 
 OD = "CAST(o_orderdate AS DATE)"
@@ -102,8 +103,8 @@ def combination_spine(t):
         AND date BETWEEN begin_date AND end_date GROUP BY 1, 2""",
 )
 def permit_interval_join(t):
-    # Pings collapse to vessel-days first: the join sees days, not pings.
-    days = t.pings.groupBy("vessel_id", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("lbs").alias("lbs"))
+    # Pings collapse to vessel-days first: the join sees days, not pings. Staged, because the join also looks at how dates are spread.
+    days = staged(t.pings.groupBy("vessel_id", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("lbs").alias("lbs")))
     j = jn.interval_join(days, t.permits, "vessel_id", "date", "begin_date", "end_date")
     return j.groupBy("vessel_id", "pot_limit").agg(F.sum("n").alias("n"), F.sum("lbs").alias("lbs"))
 
