@@ -251,3 +251,16 @@ def test_contracts_raise(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, r string")
     with pytest.raises(ValueError):
         aggs.require_functional_dep(df, ["k"], "r")
+
+
+def test_correlations_of_two_hundred_columns(spark):
+    """One pass over all pairs, with nulls in every column, equal to the built-in aggregate."""
+    n = 200
+    cols = [(F.when(F.hash(F.col("id"), F.lit(i)) % 7 != 0, F.sin(F.col("id") * (i + 1)) + F.col("id") * (i % 3) / 50 + 1e6 * (i % 2))).alias(f"c{i}") for i in range(n)]
+    df = spark.range(300).select(*cols, F.lit(1.0).alias("flat"), F.lit(None).cast("int").alias("none"))
+    got = {(r.var_a, r.var_b): r.r for r in stats.correlation_matrix(df, df.columns).collect()}
+    assert len(got) == (n + 2) * (n + 1) // 2
+    some = [("c0", "c1"), ("c3", "c150"), ("c2", "c5"), ("c198", "c199"), ("c7", "c8")]
+    want = df.agg(*[F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"{a}{b}") for a, b in some]).first()
+    assert [got[p] for p in some] == [pytest.approx(v, abs=1e-7) for v in want]
+    assert got["c0", "flat"] is None and got["c0", "none"] is None

@@ -1,9 +1,8 @@
 """File round trips that the registered queries cannot show."""
 
 import json
-
+import pytest
 from pyspark.sql import functions as F
-
 from tidegrid.session import ensure_checkpoint_dir, staged
 from tidegrid.sources import readers as rd
 from tidegrid.sources import writers as wr
@@ -82,3 +81,35 @@ def test_staged_frames_are_reliable_checkpoints(spark):
     ensure_checkpoint_dir(spark)
     df = staged(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10 and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_years_are_filled_once(spark, tmp_path):
+    """A filled year is not fetched again, a run that breaks off leaves no half year, and the next run repairs it."""
+    path, asked = str(tmp_path / "filled"), []
+
+    def fetch(y):
+        asked.append(y)
+        if y == 2003 and asked.count(2003) == 1:
+            return spark.range(10).select(F.col("id"), F.when(F.col("id") == 7, F.raise_error(F.lit("line broke"))).otherwise(F.lit("x")).alias("v"))
+        return spark.range(y - 2000).select("id", F.lit(f"{y}").alias("v"))
+
+    assert rd.fill_years(spark, path, [2002, 2001], fetch) == [2001, 2002]
+    with pytest.raises(Exception, match="line broke"):
+        rd.fill_years(spark, path, [2001, 2002, 2003, 2004], fetch)
+    assert asked == [2001, 2002, 2003]
+    # Even rows that a broken run may have left behind are not shown.
+    spark.range(3).select("id", F.lit("half").alias("v"), F.lit(2003).alias("year")).write.mode("append").partitionBy("year").parquet(f"{path}/rows")
+    assert {r.year for r in rd.read_filled(spark, path).collect()} == {2001, 2002}
+    assert rd.fill_years(spark, path, [2001, 2002, 2003, 2004], fetch) == [2003, 2004] and asked[3:] == [2003, 2004]
+    rows = rd.read_filled(spark, path).groupBy("year").agg(F.count("v").alias("n"), F.max("v").alias("v")).collect()
+    assert {(r.year, r.n, r.v) for r in rows} == {(y, y - 2000, str(y)) for y in (2001, 2002, 2003, 2004)}
+    assert rd.fill_years(spark, path, [2001, 2004], fetch, again=[2004]) == [2004]
+    plan = rd.read_filled(spark, path, [2004])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2004" in plan
+
+
+def test_refresh_leaves_other_partitions(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    wr.write_stage(spark.sql("SELECT 1 AS k, 'a' AS v UNION ALL SELECT 2, 'b'"), path, ["k"])
+    wr.refresh_partitions(spark.sql("SELECT 'c' AS v, 2 AS k UNION ALL SELECT 'd', 3"), path, ["k"])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]

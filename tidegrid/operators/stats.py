@@ -4,30 +4,52 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import two_sided_normal
+from ..session import staged
 from .skew import running_counts
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pairwise-complete correlations, long form, from one pass."""
-    pairs = list(combinations(cols, 2))
+    """Pairwise-complete correlations of any number of numeric columns, long form, from one pass.
 
-    def r(a, b):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
-
-    one = df.agg(*[r(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    )
-    return one.select(F.explode(rows).alias("p")).select("p.*")
+    Each task multiplies its rows' column blocks: products of values, of values and squares with the marks of what is not null, and
+    counts. Sums of these matrices over tasks give every pair's moments. Values are shifted by rough
+    means beforehand, which changes digits only. Pairs with fewer than two common rows or without variance have a null.
+    """
+    cols = list(cols)
+    k = len(cols)
+    shift = df.select(*cols).limit(1000).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([float(v) if np.isfinite(v) else 0.0 for v in shift])
+
+    def run(batches):
+        total = np.zeros((5, k, k))
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                x = np.column_stack([np.asarray(c.fill_null(float("nan"))) for c in part.columns]) - shift
+                m = np.column_stack([np.asarray(c.is_valid()) for c in part.columns]).astype(float)
+                x = np.where(m > 0, x, 0.0)
+                total += [m.T @ m, x.T @ x, x.T @ m, (x * x).T @ m, m.T @ x]
+        # By pair: rows, product, sum of the first, its squares, sum of the second; the second's squares are the transpose of the fourth.
+        moments = np.stack([*total, total[3].T], axis=-1)
+        at = [(i, j) for i in range(k) for j in range(i + 1, k)]
+        yield pa.record_batch([pa.array([i for i, _ in at], pa.int32()), pa.array([j for _, j in at], pa.int32()), *[pa.array([moments[i, j, c] for i, j in at], pa.float64()) for c in range(6)]],
+                              ["i", "j", "n", "ab", "a", "aa", "b", "bb"])
+
+    parts = df.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(run, "i int, j int, n double, ab double, a double, aa double, b double, bb double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "ab", "a", "aa", "b", "bb")])
+    spread = (F.col("aa") - F.col("a") * F.col("a") / F.col("n")) * (F.col("bb") - F.col("b") * F.col("b") / F.col("n"))
+    r = (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(spread)
+    name = F.array(*[F.lit(c) for c in cols])
+    return s.select(F.get(name, F.col("i")).alias("var_a"), F.get(name, F.col("j")).alias("var_b"), F.when((F.col("n") > 1) & (spread > 0), r).alias("r"))
 
 
 def one_hot(df: DataFrame, column: str, levels) -> DataFrame:
@@ -127,42 +149,91 @@ def predict(df: DataFrame, model, features) -> DataFrame:
     return model.transform(v.transform(df)).drop("features")
 
 
-def gaussian_log_score(actual: Column, fitted: Column, sigma: Column) -> Column:
-    z = (actual - fitted) / sigma
-    return -0.5 * F.log(F.lit(6.283185307179586)) - F.log(sigma) - 0.5 * z * z
+def _complete(df: DataFrame, response: str, features, year: str) -> tuple[DataFrame, list[str]]:
+    """Complete rows as columns ``_y``, ``_x0`` (constant 1), ``_x1`` ... and the year."""
+    x = [f"_x{i}" for i in range(len(features) + 1)]
+    rows = df.select(F.col(year).alias("_year"), F.col(response).cast("double").alias("_y"), F.lit(1.0).alias("_x0"),
+                     *[F.col(f).cast("double").alias(n) for f, n in zip(features, x[1:])]).dropna()
+    return rows, x
 
 
 def year_forward_scores(df: DataFrame, response: str, features, year: str, years) -> DataFrame:
-    """Train on all years before a year, score that year; Gaussian log score and squared error.
+    """Train on all years before a year, score that year; Gaussian log score and root mean squared error.
 
-    The loop only builds one fit and one scoring plan per year.
+    One pass: sums of squares and products by year. Running totals over years are the normal equations of each year's training
+    rows, and the errors of the held year follow from its own sums, so no row is read again. The driver holds one small matrix per year.
+    """
+    rows, x = _complete(df, response, features, year)
+    names = [*x, "_y"]
+    at = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = {r["_year"]: r for r in rows.groupBy("_year").agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_{i}_{j}") for i, j in at]).collect()}
+
+    def gram(y) -> np.ndarray:
+        out = np.zeros((len(names), len(names)))
+        for i, j in at:
+            out[i, j] = out[j, i] = sums[y][f"_{i}_{j}"]
+        return out
+
+    out, seen, p = [], np.zeros((len(names), len(names))), len(x)
+    for y in sorted(sums):
+        held = gram(y)
+        n, trained = held[0, 0], seen[0, 0]
+        if y in years and trained > p:
+            beta = np.linalg.lstsq(seen[:p, :p], seen[:p, p], rcond=None)[0]
+            error = lambda g: float(g[p, p] - 2 * beta @ g[:p, p] + beta @ g[:p, :p] @ beta)  # noqa: E731, B023
+            variance = error(seen) / (trained - p)
+            score = -0.5 * n * math.log(2 * math.pi * variance) - error(held) / (2 * variance) if variance > 0 else None
+            out.append((y, int(n), score if score is None else float(score), math.sqrt(max(error(held), 0.0) / n)))
+        seen = seen + held
+    kind = df.schema[year].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"`{year}` {kind}, n long, log_score double, rmse double")
+
+
+def year_forward_tweedie(df: DataFrame, response: str, features, year: str, years, variance_power: float = 1.5, rounds: int = 50) -> DataFrame:
+    """Train a Tweedie model with log link on all years before a year, score that year: mean unit deviance and root mean squared error.
+
+    All years' models are fitted at once by weighted least squares: a round is one job, in which a row adds to the sums of every
+    later year under that year's current coefficients. Rounds end when no coefficient moves by more than 1e-9 of its size.
     """
-    parts = []
+    rows, x = _complete(df, response, features, year)
+    rows = staged(rows)
+    p, k = variance_power, len(x)
+    kind = df.schema[year].dataType.simpleString()
+    each = rows.groupBy("_year").agg(F.sum("_y").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    beta = {}
     for y in years:
-        model = fit_glm(df.where(F.col(year) < y), response, features)
-        sigma = float(model.summary.dispersion) ** 0.5
-        held = predict(df.where(F.col(year) == y), model, features)
-        parts.append(
-            held.agg(
-                F.lit(y).alias(year),
-                F.count(F.lit(1)).alias("n"),
-                F.sum(gaussian_log_score(F.col(response), F.col("fitted"), F.lit(sigma))).alias("log_score"),
-                F.sqrt(F.avg(F.pow(F.col(response) - F.col("fitted"), F.lit(2.0)))).alias("rmse"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def year_forward_tweedie(df: DataFrame, response: str, features, year: str, years, variance_power: float = 1.5) -> DataFrame:
-    """Train a Tweedie model on all years before a year, score that year: mean unit deviance and root mean squared error."""
-    p, y, m = variance_power, F.col(response), F.col("fitted")
+        s, n = (sum(r[c] for r in each if r["_year"] < y) for c in ("s", "n"))
+        if n and s > 0:
+            beta[y] = np.array([math.log(s / n)] + [0.0] * (k - 1))
+
+    def with_models(which: Column) -> DataFrame:
+        models = F.array(*[F.struct(F.lit(y).cast(kind).alias("y"), F.array(*[F.lit(float(c)) for c in b]).alias("b")) for y, b in beta.items()])
+        m = rows.withColumn("_m", F.explode(F.filter(models, lambda m: which(m["y"]))))
+        eta = reduce(lambda a, c: a + c, [F.col("_m.b")[i] * F.col(c) for i, c in enumerate(x)])
+        return m.withColumn("_eta", eta).withColumn("_mu", F.exp("_eta"))
+
+    at = [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(rounds if beta else 0):
+        t = with_models(lambda y: F.col("_year") < y)
+        w = F.pow("_mu", F.lit(2.0 - p))
+        z = F.col("_eta") + (F.col("_y") - F.col("_mu")) / F.col("_mu")
+        got = t.groupBy(F.col("_m.y").alias("y")).agg(
+            *[F.sum(w * F.col(x[i]) * F.col(x[j])).alias(f"_{i}_{j}") for i, j in at], *[F.sum(w * z * F.col(c)).alias(f"_z{i}") for i, c in enumerate(x)]
+        ).collect()
+        moved = 0.0
+        for r in got:
+            gram = np.array([[r[f"_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            new = np.linalg.lstsq(gram, np.array([r[f"_z{i}"] for i in range(k)]), rcond=None)[0]
+            moved = max(moved, float(np.max(np.abs(new - beta[r["y"]]) / np.maximum(1.0, np.abs(new)))))
+            beta[r["y"]] = new
+        if moved < 1e-9:
+            break
+    if not beta:
+        return df.sparkSession.createDataFrame([], f"`{year}` {kind}, n long, deviance double, rmse double")
+    t = with_models(lambda y: F.col("_year") == y)
+    y, m = F.col("_y"), F.col("_mu")
     unit = 2 * (F.pow(y, F.lit(2 - p)) / ((1 - p) * (2 - p)) - y * F.pow(m, F.lit(1 - p)) / (1 - p) + F.pow(m, F.lit(2 - p)) / (2 - p))
-    parts = []
-    for one in years:
-        model = fit_tweedie(df.where(F.col(year) < one), response, features, p)
-        held = predict(df.where(F.col(year) == one), model, features)
-        parts.append(held.agg(F.lit(one).alias(year), F.count(F.lit(1)).alias("n"), F.avg(unit).alias("deviance"), F.sqrt(F.avg(F.pow(y - m, F.lit(2.0)))).alias("rmse")))
-    return reduce(DataFrame.unionByName, parts)
+    return t.groupBy(F.col("_year").alias(year)).agg(F.count(F.lit(1)).alias("n"), F.avg(unit).alias("deviance"), F.sqrt(F.avg(F.pow(y - m, F.lit(2.0)))).alias("rmse"))
 
 
 def back_transform(df: DataFrame, est: str, se: str, z: float = 1.96) -> DataFrame:

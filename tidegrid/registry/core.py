@@ -32,6 +32,8 @@ def with_ctes(body: str) -> str:
         return body
     head = ", ".join(f"{n} AS ({CTES[n]})" for n in used)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"

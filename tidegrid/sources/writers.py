@@ -25,6 +25,12 @@ def write_stage(df: DataFrame, path: str, keys=(), mode: str = "overwrite") -> D
     return df.sparkSession.read.parquet(path)
 
 
+def refresh_partitions(df: DataFrame, path: str, keys) -> None:
+    """Replace the partitions of a stage table that ``df`` has rows for; all others stay as they are."""
+    keys = list(keys)
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def export_wide(df: DataFrame, keys, pivot_col: str, values, aggs: dict[str, Column]) -> DataFrame:
     """One row per key and one column per pivot value, ready to be written."""
     return pivot_values(df, keys, pivot_col, values, aggs)
