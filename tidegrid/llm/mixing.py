@@ -3,21 +3,22 @@
 Targets in words come from the weights, capped and reshared. Every document first gets its
 certain whole copies; what is left of an expected number of copies is its inclusion
 probability p. Documents are ranked by the odds of a fixed random number over the odds of
-p, and the first of each source that fit into what its target lacks get one more copy.
+p. The first of each source that fit into what its target lacks get one more copy, then those further
+down that still fit, round by round, until nothing fits any more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, rows_of, stage, table, word_count
+from .common import WORD, fresh, id_key, rows_of, stage, table, text_digest, word_count
 
 WEIGHTS, CAP = (1, 2, 3), 3
 #: Ranks are summed by this many slices first, so that only one slice of a source is put in order.
 SLICES = 4096
-#: Rounds in which the one document that best fills what is still lacking is added.
-TOP_UPS = 2
 #: Sources up to which what is known of each is broadcast; with more of them it is joined by shuffles.
 BROADCAST_SOURCES = 20_000
 
@@ -69,35 +70,61 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     free = (F.col("size") > 0) & (F.col("whole") < cap)
     ranked = ranked.withColumn("rank", F.when(free, odds / (1 + odds))).withColumn("slice", F.floor(F.col("rank") * SLICES))
     ranked = stage(ranked.select("row", "id", "k", "size", "source_size", "target", "whole", "rank", "slice"), "mix-ranks")
-    # What each source lacks after whole copies, and the slice in which that is used up.
-    slices = ranked.groupBy("k", "slice", "target").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"))
-    upto = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    of_source = Window.partitionBy("k")
-    slices = slices.withColumn("lack", F.col("target") - F.sum("sure").over(of_source)).where("slice is not null").withColumn("upto", F.sum("words").over(upto))
-    last = slices.where("upto > lack").groupBy("k", "lack").agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
-    last = stage(last.select("k", "lack", F.col("m.slice").alias("last"), F.col("m.before").alias("before")), "mix-last-slice")
-    placed = ranked.join(each(last), "k", "left")
-    order = Window.partitionBy("k").orderBy("rank", "id", "size", "row")
-    edge = placed.where("slice = last").withColumn("extra", (F.col("before") + F.sum("size").over(order) <= F.col("lack")).cast("int"))
-    rest = placed.where("slice is null or last is null or slice <> last").withColumn(
-        "extra", F.when(F.col("slice").isNull(), 0).when(F.col("last").isNull(), 1).otherwise((F.col("slice") < F.col("last")).cast("int")))
-    mixed = rest.unionByName(edge).drop("last", "before", "lack", "slice")
-    for _ in range(TOP_UPS):
-        mixed = stage(mixed, "mix-drawn")
-        short = mixed.groupBy("k").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("extra")))).alias("short"))
-        off = F.abs(F.col("short") - F.col("size"))
-        open_rows = mixed.where("rank is not null and extra = 0").join(each(short), "k").where(off < F.col("short"))
-        best = open_rows.groupBy("k").agg(F.min(F.struct(off, "rank", "id", "size", "row")).alias("b")).select("k", F.col("b.row").alias("best"))
-        mixed = mixed.join(each(best), "k", "left").withColumn("extra", F.col("extra") + F.coalesce((F.col("row") == F.col("best")).cast("int"), F.lit(0))).drop("best")
+    mixed = _filled(ranked, each, cap)
     copies = F.col("whole") + F.col("extra")
     return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix has it. Ids must not repeat; one row stands for those that do."""
-    own, copies, copy = fresh(docs, "drawn_id", "copies", "copy")
-    drawn = mix(docs, id_col, **how).where("copies > 0").groupBy(F.col(id_col).alias(own)).agg(F.max("copies").cast("int").alias(copies))
-    many = rows_of(docs, drawn, {id_col: own})
+def _filled(ranked: DataFrame, each, cap: int) -> DataFrame:
+    """``ranked`` with ``extra`` copies, so that each source's words come as near its target as what fits allows.
+
+    A round goes down the ranks, documents with fewer extra copies first, as long as sizes fit into the source's gap. The gap only shrinks, so
+    a document that is larger than it or has ``cap`` copies is settled and read no more. Rounds end when no open document
+    fits; one document that overshoots by less than the gap may then close it.
+    """
+    gaps = stage(ranked.groupBy("k").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("gap")), "mix-gaps")
+    active, settled = ranked.withColumn("extra", F.lit(0)), []
+    part = F.col("extra") * SLICES + F.col("slice")
+    fits = F.col("rank").isNotNull() & (F.col("whole") + F.col("extra") < cap) & (F.col("size") <= F.col("gap"))
+    while True:
+        held = active.join(each(gaps), "k").withColumn("part", F.when(fits, part))
+        settled.append(held.where("part IS NULL").drop("part", "gap"))
+        # Sums by slices of rank say where the gap is used up; only that slice of a source is put in order.
+        sums = held.where("part IS NOT NULL").groupBy("k", "part", "gap").agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        sums = sums.withColumn("upto", upto).where("upto > gap").groupBy("k").agg(F.min(F.struct("part", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
+        last = stage(sums.select("k", F.col("m.part").alias("last"), F.col("m.before").alias("before")), "mix-last-slice")
+        placed = held.where("part IS NOT NULL").join(each(last), "k", "left")
+        running = F.col("before") + F.sum("size").over(Window.partitionBy("k").orderBy("rank", "id", "size", "row"))
+        edge = placed.where("part = last").withColumn("add", (running <= F.col("gap")).cast("int"))
+        rest = placed.where("last IS NULL OR part <> last").withColumn("add", (F.col("last").isNull() | (F.col("part") < F.col("last"))).cast("int"))
+        drawn = stage(rest.unionByName(edge).withColumn("extra", F.col("extra") + F.col("add")).drop("part", "gap", "last", "before"), "mix-drawn")
+        if drawn.isEmpty():
+            break
+        used = drawn.groupBy("k").agg(F.sum(F.col("size") * F.col("add")).alias("used"))
+        gaps = stage(gaps.join(used, "k", "left").select("k", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps")
+        active = drawn.drop("add")
+    mixed = reduce(DataFrame.unionByName, settled)
+    off = F.abs(F.col("gap") - F.col("size"))
+    near = mixed.where(F.col("rank").isNotNull() & (F.col("whole") + F.col("extra") < cap)).join(each(gaps), "k").where(off < F.col("gap"))
+    best = stage(near.groupBy("k").agg(F.min(F.struct(off, "extra", "rank", "id", "size", "row")).alias("b")).select("k", F.col("b.row").alias("best")), "mix-best")
+    one_more = F.coalesce((F.col("row") == F.col("best")).cast("int"), F.lit(0))
+    return mixed.join(each(best), "k", "left").withColumn("extra", F.col("extra") + one_more).drop("best")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix has it.
+
+    Rows are told apart by id and text: rows that repeat both are one document here, which is drawn once; unlike texts
+    with one id, or without an id, are drawn each.
+    """
+    own, digest, drawn_digest, copies, copy = fresh(docs, "drawn_id", "digest", "drawn_digest", "copies", "copy")
+    known = docs.withColumn(digest, text_digest(text_col))
+    key, = fresh(known, "key")
+    # The key goes with the size, so that the draw knows which text a row stands for.
+    drawn = mix(known.withColumn(key, id_key(id_col, digest)), key, text_col, **how).where("copies > 0")
+    drawn = drawn.groupBy(F.col(key)["id"].alias(own), F.col(key)["digest"].alias(drawn_digest)).agg(F.max("copies").cast("int").alias(copies))
+    many = rows_of(known, drawn, {digest: drawn_digest, id_col: own})
     return many.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
@@ -105,16 +132,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def _top_up(before: str, after: str) -> str:
-    return f"""
-{after}_s AS (SELECT k, any_value(target) - sum(size * (whole + extra)) AS short FROM {before} GROUP BY k),
-{after}_b AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {before}.k ORDER BY abs(short - size), rank, doc_id, size) AS n
-  FROM {before} JOIN {after}_s USING (k) WHERE rank IS NOT NULL AND extra = 0 AND abs(short - size) < short) WHERE n = 1),
-{after} AS (SELECT * REPLACE (extra + (doc_id IN (FROM {after}_b))::INT AS extra) FROM {before})"""
-
-
 SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS k, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS k, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
   (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / {1 << 52}.0::DOUBLE AS u FROM documents),
 s AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS w FROM s),
@@ -124,9 +143,15 @@ t AS (SELECT k, source_size, least({CAP} * source_size::DOUBLE, (SELECT max(leve
 e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least({CAP}.0, target / source_size) ELSE 0 END AS expected FROM d JOIN t USING (k)),
 p AS (SELECT *, floor(expected)::BIGINT AS whole, greatest(1e-9, expected - floor(expected)) AS p FROM e),
 q AS (SELECT *, CASE WHEN size > 0 AND whole < {CAP} THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
-r AS (SELECT *, odds / (1 + odds) AS rank, target - sum(size * whole) OVER (PARTITION BY k) AS lack FROM q),
-m0 AS (SELECT *, CASE WHEN rank IS NULL THEN 0 ELSE (sum(size) OVER (PARTITION BY k, rank IS NULL ORDER BY rank, doc_id, size) <= lack)::INT END AS extra FROM r),
-{_top_up('m0', 'm1')},
-{_top_up('m1', 'm2')}
-SELECT doc_id, size, source_size, target, whole + extra AS copies, size * (whole + extra) AS taken FROM m2
+r AS (SELECT doc_id, k, size, source_size, target, whole, odds / (1 + odds) AS rank FROM q),
+m AS (SELECT 0 AS round, true AS go, 0 AS extra, r.* FROM r
+  UNION ALL SELECT round + 1, bool_or(add) OVER (), extra + add::INT, doc_id, k, size, source_size, target, whole, rank FROM (
+  SELECT *, fits AND sum(size) OVER (PARTITION BY k, fits ORDER BY extra, rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap AS add FROM (
+  SELECT *, rank IS NOT NULL AND whole + extra < {CAP} AND size <= gap AS fits FROM (
+  SELECT *, target - sum(size * (whole + extra)) OVER (PARTITION BY k) AS gap FROM m WHERE go)))),
+n AS (SELECT *, target - sum(size * (whole + extra)) OVER (PARTITION BY k) AS gap FROM m WHERE round = (SELECT max(round) FROM m)),
+b AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY abs(gap - size), extra, rank, doc_id, size) AS i
+  FROM n WHERE rank IS NOT NULL AND whole + extra < {CAP} AND abs(gap - size) < gap) WHERE i = 1),
+o AS (SELECT * REPLACE (extra + (doc_id IN (FROM b))::INT AS extra) FROM n)
+SELECT doc_id, size, source_size, target, whole + extra AS copies, size * (whole + extra) AS taken FROM o
 """
