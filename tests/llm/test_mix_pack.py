@@ -56,6 +56,27 @@ def test_mix_capped_sources(spark, rng):
     assert Counter(r.doc_id for r in mixed_documents(docs).collect()) == Counter({i: c for i, c in copies.items() if c})
 
 
+@pytest.mark.parametrize("seed", ["", "a", "b"])
+def test_mix_with_one_document_above_the_target(spark, seed):
+    """One document of 900 words in a thousand of ten: the target is met within a small one, whichever comes first by rank."""
+    rows = [(i, " ".join(["w"] * 10), "a") for i in range(1000)] + [(5000, " ".join(["w"] * 9000), "a")] + [(7000 + i, " ".join(["w"] * 7), "b") for i in range(900)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 2), seed=seed).collect()
+    for source, some in (("a", [r for r in got if r.doc_id < 7000]), ("b", [r for r in got if r.doc_id >= 7000])):
+        assert all(0 <= r.copies <= 3 for r in some)
+        target, taken = some[0].target, sum(r.taken for r in some)
+        reach = 3 * sum(r.size for r in some if r.size <= target)
+        assert abs(taken - min(target, reach)) <= 10, source
+
+
+def test_mixed_documents_lose_no_text(spark):
+    """Null ids and one id for several texts: every text that the mix draws comes out."""
+    rows = [(None, f"text {i} " + "w " * i, "s") for i in range(5)] + [(1, "one text", "s"), (1, "another text", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = Counter((r.doc_id, r.text) for r in mixed_documents(docs).collect())
+    assert set(out) == {(i, t) for i, t, _ in rows}, "one source takes all its words"
+    assert set(out.values()) == {1}
+
+
 def test_mix_preference(spark):
     """Within a source, preferred documents are drawn more often; whole copies come first."""
     docs = spark.createDataFrame([(i, "a b c d", "x" if i < 600 else "y", 4.0 if i % 2 else 1.0) for i in range(1200)], "doc_id long, text string, source string, liked double")

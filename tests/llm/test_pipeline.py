@@ -63,6 +63,23 @@ def test_run(spark, folder):
         assert abs(taken[s] - target) <= 0.02 * target + 10
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """No text is lost for want of an id of its own, or of a language to learn from; clashing column names pass through."""
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "eta") for b in "abcdefghij"]
+    text = lambda i: " ".join(words[(i * 7 + j * (i + 3)) % 50] + str(i) for j in range(40))
+    rows = [(None if i < 6 else 3, text(i), None, "s", i, "x") for i in range(12)] + [(9, "12 34", None, "s", 5, "x"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep_id string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:4]:
+        docs = step(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep_id"]
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert {r.text for r in docs.collect()} == {text(i) for i in range(12)}, name
+    words = check_bins(corpus_pipeline.run(spark, str(tmp_path)).collect(), 2048)
+    assert sum(words.values()) == 12 * 40
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

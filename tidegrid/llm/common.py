@@ -11,6 +11,7 @@ from ..session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but the ASCII white space; the same runs as ``bytes.split()``.
+ROW_GROUP = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,9 +77,9 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several jobs read and read it back; survives lost executors."""
+    """Write a table that several jobs read and read it back; survives lost executors. Row groups are small, as a task holds one while it writes."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,9 @@ SEQUENCE, EPOCHS, RATE, DECAY = 64, 40, 0.15, 1e-4
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of a batch that are labelled at once, words in a block, and words whose scores a worker remembers.
-BATCH_WORDS, BLOCK, REMEMBERED = 150_000, 32, 150_000
+BATCH_WORDS, BLOCK, REMEMBERED = 50_000, 32, 80_000
+#: Rows that are labelled and sent on together where whole rows pass through.
+PASSED = 1000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -250,12 +252,15 @@ class Labeller:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS,
                     words: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
-    """(language, words in a row) of at most ``per_language`` documents of each language, the first by hash of the id."""
+    """(language, words in a row) of at most ``per_language`` documents of each language, the first by hash of id and text.
+
+    Rows that repeat both count once, so no more than about twice the bound reach the driver, whatever ids repeat or are null.
+    """
     known = docs.where(F.col(lang_col).isNotNull())
     # Written first, so that its size is known: a few rows are broadcast and no text is shuffled for the draw.
     counts = stage(known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
     drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
-                         (F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+                         (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
     near = drawn.join(counts, "lang").where(F.col("u") < 2.0 * per_language / F.col("n"))
 
     def run(batches):
@@ -267,7 +272,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                 rows.append((lang, got[at:at + words], u, str(i)))
             yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.list_(pa.string()), pa.float64(), pa.string()))], ["lang", "words", "u", "id"])
 
-    rows = near.select("lang", "text", "u", F.col("id").cast("string").alias("id")).mapInArrow(run, "lang string, words array<string>, u double, id string").collect()
+    rows = near.select("lang", "text", "u", F.col("id").cast("string").alias("id")).mapInArrow(run, "lang string, words array<string>, u double, id string")
+    rows = rows.groupBy("lang", "u").agg(F.min("id").alias("id"), F.min("words").alias("words")).collect()
     result, taken = [], Counter()
     for r in sorted(rows, key=lambda r: (r.lang, r.u, r.id or "", r.words)):
         if taken[r.lang] < per_language:
@@ -303,15 +309,22 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language; those predicted ``und`` go."""
+    """The rows of ``docs`` with a language, with all columns; those predicted ``und`` go.
+
+    These are null, empty and letterless texts, and no others: where no row has a language to learn from, every text with a letter stays.
+    Repeated rows and rows without an id are judged each; an empty table gives no rows.
+    """
     model = fit(training_sample(docs.where(remainder(id_col, 5) != 0), id_col, text_col, lang_col))
     names = docs.columns
 
     def run(batches):
         labeller = Labeller(model)
         for b in batches:
-            got = labeller.label(t.as_py() for t in b.column(names.index(text_col)))
-            yield b.filter(pa.array([g[0] != UNKNOWN for g in got], pa.bool_()))
+            for at in range(0, b.num_rows, PASSED):
+                part = b.slice(at, PASSED)
+                texts = (t.as_py() for t in part.column(names.index(text_col)))
+                keep = [g[0] != UNKNOWN for g in labeller.label(texts)] if model.languages else [bool(words_of(t)) for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

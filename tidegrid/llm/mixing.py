@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, id_key, rows_of, stage, table, text_digest, word_count
+from .common import WORD, fresh, rows_of, stage, table, text_digest, word_count
 
 WEIGHTS, CAP = (1, 2, 3), 3
 #: Ranks are summed by this many slices first, so that only one slice of a source is put in order.
@@ -45,8 +45,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        preference: str | None = None, weights=WEIGHTS, cap: int = CAP, seed: str = "") -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, copies, taken.
+        preference: str | None = None, weights=WEIGHTS, cap: int = CAP, seed: str = "", mark: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, copies, taken, and ``mark``, if a column is named that tells rows with one id apart.
 
     ``size`` is the number of words, ``copies`` how often the mix has the document (0 to
     ``cap``), ``taken`` their product. Expected copies are the source's target over its size, times the row's share by
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     uniform = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(seed))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     liked = F.lit(1.0) if preference is None else F.when(F.col(preference) > 0, F.col(preference).cast("double")).otherwise(1.0)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-                       uniform.alias("u"), liked.alias("liked"), F.monotonically_increasing_id().alias("row"))
+                       uniform.alias("u"), liked.alias("liked"), F.monotonically_increasing_id().alias("row"), *([] if mark is None else [F.col(mark).alias("mark")]))
     rows = stage(rows.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
     plan = stage(source_targets(rows, weights, cap), "mix-targets")
     each = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda df: df  # tables with one row per source
@@ -69,10 +69,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
     free = (F.col("size") > 0) & (F.col("whole") < cap)
     ranked = ranked.withColumn("rank", F.when(free, odds / (1 + odds))).withColumn("slice", F.floor(F.col("rank") * SLICES))
-    ranked = stage(ranked.select("row", "id", "k", "size", "source_size", "target", "whole", "rank", "slice"), "mix-ranks")
+    marks = [] if mark is None else ["mark"]
+    ranked = stage(ranked.select("row", "id", "k", "size", "source_size", "target", "whole", "rank", "slice", *marks), "mix-ranks")
     mixed = _filled(ranked, each, cap)
     copies = F.col("whole") + F.col("extra")
-    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *marks)
 
 
 def _filled(ranked: DataFrame, each, cap: int) -> DataFrame:
@@ -120,10 +121,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own, digest, drawn_digest, copies, copy = fresh(docs, "drawn_id", "digest", "drawn_digest", "copies", "copy")
     known = docs.withColumn(digest, text_digest(text_col))
-    key, = fresh(known, "key")
-    # The key goes with the size, so that the draw knows which text a row stands for.
-    drawn = mix(known.withColumn(key, id_key(id_col, digest)), key, text_col, **how).where("copies > 0")
-    drawn = drawn.groupBy(F.col(key)["id"].alias(own), F.col(key)["digest"].alias(drawn_digest)).agg(F.max("copies").cast("int").alias(copies))
+    drawn = mix(known, id_col, text_col, mark=digest, **how).where("copies > 0")
+    drawn = drawn.groupBy(F.col(id_col).alias(own), F.col("mark").alias(drawn_digest)).agg(F.max("copies").cast("int").alias(copies))
     many = rows_of(known, drawn, {digest: drawn_digest, id_col: own})
     return many.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
