@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+import time
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +73,17 @@ def test_keys_behind_other_candidates(before):
         assert key in [text[s:e] for s, k, e in finder.spans(text) if k == 3]
 
 
+def test_sensitive_words_without_end():
+    """Two million characters of sensitive words take seconds; a key at the very end is found, and so are all before it."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = "".join("the token of a day and more words " * 640 + f"auth {key()} " for _ in range(100))
+    begin = time.perf_counter()
+    found = secrets.Finder(b"").spans(text)
+    assert time.perf_counter() - begin < 30
+    assert len(text) > 2_000_000 and len(found) == 100 and all(kind == 3 and end - start == 40 for start, kind, end in found)
+
+
 def test_secrets_query(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
