@@ -29,6 +29,18 @@ def test_tokens_match_the_library(spark, rng):
     assert all(got[i].n_bytes == len((t or "").encode()) and got[i].over_limit == (want[i] > 2048) for i, t in enumerate(texts))
 
 
+def test_long_words_merge_alike(rng):
+    """Linked arrays, rounds over all symbols and the library agree; one word of 300,000 letters takes seconds."""
+    vocabulary, own = tokens.Vocabulary.read(PATH), Tokenizer.from_file(PATH)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 500))).encode() for letters in ("ab", "aaab", "etaoin", "日本語") for _ in range(60)] + [b"a" * n for n in range(1, 90)]
+    assert (tokens.merge_long_counts(words, vocabulary) == tokens.merge_counts(words, vocabulary)).all()
+    word = "".join(rng.choice(string.ascii_lowercase) for _ in range(300_000))
+    begin = time.perf_counter()
+    got = tokens.Counter(vocabulary).count(word)
+    assert time.perf_counter() - begin < 20
+    assert got == len(own.encode(word, add_special_tokens=False).ids)
+
+
 def test_tokens_awkward(awkward, no_rows):
     assert tokens.count_tokens(awkward, PATH).count() == awkward.count()
     assert tokens.count_tokens(no_rows, PATH).collect() == []

@@ -3,11 +3,13 @@
 Distinct pre-tokens of a batch are held as one ragged array of symbol numbers. In each round
 every sequence finds its pair of lowest rank and all its occurrences are merged, in all
 sequences at the same time; a sequence without a mergeable pair is done and its
-surviving symbols are counted.
+surviving symbols are counted. Long sequences share linked arrays in which the places of each
+rank are kept apart, so a round costs what it merges, not what is left.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -25,6 +27,8 @@ from .common import table
 LIMIT = 2048
 #: Chunks of texts whose counts a worker remembers, and characters merged at once.
 REMEMBERED, AT_ONCE = 400_000, 2_000_000
+#: Bytes of a pre-token from which it is merged in linked arrays; the result is the same.
+LONG = 256
 #: Python splits at these too, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -43,6 +47,12 @@ class Vocabulary:
     specials: list[str]
     pattern: str
 
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair in ``pairs``; -1 where nothing merges."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, at, -1)
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
@@ -60,33 +70,36 @@ class Vocabulary:
         return cls(symbol(""), symbol(end), size, pairs, ranks, merged, [t["content"] for t in spec["added_tokens"]], split)
 
 
-def merge_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
-    """Surviving symbols of each word (one byte or more) after all merges."""
+def symbols(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of words (one byte or more) that lie end to end, and each one's word."""
     lengths = np.array([len(w) for w in words])
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    sym, seq = v.inner[data], np.repeat(np.arange(len(words)), lengths)
-    ends = np.cumsum(lengths) - 1
+    sym, ends = v.inner[data], np.cumsum(lengths) - 1
     sym[ends] = v.final[data[ends]]
-    counts = lengths.copy()
+    return sym, np.repeat(np.arange(len(words)), lengths)
+
+
+def alternate(follows: np.ndarray) -> np.ndarray:
+    """Of overlapping occurrences in a run every second one, from the left; ``follows``: begins inside the one before it."""
+    place = np.arange(len(follows))
+    return (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+
+
+def merge_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
+    """Surviving symbols of each word (one byte or more) after all merges."""
+    sym, seq = symbols(words, v)
+    counts = np.bincount(seq, minlength=len(words))
     none = len(v.pairs)
     while len(sym) > 1:
-        key = sym[:-1] * v.size + sym[1:]
-        at = np.minimum(np.searchsorted(v.pairs, key), none - 1)
-        rank = np.where((v.pairs[at] == key) & (seq[:-1] == seq[1:]), v.ranks[at], none)
-        rank = np.append(rank, none)
+        at = v.look_up(sym[:-1], sym[1:])
+        rank = np.append(np.where((at >= 0) & (seq[:-1] == seq[1:]), v.ranks[at], none), none)
         first = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
         low = np.minimum.reduceat(rank, first)
-        size = np.diff(np.append(first, len(seq)))
-        low_of = np.repeat(low, size)
-        hit = (rank == low_of) & (low_of < none)
-        # In a run of overlapping occurrences every second one merges, from the left.
-        starts = hit & ~np.append(False, hit[:-1])
-        place = np.arange(len(hit))
-        run_start = np.maximum.accumulate(np.where(starts, place, 0))
-        hit &= (place - run_start) % 2 == 0
-        left = np.flatnonzero(hit)
-        if not len(left):
+        low_of = np.repeat(low, np.diff(np.append(first, len(seq))))
+        hit = np.flatnonzero((rank == low_of) & (low_of < none))
+        if not len(hit):
             break
+        left = hit[alternate(np.append(False, np.diff(hit) == 1))]
         sym[left] = v.merged[at[left]]
         counts -= np.bincount(seq[left], minlength=len(counts))
         keep = low_of < none  # sequences without a pair are done
@@ -95,6 +108,60 @@ def merge_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
     return counts
 
 
+def merge_long_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
+    """The same for long words: the lowest rank of all is merged wherever it occurs, so there are no more rounds than ranks.
+
+    A word meets its own ranks in the order in which it would meet them alone.
+    """
+    sym, seq = symbols(words, v)
+    n, none = len(sym), len(v.pairs)
+    counts = np.bincount(seq, minlength=len(words))
+    inner = np.append(seq[:-1] == seq[1:], False)
+    nxt = np.where(inner, np.arange(1, n + 1), n)  # n: beyond the word's end
+    prv = np.append(np.where(inner, np.arange(n), -1), -1)[np.arange(-1, n)]  # -1: before its begin
+    rank, into = np.full(n, none), np.zeros(none, dtype=np.int64)
+    into[v.ranks] = v.merged
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def put(places: np.ndarray) -> None:
+        """Look at the pairs that begin at ``places`` and keep them by rank."""
+        rank[places] = none
+        places = places[nxt[places] < n]
+        at = v.look_up(sym[places], sym[nxt[places]])
+        places, found = places[at >= 0], v.ranks[at[at >= 0]]
+        if not len(places):
+            return
+        rank[places] = found
+        order = np.argsort(found, kind="stable")
+        places, found = places[order], found[order]
+        cuts = np.flatnonzero(np.diff(found)) + 1
+        bounds = [0, *cuts.tolist(), len(found)]
+        for r, lo, hi in zip(found[bounds[:-1]].tolist(), bounds, bounds[1:]):
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(places[lo:hi])
+
+    put(np.arange(n))
+    while ranks:
+        low = heapq.heappop(ranks)
+        parts = waiting.pop(low)
+        left = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+        left = left[rank[left] == low]
+        if not len(left):
+            continue
+        left = left[alternate(np.append(False, nxt[left[:-1]] == left[1:]))]
+        right = nxt[left]
+        after = nxt[right]
+        sym[left], rank[right], nxt[left] = into[low], none, after
+        prv[after] = left  # the last entry takes what has nothing after it
+        counts -= np.bincount(seq[left], minlength=len(counts)) if len(words) > 1 else len(left)
+        before = prv[left]
+        put(np.union1d(left, before[before >= 0]))
+    return counts
+
+
 class Counter:
     """Counts tokens of texts; remembers counts of the chunks between white space."""
 
@@ -132,13 +199,14 @@ class Counter:
         distinct = list({w: None for ws in words.values() for w in ws})
         counts: dict[bytes, int] = {}
         batch, size = [], 0
-        for w in [*distinct, None]:
-            if batch and (w is None or size + len(w) > AT_ONCE):
-                counts.update(zip(batch, merge_counts(batch, self.v).tolist()))
-                batch, size = [], 0
-            if w is not None:
-                batch.append(w)
-                size += len(w)
+        for merge, own in ((merge_counts, [w for w in distinct if len(w) <= LONG]), (merge_long_counts, [w for w in distinct if len(w) > LONG])):
+            for w in [*own, None]:
+                if batch and (w is None or size + len(w) > AT_ONCE):
+                    counts.update(zip(batch, merge(batch, self.v).tolist()))
+                    batch, size = [], 0
+                if w is not None:
+                    batch.append(w)
+                    size += len(w)
         for c in fresh:
             self.known[c] = special.get(c, 0) + sum(map(counts.__getitem__, words[c]))
 
