@@ -147,6 +147,40 @@ def test_constants_inside_articles():
     assert html.extract(pages[0], html.infer(same), html.main_slots(html.infer(same))) == html.extract(pages[0])
 
 
+def test_headings_of_all_pages_stay():
+    """A heading that every page of a host has stays with the text under it and goes with a notice under it."""
+    page = "<html><body><article><h1>Head {n}</h1><h2>Summary</h2><p>Short {n}<h2><i>Method</i></h2><div>Long {n}</div><h3>Notice</h3><p>Same on all pages<h2>Last</h2></article></body></html>"
+    pages = [page.replace("{n}", str(i)) for i in range(8)]
+    wrapper = html.infer([html.tokens(p) for p in pages])
+    assert [html.extract(p, wrapper, html.main_slots(wrapper)) for p in pages] == [f"Head {i} Summary Short {i} Method Long {i}" for i in range(8)]
+
+
+def test_deep_and_long_pages(rng):
+    """20,000 nested tags, 20,000 paragraphs and pages without common order take seconds, with all their text."""
+    begin = time.perf_counter()
+    deep = ["<body>" + "".join(f"<div>{k}" for k in range(n)) + "</div>" * n + "<p>end" for n in (20_000, 12_000)]
+    wrapper = html.infer([html.tokens(p) for p in deep])
+    assert html.extract(deep[0]).split() == [*map(str, range(20_000)), "end"]
+    assert html.extract(deep[1], wrapper, html.main_slots(wrapper)).split()[:12_000] == [*map(str, range(12_000))]
+    assert html.extract("<p>a<!-- c -->" * 20_000) == " ".join("a" * 20_000)
+    mixed = ["<article>" + "".join(rng.choice(["<p>a", "<div>b</div>", "<ul><li>c</ul>", "<h4>d</h4>", "<b>", "</b>", "<i>e</i>"]) for _ in range(5000)) for _ in range(4)]
+    wrapper = html.infer([html.tokens(p) for p in mixed])
+    plain = [html.extract(p) for p in mixed]
+    assert all(len(t) > 5000 for t in plain) and len(wrapper) > 5000
+    assert time.perf_counter() - begin < 60
+
+
+def test_alignment_is_a_common_series(rng):
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz"])
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, 60))] for _ in range(2))
+        pairs = list(html.aligned(a, b))
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in pairs if i is not None and j is not None)
+    a, b = ["x", *"ab" * 1000, "y"], ["x", *"ba" * 900, "z"]
+    assert sum(i is not None and j is not None for i, j in html.aligned(a, b)) > 1700
+
+
 @pytest.mark.parametrize("page", ["<body class='has-sidebar'><article><p>Text</p></article><div class='sidebar'>x</div></body>", "<body class='no-sidebar menu-open'><div><p>Text</p></div></body>",
                                   "<div class='content-sidebar-wrap'><article><p>Text</p></article><div class='related'><article>x</article></div></div>",
                                   "<body><div class='content-sidebar-wrap'><div class='post'><p>Text</p></div><div class='sidebar'>x</div></div></body>",
