@@ -241,7 +241,21 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert np.mean([got[i].component_id == root[i] for i in got]) > 0.98
 
 
-@pytest.mark.parametrize("wanted", [88, 400, 1000, 2048])
+@pytest.mark.parametrize("together", [2, 40, 16384])
+def test_copies_of_vectors_are_searched_once(spark, monkeypatch, together):
+    """Copies count as links of their own; results don't depend on how lists are taken together."""
+    monkeypatch.setattr(embeddings, "TOGETHER", together)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([np.repeat(centres[:1], 900, axis=0), centres[0] + 0.05 * rng.normal(size=(20, 16)), *[np.repeat(c[None], 3, axis=0) for c in centres[1:30]], centres[30:]])
+    docs = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_vectors(docs).collect()}
+    links, root = links_brute(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert [got[i].n_links for i in range(len(x))] == list(links)
+    assert [got[i].component_id for i in range(len(x))] == list(root)
+
+
+@pytest.mark.parametrize("wanted", [88, 400, 1000, 2048, 4096])
 @pytest.mark.parametrize("cosine", [0.95, 0.96])
 def test_pairs_at_the_threshold_meet(wanted, cosine):
     """However many pivots a large table has, planted pairs share enough of them."""
