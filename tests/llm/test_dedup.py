@@ -64,6 +64,19 @@ def test_exact_state_goes_on(spark):
     assert got == {b"x": (9, "f2", 2), b"y": (2, "f1", 1), b"z": (0, "f2", 1)}
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_state_meets_earlier_texts(spark, tmp_path, weak):
+    """Rows of a second call are held against the texts of the first, read through their locators; a digest of one value must not join unlike texts."""
+    how = {"digest": lambda b: F.unhex(F.lit("00"))} if weak else {}
+    first, second = [(1, "Cat"), (2, "cat")], [(7, "CAT"), (5, "dog"), (6, "Dog"), (None, None)]
+    for name, rows in (("a b", first), ("c", second)):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    calls = [sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(spark.read.parquet(f"{tmp_path}/{name}"), state=f"{tmp_path}/state", **how).collect()), key=str)
+             for name in ("a b", "c")]
+    assert calls[0] == [(1, 2, 2, False), (2, 2, 2, True)]
+    assert calls[1] == sorted([(7, 7, 3, True), (5, 6, 2, False), (6, 6, 2, True), (None, None, 1, True)], key=str)
+
+
 def simhash_brute(text):
     words = normal(text).replace("\t", " ")
     for c in "\n\x0b\x0c\r":
