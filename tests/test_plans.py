@@ -1,6 +1,7 @@
 """Domain rules: conservation, guards, boundaries, and the shape of the plans."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,13 @@ def test_effort_shares_sum_to_trips_even_for_a_hot_ticket(spark):
     assert total(e) == 5000 and total(e, "vessel_share") == pytest.approx(97.0) and total(e, "lbs") == pytest.approx(10000.0)
 
 
+def test_effort_is_not_computed_in_the_tasks_of_the_join(spark):
+    """Pings from a join on the ticket are dealt out by number, before they are aggregated and before the window."""
+    plan = entry.queries()["effort_daily"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^()]*), \d+\), REPARTITION_BY_NUM", plan)
+    assert sorted(re.sub(r"#\d+L?", "", d) for d in dealt) == ["ticket_id", "ticket_id, cell_id"]
+
+
 def test_normalise_floor(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (5.0,)], "p double")
     assert sorted(r.n for r in eff.normalize_floor(df, "p", "n").collect()) == [0.125, 0.25, 1.0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.nulls import in_set, require_columns, safe_divide
 from ..operators.skew import attach_totals, with_scalars
+from ..session import shuffle_width
 
 METRICS = ["lbs", "rev", "pings", "vessel_share", "vessels"]
 
@@ -71,7 +72,10 @@ def allocate_trip(pings: DataFrame, tickets: DataFrame, ticket: str, values) ->
 
 
 def _cell_effort(pings: DataFrame, time: str, bucket: Column, extra) -> DataFrame:
-    trips = trip_cells(pings, extra)
+    # Dealt out anew by number: pings often come from a join on the ticket, and joins, aggregates and the window would all run in
+    # its few, large tasks. By ticket and cell first, so that a hot ticket is spread until it is reduced to its cells.
+    width = shuffle_width(pings.sparkSession)
+    trips = trip_cells(pings.repartition(width, "ticket_id", "cell_id"), extra).repartition(width, "ticket_id")
     # A window here is bounded: after pre-aggregation a ticket has at most one row per cell and day.
     sized = trips.withColumn("trip_pings", F.sum("pings").over(Window.partitionBy("ticket_id")))
     keys = [time, "cell_id", *extra]
