@@ -1,6 +1,7 @@
 """Token counts against the library, secrets against patterns, pages against their articles, vectors against brute force."""
 
 import hashlib
+import json
 import random
 import string
 import time
@@ -8,6 +9,7 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegrid.llm import embeddings, html, secrets, tokens
@@ -108,6 +110,19 @@ def test_secrets_query(spark):
         assert set(secrets.listed(want).split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_identifiers_come_from_all_texts(spark):
+    """A name from one document in twenty of 4,000, most behind long texts, is counted in full and is no secret; null, empty and blank texts count nothing."""
+    name = "zq7Xv_91kPw3Rt_Yb5Hn2Lm8"
+    filler = " ".join(f"plain{i}" for i in range(500))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20 == 3, F.concat(F.lit(filler + " "), F.lit(name))).when(F.col("id") % 20 == 4, "").when(F.col("id") % 20 == 5, " \t\n").when(F.col("id") % 20 != 6, F.concat(F.lit("text once"), F.col("id"))).alias("text"))
+    counts = dict(secrets.identifier_counts(df, "text"))
+    assert counts[name] == counts["plain7"] == 200 and counts["text"] == 3200 and "once8" not in counts
+    dictionary = secrets.train_dictionary(secrets.training_text(secrets.identifier_counts(df, "text")))
+    assert secrets.train_dictionary(secrets.training_text(secrets.identifier_counts(df.repartition(7), "text"))) == dictionary
+    other = "".join(random.Random(3).choices(string.ascii_letters + string.digits, k=24))
+    assert [k for _, k, _ in secrets.Finder(dictionary).spans(f"auth {name} and auth {other}")] == [3]
+
+
 def test_secrets_awkward(awkward, no_rows):
     assert secrets.scan_secrets(awkward).count() == awkward.count()
     assert secrets.scan_secrets(no_rows).collect() == []
@@ -126,6 +141,33 @@ def test_pages_of_one_host(spark):
         assert got[i].text == want.replace(f"Bold{i} next", f"Bold{i} next") and got[i].n_chars == len(want) and got[i].url == rows[i][1]
 
 
+def test_wrappers_come_from_all_pages(spark):
+    """A lead that nine in ten pages of a host share is text, a notice that all of them have is not; nor is what a few pages share, or copies of one page, a notice."""
+    page = "<html><body><article><h1>Head {n}</h1><p>{lead}</p><div>Notice of the host</div>{more}<p>Text {n}</p></article></body></html>"
+    leads = {i: f"Own lead {i}" if i % 10 == 0 else "Shared lead" for i in range(40)}
+    more = {i: "<blockquote>Quoted</blockquote>" if i % 8 == 1 else "" for i in range(40)}
+    rows = [(100 * h + i, f"https://h{h}.example/{i}", page.format(n=i, lead=leads[i], more=more[i])) for h in range(10) for i in range(40)]
+    rows += [(5000 + i, f"https://h0.example/c{i}", page.format(n=99, lead="Lead", more="<ul><li>Item</ul>")) for i in range(30)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, source in rows:
+        i = k % 100
+        assert got[k] == ("Head 99 Lead Item Text 99" if k >= 5000 else " ".join(x for x in (f"Head {i}", leads[i], "Quoted" if more[i] else "", f"Text {i}") if x))
+
+
+def test_wrappers_of_many_layouts(spark, monkeypatch):
+    """More layouts than a task merges: one wrapper a host, the same however the pages are dealt; a page that comes often counts once."""
+    monkeypatch.setattr(html, "LAYOUTS", 2)
+    body = lambda i: "".join(f"<{t}>{t}{i}</{t}>" for b, t in enumerate(["p", "div", "section", "pre"]) if i >> b & 1)
+    rows = [(i, f"http://{'ab'[i % 3 > 0]}/{i}", f"<body><article><h1>t{i}</h1><h2>Same</h2>{body(i % 16)}</article></body>") for i in range(60)]
+    rows += [(None, None, None), (61, "http://c/", ""), *[rows[0]] * 50]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, other = ({r.host: (r.wrapper, r.expression) for r in html.infer_wrappers(d).collect()} for d in (df.repartition(1), df.repartition(6, "page_id")))
+    assert one == other and set(one) == {"a", "b"}
+    pages = [html.tokens(r[2]) for r in rows[:60] if r[1].startswith("http://b/")]
+    title = next(w for w in json.loads(one["b"][0]) if w[5])
+    assert title[5] == ["Same"] and len(json.loads(one["b"][0])) >= max(map(len, pages))
+
+
 def test_pages_without_article():
     """Constants of a host's pages go, slots of the fullest container stay."""
     page = "<html><body><div><p>Same on all pages</p></div><div class='body'><p>Text {n} a</p><h2>t{n}</h2><p>Text {n} b</p></div><div class='sidebar'>x {n}</div></body></html>"

@@ -2,13 +2,13 @@
 
 Patterns find assignments, access keys and hex strings. Further candidates are all long strings
 soon after sensitive words, names and values around equals signs apart. Each is measured by its marginal compressed bytes: a zstandard
-compressor primed with a dictionary of identifiers packs the surrounding text with and
+compressor primed with a dictionary of the identifiers of all texts packs the surrounding text with and
 without the candidate. Words and repeated names cost little; what stays incompressible is reported.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 from bisect import bisect_left
 
@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 # The three patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,8 +34,10 @@ PART = re.compile(r"[^=]+(?:=+\Z)?")
 #: Characters after a sensitive word in which a candidate begins, surrounding text on either side, least marginal bytes per byte.
 #: Nine in ten random keys (letters and digits, base64, hex) cost 0.93 and more, nine in ten identifiers of four words 0.84 and less.
 REACH, AROUND, NOVEL = 48, 1024, 0.88
-#: Bounds of what the identifier dictionary is trained on: documents, characters of each; size of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 1000, 2000, 16 * 1024
+#: What counts as an identifier, words in parts of up to 64 characters. Size of the dictionary; identifiers it is trained on, several times what it
+#: has room for; words of the text it is trained on, in which they are as frequent as in all documents.
+IDENTIFIER = r"[^\x20\x09-\x0D]{1,64}"
+DICTIONARY, IDENTIFIERS, TRAINING_WORDS = 16 * 1024, 8192, 300_000
 LEVEL = 6
 
 
@@ -138,13 +140,24 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def identifier_sample(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """Parts of about ``SAMPLE_DOCS`` documents, chosen by hash of the id."""
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / float(1 << 40) <= SAMPLE_DOCS / max(n, 1))
-    at = F.pmod(F.xxhash64(id_col, F.lit(1)), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)) + 1
-    part = F.substring(F.col(text_col), at.cast("int"), F.lit(SAMPLE_CHARS))
-    return sorted(r[0] for r in drawn.select(part.alias("part")).where("part is not null").limit(2 * SAMPLE_DOCS).collect())
+def identifier_counts(docs: DataFrame, text_col: str) -> list[tuple[str, int]]:
+    """The identifiers with most characters in all of ``docs`` and how often they occur, at least twice; equal ones in code-point order.
+
+    All words of all texts are counted, long ones in parts. Only what a dictionary has room for comes to the driver.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(IDENTIFIER), F.lit(0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Staged, so that the tasks' candidates meet in a task and not at the driver.
+    most = stage(counts.orderBy((F.col("n") * F.length("word")).desc(), "word").limit(IDENTIFIERS), "identifiers")
+    return sorted(((r.word, r.n) for r in most.collect()), key=lambda x: (-x[1] * len(x[0]), x[0]))
+
+
+def training_text(counts: list[tuple[str, int]]) -> list[str]:
+    """Texts in which identifiers are about as frequent as counted, each at least once, in a fixed mixed order."""
+    total = sum(n for _, n in counts)
+    words = [w for w, n in counts for _ in range(max(1, round(TRAINING_WORDS * n / total)))]
+    random.Random(0).shuffle(words)
+    return [" ".join(words[i:i + 300]) for i in range(0, len(words), 300)]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +166,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Positions are code points, ends exclusive, in order of start, then kind. Null counts as empty; a text without
     secrets has an empty array. Repeated rows are scanned each. Other columns are not read. An empty table gives no rows.
     """
-    dictionary = train_dictionary(identifier_sample(docs, id_col, text_col))
+    dictionary = train_dictionary(training_text(identifier_counts(docs, text_col)))
 
     def run(batches):
         finder = Finder(dictionary)
