@@ -1,7 +1,7 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred for each host.
 
-A page is a stream of tags and text slots. Streams of pages of one host are aligned one after
-another. Where they mismatch, a run that follows its own repetition becomes a repeated group and a run that one
+A page is a stream of tags and text slots. Streams of all pages of one host are aligned one after
+another, those of the same tags first. Where they mismatch, a run that follows its own repetition becomes a repeated group and a run that one
 side lacks an optional group; aligned texts that differ become a slot, others stay constants.
 In the wrapper each text has its place among the page's containers, and constants
 are told from content, inside articles and outside. Every page is then aligned with its host's
@@ -10,10 +10,13 @@ wrapper and its texts in main slots are joined.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import re
 from bisect import bisect_left
 from difflib import SequenceMatcher
+from functools import reduce
 from html import unescape
 
 import pyarrow as pa
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-#: Pages of a host that its wrapper is inferred from, about; and pages that must agree before a text counts as a constant.
-SAMPLE_PAGES, CONSTANT_PAGES = 8, 3
+#: Pages of a host, and share of them, that must agree before a text counts as a constant; layouts that a task merges, about, and that it holds before it
+#: writes them out.
+CONSTANT_PAGES, CONSTANT_SHARE, LAYOUTS, HELD = 3, 3 / 8, 32, 1000
 #: Longest run of tokens that is looked at for a repetition.
 LONGEST_REPEAT = 12
 #: Runs of tokens that are unique on two pages anchor their alignment, longest first. Between anchors, tokens of up to this many pairs
@@ -321,29 +325,47 @@ def aligned(a: list[str], b: list[str]):
         i, j = x + 1, y + 1
 
 
+def layout(page: list[Token]) -> list[list]:
+    """Wrapper of one page: entries [signature, constant text or null, pages agreeing, optional, repeated, set of texts]."""
+    return [[sig, " ".join("".join(t).split()) if not rep else None, 1, False, rep, {" ".join(x.split()) for x in t}] for sig, t, _, rep in collapsed(page)]
+
+
+def both(u: list, v: list) -> list:
+    """Two entries that match as one. The order in which entries are put together does not matter."""
+    return [u[0], u[1] if u[1] is not None and u[1] == v[1] else None, u[2] + v[2], u[3] or v[3], u[4] or v[4], u[5] & v[5]]
+
+
+def merged(a: list[list], b: list[list]) -> list[list]:
+    """Two wrappers as one; what one of them lacks is optional."""
+    out = []
+    for i, j in aligned([w[0] for w in a], [w[0] for w in b]):
+        if i is None or j is None:
+            entry = list(b[j] if i is None else a[i])
+            entry[3] = True
+        else:
+            entry = both(a[i], b[j])
+        out.append(entry)
+    return out
+
+
+def finished(wrapper: list[list], pages: int) -> list[list]:
+    """With whether enough of the ``pages`` agree in place of their number, and the constants in place of the texts: those that each of the agreeing pages
+    has there; of a repeated entry they may be several. A passage that only a few pages of a large host share makes no constant."""
+    enough = max(CONSTANT_PAGES, math.ceil(pages * CONSTANT_SHARE))
+    return [[*w[:2], w[2] >= enough, *w[3:5], sorted(w[5] - {""}) if w[2] >= enough else []] for w in wrapper]
+
+
 def infer(pages: list[list[Token]]) -> list[list]:
-    """Wrapper of pages: entries [signature, constant text or null, pages agreeing, optional, repeated, constants].
+    """Wrapper of pages: entries [signature, constant text or null, whether enough pages agree, optional, repeated, constants]."""
+    return finished(reduce(merged, map(layout, pages)), len(pages)) if pages else []
 
-    The constants are the texts that each of at least ``CONSTANT_PAGES`` pages has there; of a repeated entry they may be several.
-    """
-    wrapper: list[list] | None = None
-    for page in pages:
-        new = [[sig, " ".join("".join(t).split()) if not rep else None, 1, False, rep, {" ".join(x.split()) for x in t}] for sig, t, _, rep in collapsed(page)]
-        if wrapper is None:
-            wrapper = new
-            continue
-        merged = []
-        for i, j in aligned([w[0] for w in wrapper], [w[0] for w in new]):
-            if i is None or j is None:
-                entry = list(new[j] if i is None else wrapper[i])
-                entry[3] = True
-            else:
-                u, v = wrapper[i], new[j]
-                same = u[1] is not None and u[1] == v[1]
-                entry = [u[0], u[1] if same else None, u[2] + 1, u[3], u[4] or v[4], u[5] & v[5]]
-            merged.append(entry)
-        wrapper = merged
-    return [[*w[:5], sorted(w[5] - {""}) if w[2] >= CONSTANT_PAGES else []] for w in wrapper or []]
+
+def written(wrapper: list[list]) -> str:
+    return json.dumps([[*w[:5], sorted(w[5])] for w in wrapper])
+
+
+def read(text: str) -> list[list]:
+    return [[*w[:5], set(w[5])] for w in json.loads(text)]
 
 
 def expression(wrapper: list[list]) -> str:
@@ -371,7 +393,7 @@ def main_slots(wrapper: list[list]) -> list[bool]:
     if any(where[i][2] for i in texts):
         chosen = {i for i in texts if where[i][2]}
     else:
-        slots = [i for i in texts if not (wrapper[i][1] is not None and wrapper[i][2] >= CONSTANT_PAGES)]
+        slots = [i for i in texts if not (wrapper[i][1] is not None and wrapper[i][2])]
         weight: dict[int, int] = {}
         for i in slots:
             weight[where[i][0]] = weight.get(where[i][0], 0) + (2 if wrapper[i][4] else 1)
@@ -401,7 +423,7 @@ def extract(html: str | None, wrapper: list[list] | None = None, slots: list[boo
         return ""
     own = collapsed(page)
     if not wrapper:
-        wrapper = [[sig, None, 1, False, rep, []] for sig, _, _, rep in own]
+        wrapper = [[sig, None, False, False, rep, []] for sig, _, _, rep in own]
         slots, homes = main_slots(wrapper), None
     where, containers = places([s for s, _ in page])
     at_home = containers.within_homes(*(homes or homes_of(wrapper, slots)))
@@ -415,7 +437,7 @@ def extract(html: str | None, wrapper: list[list] | None = None, slots: list[boo
             if articled and i is not None and wrapper[i][5]:
                 constant.update(n for n in own[j][2] if " ".join(page[n][1].split()) in wrapper[i][5])
     if not main:  # the wrapper has no place for this page's text
-        alone = [[sig, None, 1, False, rep, []] for sig, _, _, rep in own]
+        alone = [[sig, None, False, False, rep, []] for sig, _, _, rep in own]
         main = {n for o, s in zip(own, main_slots(alone)) if s for n in o[2] if not where[n][1]}
     if not any(page[n][1].strip() for n in main):  # all is boilerplate by name: a layout, not an aside
         where, _ = places([s for s, _ in page], widest_aside(page))
@@ -451,19 +473,72 @@ def host(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper as JSON, expression), inferred from about ``sample`` pages of each host by hash of the id."""
-    own = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"), F.xxhash64(id_col, url_col).alias("h"))
-    # Written first, so that its size is known and pages are not shuffled by host for the draw where hosts are few.
-    counts = stage(own.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-counts")
-    drawn = own.join(counts, "host").where(F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40) * F.col("n") <= 2 * sample).select("host", "h", "html")
+def page_layouts(pages: DataFrame) -> DataFrame:
+    """(host, layout, n, wrapper): pages (host, html) of the same tags as one wrapper, from all pages; n is their number."""
+
+    def partial(batches):
+        found: dict[tuple[str, bytes], list] = {}
+
+        def rows():
+            hosts, layouts = zip(*found)
+            counts, wrappers = zip(*found.values())
+            return pa.record_batch([pa.array(hosts), pa.array(layouts, pa.binary()), pa.array(counts, pa.int64()), pa.array(map(written, wrappers))], names)
+
+        for b in batches:
+            for host_, html in zip(b.column("host"), b.column("html")):
+                new = layout(tokens(html.as_py() or ""))
+                if not new:
+                    continue
+                key = host_.as_py(), hashlib.sha256("".join(w[0] for w in new).encode("utf-8", "replace")).digest()
+                if key in found:
+                    n, old = found[key]
+                    found[key] = [n + 1, [both(u, v) for u, v in zip(old, new)]]
+                else:
+                    found[key] = [1, new]
+                if len(found) >= HELD:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    def whole(key, t):
+        wrapper = reduce(lambda a, b: [both(u, v) for u, v in zip(a, b)], map(read, t.column("wrapper").to_pylist()))
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.binary()), pa.array([sum(t.column("n").to_pylist())], pa.int64()), pa.array([written(wrapper)])], names)
+
+    names, kinds = ["host", "layout", "n", "wrapper"], "host string, layout binary, n long, wrapper string"
+    return pages.mapInArrow(partial, kinds).groupBy("host", "layout").applyInArrow(whole, kinds)
+
+
+def infer_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper as JSON, expression), inferred from all pages of each host; of pages that are equal, one.
+
+    Pages with the same tags are put together first, in any order. Of these layouts up to about ``LAYOUTS`` are merged in a task, the most common first,
+    and the results again, until a host has one wrapper.
+    """
+    own = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null").distinct()
+    rows = stage(page_layouts(own), "layouts")
 
     def run(key, t):
-        order = sorted(range(t.num_rows), key=lambda i: (t.column("h")[i].as_py(), t.column("html")[i].as_py() or ""))[:sample]
-        found = infer([p for p in (tokens(t.column("html")[i].as_py() or "") for i in order) if p])
-        return pa.table([pa.array([key[0].as_py()]), pa.array([json.dumps(found)]), pa.array([expression(found)])], ["host", "wrapper", "expression"])
+        order = sorted(t.select(["layout", "n", "wrapper"]).to_pylist(), key=lambda r: (-r["n"], r["layout"]))
+        wrapper = reduce(merged, (read(r["wrapper"]) for r in order))
+        return pa.table([pa.array([key[0].as_py()]), pa.array([order[0]["layout"]], pa.binary()), pa.array([sum(r["n"] for r in order)], pa.int64()), pa.array([written(wrapper)])], ["host", "layout", "n", "wrapper"])
+
+    turn = 0
+    while True:
+        # Written, so that its size is known and wrappers are not shuffled by host to learn of their number.
+        counts = stage(rows.groupBy("host").agg(F.count(F.lit(1)).alias("rows")), "host-counts")
+        if (counts.agg(F.max("rows")).first()[0] or 0) <= 1:
+            break
+        group = F.pmod(F.xxhash64("layout", F.lit(turn)), F.ceil(F.col("rows") / LAYOUTS)).alias("group")
+        rows = stage(rows.join(counts, "host").select("host", group, "layout", "n", "wrapper").groupBy("host", "group").applyInArrow(run, "host string, layout binary, n long, wrapper string"), "layouts")
+        turn += 1
+
+    def close(batches):
+        for b in batches:
+            found = [finished(read(w), n) for w, n in zip(b.column("wrapper").to_pylist(), b.column("n").to_pylist())]
+            yield pa.record_batch([b.column("host"), pa.array([json.dumps(w) for w in found], pa.string()), pa.array([expression(w) for w in found], pa.string())], ["host", "wrapper", "expression"])
 
-    return drawn.groupBy("host").applyInArrow(run, "host string, wrapper string, expression string")
+    return rows.mapInArrow(close, "host string, wrapper string, expression string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
