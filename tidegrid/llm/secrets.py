@@ -35,9 +35,10 @@ PART = re.compile(r"[^=]+(?:=+\Z)?")
 #: Nine in ten random keys (letters and digits, base64, hex) cost 0.93 and more, nine in ten identifiers of four words 0.84 and less.
 REACH, AROUND, NOVEL = 48, 1024, 0.88
 #: What counts as an identifier, words in parts of up to 64 characters. Size of the dictionary; identifiers it is trained on, several times what it
-#: has room for; words of the text it is trained on, in which they are as frequent as in all documents.
+#: has room for; words of the text it is trained on, in which they are as frequent as in all documents. A word with less than one in ``SHARE`` of all
+#: characters is none.
 IDENTIFIER = r"[^\x20\x09-\x0D]{1,64}"
-DICTIONARY, IDENTIFIERS, TRAINING_WORDS = 16 * 1024, 8192, 300_000
+DICTIONARY, IDENTIFIERS, TRAINING_WORDS, SHARE = 16 * 1024, 8192, 300_000, 1 << 18
 LEVEL = 6
 
 
@@ -145,10 +146,12 @@ def identifier_counts(docs: DataFrame, text_col: str) -> list[tuple[str, int]]:
 
     All words of all texts are counted, long ones in parts. Only what a dictionary has room for comes to the driver.
     """
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(IDENTIFIER), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Staged, so that the tasks' candidates meet in a task and not at the driver.
-    most = stage(counts.orderBy((F.col("n") * F.length("word")).desc(), "word").limit(IDENTIFIERS), "identifiers")
+    text = F.col(text_col).cast("string")
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n") * F.length("word"))
+    # Words with more than one in ``SHARE`` of all characters: fewer than that, however many tasks and words there are, so one task can put them in order.
+    common = counts.where(F.col("size") * SHARE > docs.agg(F.sum(F.length(text))).scalar())
+    most = stage(common.orderBy(F.col("size").desc(), "word").limit(IDENTIFIERS), "identifiers")
     return sorted(((r.word, r.n) for r in most.collect()), key=lambda x: (-x[1] * len(x[0]), x[0]))
 
 
